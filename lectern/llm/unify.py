@@ -100,8 +100,10 @@ class Unifier:
             out.append("".join(part))
             done = hi
         out.append(text[done:])
-        joined = "".join(out)
         # a removed character may have kept a mark from its starter, so segments compose after the splice
+        return self._composed("".join(out))
+
+    def _composed(self, joined: str) -> str:
         if unicodedata.is_normalized("NFC", joined):
             return joined
         parts, done = [], 0
@@ -115,7 +117,8 @@ class Unifier:
         text = self.text(text)
         if text.isascii() or not self.foreign.search(text):
             return text
-        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes().decode("utf-32-le", "surrogatepass")
+        # a mark may have waited for a letter of its own script
+        return self._composed(self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes().decode("utf-32-le", "surrogatepass"))
 
     def form(self, text: str) -> str:
         """The form for output: the skeleton, each word in the script of its unmistakable letters."""
