@@ -1,2 +1,23 @@
 """Queries of the engine and the SQL that states them."""
-QUERIES, SQL = {}, {}
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators.packed import split_packed
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        split_packed(table(spark, sf, name), key, "reference").select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), "item_no", "item")
+        for name, key in (("passage_requests", "request_id"), ("shortcuts", "id"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES, SQL = {"p5_found": p5_found}, {}
