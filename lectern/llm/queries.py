@@ -7,13 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, spans, terms, tokens, unify
+from . import language, mixing, spans, terms, tokens, unify
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _language_model(spark: SparkSession, sf: str) -> tuple[language.Model, dict[str, DataFrame]]:
+    """The classifier trained on labelled documents, and the labelled tables with the code that each label names."""
+    languages = table(spark, sf, "languages")
+    docs, bibles = table(spark, sf, "documents"), table(spark, sf, "bibles")
+    doc_code = language.label_code(F.col("lang"), languages)
+    bible_code = language.label_code(F.col("lang_short"), languages)
+    model = language.train_on(docs, "doc_id", "text", doc_code)
+    return model, {
+        "documents": docs.select(F.col("doc_id").alias("rec_id"), "text", doc_code.alias("code")),
+        "bibles": bibles.select(F.col("id").alias("rec_id"), "module", bible_code.alias("code")),
+    }
+
+
+def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
+    model, tables = _language_model(spark, sf)
+    return language.detect(tables["documents"], "rec_id", "text", model, keep=["code"]).withColumnRenamed("rec_id", "doc_id")
+
+
+def p1_bibles(spark: SparkSession, sf: str) -> DataFrame:
+    model, tables = _language_model(spark, sf)
+    found = language.detect_groups(table(spark, sf, "verses"), "module", "text", model)
+    return tables["bibles"].join(found, F.col("module") == F.col("grp")).select(F.col("rec_id").alias("id"), "module", "code", "lang", "confidence")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    model, tables = _language_model(spark, sf)
+    docs = language.detect(tables["documents"], "rec_id", "text", model, keep=["code"])
+    found = language.detect_groups(table(spark, sf, "verses"), "module", "text", model)
+    editions = tables["bibles"].join(found, F.col("module") == F.col("grp")).withColumn("seg_no", F.lit(0))
+    columns = ["tbl", F.col("rec_id").cast("long").alias("rec_id"), "seg_no", "lang"]
+    both = docs.withColumn("tbl", F.lit("documents")).select(*columns, "code").unionByName(editions.withColumn("tbl", F.lit("bibles")).select(*columns, "code"))
+    # without a valid label, with a wrong one, or mixed
+    case = F.col("lang").isNotNull() & ((F.col("seg_no") > 0) | F.col("code").isNull() | (F.col("code") != F.col("lang")))
+    return both.where(case).drop("code")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(table(spark, sf, "verses")).where("mark is not null").select("term", "mark")
 
@@ -59,7 +95,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p6_ids, p7_mix, p7_shares)
+    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p6_ids, p7_mix, p7_shares)
 }
 
 _TERMS = r"""
