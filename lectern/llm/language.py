@@ -221,7 +221,7 @@ def train(rows: Iterable[tuple[str, str]], seed: int = 5, most: int = 220) -> Mo
     return model
 
 
-def label_code(label: Column, languages: DataFrame) -> tuple[Column, dict[str, str]]:
+def label_code(label: Column, languages: DataFrame) -> Column:
     """The two-letter code that a label names, or null: by code, ISO codes, names, with or without a region.
 
     The table of languages is a dimension with a row a language, so its names become a literal map.
@@ -233,7 +233,7 @@ def label_code(label: Column, languages: DataFrame) -> tuple[Column, dict[str, s
                 names.setdefault(n.strip().lower(), x.code)
     clean = F.lower(F.trim(label))
     table = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b)) for a, b in names.items())) if names else F.create_map(F.lit(""), F.lit(None).cast("string"))
-    return F.coalesce(F.try_element_at(table, clean), F.try_element_at(table, F.split(clean, "[-_]")[0])), names
+    return F.coalesce(F.try_element_at(table, clean), F.try_element_at(table, F.split(clean, "[-_]")[0]))
 
 
 def train_on(docs: DataFrame, id_col: str, text_col: str, code: Column, sample: int = SAMPLE) -> Model:
