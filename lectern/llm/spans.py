@@ -17,10 +17,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import durable, keyed_text, map_arrow, shuffle_width
+from .arrow import keyed_text, map_arrow, shuffle_width
 
 # A perfect difference set modulo 91 (every residue is a difference of two members).
 PERIOD = 91
@@ -28,6 +29,7 @@ COVER = [0, 1, 3, 9, 27, 49, 56, 61, 77, 81]
 LENGTH = 200
 CHUNK = 1 << 20  # characters hashed at a time; longer texts are cut with overlap
 FLUSH = 1 << 20  # hashes that one task holds before it packs them
+ANCHOR_BYTES = 5  # of an anchor's hash, beside its bucket; equal anchors only nominate, full windows keep all eight bytes
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -71,8 +73,8 @@ def chunks(n: int, width: int) -> Iterator[tuple[int, int]]:
 class Packer:
     """Collects (hash, record, position) and packs them by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.n = buckets, [], 0
+    def __init__(self, buckets: int, digest: int):
+        self.buckets, self.digest, self.parts, self.n = buckets, digest, [], 0
 
     def add(self, hashes: np.ndarray, record: int, at: np.ndarray) -> None:
         self.parts.append((hashes, record, at))
@@ -95,38 +97,47 @@ class Packer:
                 own = order[edges[b] : edges[b + 1]]
                 if len(own):
                     names.append(b)
-                    blobs.append(pack(h[own], ids, rec[own], at[own]))
+                    blobs.append(pack(h[own], ids, rec[own], at[own], self.digest))
             if names:
                 yield {"bucket": names, "blob": blobs}
 
 
-def pack(h: np.ndarray, ids: np.ndarray, rec: np.ndarray, at: np.ndarray) -> bytes:
-    """Six low bytes of each hash (the bucket holds the leading bits), records as runs, positions as steps."""
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of each number, byte by byte, so that equal high bytes lie together."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :size].T).tobytes()
+
+
+def numbers(data: bytes, n: int, size: int, at: int, kind: type) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
+    return wide.view(kind).ravel()
+
+
+def pack(h: np.ndarray, ids: np.ndarray, rec: np.ndarray, at: np.ndarray, digest: int) -> bytes:
+    """``digest`` low bytes of each hash (the bucket holds the leading bits), records as runs, positions as steps."""
     first = np.flatnonzero(np.diff(rec, prepend=-1))
     runs = np.diff(np.append(first, len(rec)))
-    low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].T
     steps = np.diff(at, prepend=0)
     steps[first] = at[first]
-    wide = steps.astype(np.int64) if steps.max() >= 1 << 16 else steps.astype(np.uint16)
-    head = struct.pack("<III", len(h), len(first), wide.itemsize)
-    short = runs.astype(np.uint32)
-    return head + ids[rec[first]].tobytes() + short.tobytes() + wide.tobytes() + np.ascontiguousarray(low).tobytes()
+    size = 2 if steps.max() < 1 << 16 else 8
+    with np.errstate(over="ignore"):
+        jumps = np.diff(ids[rec[first]], prepend=np.int64(0))
+    head = struct.pack("<IIBB", len(h), len(first), size, digest)
+    return head + zstandard.compress(planes(jumps, 8) + planes(runs, 4) + planes(steps, size) + planes(h, digest), 1)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (six bytes), record ids and positions."""
-    n, m, size = struct.unpack_from("<III", blob)
-    at = 12
-    ids = np.frombuffer(blob, np.int64, m, at)
-    runs = np.frombuffer(blob, np.uint32, m, at := at + 8 * m)
-    steps = np.frombuffer(blob, np.int64 if size == 8 else np.uint16, n, at := at + 4 * m).astype(np.int64)
-    low = np.frombuffer(blob, np.uint8, 6 * n, at + size * n).reshape(6, n)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = low.T
+    """Hashes, record ids and positions."""
+    n, m, size, digest = struct.unpack_from("<IIBB", blob)
+    data = zstandard.decompress(blob[10:])
+    with np.errstate(over="ignore"):
+        ids = np.cumsum(numbers(data, m, 8, 0, np.int64))
+    runs = numbers(data, m, 4, 8 * m, np.int64)
+    steps = numbers(data, n, size, 12 * m, np.int64)
     sums = np.cumsum(steps)
-    starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(runs)[:-1]])
     base = np.where(starts > 0, sums[starts - 1], 0)
-    return wide.view(np.uint64).ravel(), np.repeat(ids, runs), sums - np.repeat(base, runs)
+    return numbers(data, n, digest, 12 * m + size * n, np.uint64), np.repeat(ids, runs), sums - np.repeat(base, runs)
 
 
 def shared_groups(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +183,7 @@ def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     window = length - PERIOD + 1
 
     def run(batches):
-        hasher, packer = Hasher(), Packer(buckets)
+        hasher, packer = Hasher(), Packer(buckets, ANCHOR_BYTES)
         for batch in batches:
             for rec_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = code_points(text)
@@ -208,7 +219,7 @@ def full_windows(rows: DataFrame, places: DataFrame, length: int, buckets: int)
     window = length - PERIOD + 1
 
     def run(batches):
-        hasher, packer = Hasher(), Packer(buckets)
+        hasher, packer = Hasher(), Packer(buckets, 8)
         for batch in batches:
             for rec_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 codes = code_points(text)
@@ -235,7 +246,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, length: int, buckets: in
         raise ValueError(f"spans must have at least {2 * PERIOD} characters")
     spark = df.sparkSession
     width = shuffle_width(spark)
-    buckets = buckets or 8 * width
+    buckets = buckets or 2 * width
     rows = keyed_text(df, id_col, text_col).where(F.char_length("text") >= length)
     places = candidates(anchors(rows, length, buckets), width)
     return full_windows(rows, places, length, buckets), width
