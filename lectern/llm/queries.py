@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, spans, terms, tokens, unify
+from . import abuse, language, mixing, spans, terms, tokens, unify
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,8 +94,26 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).shares()
 
 
+def _abuse_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = abuse.train_on(docs, table(spark, sf, "labels"), "doc_id", "text")
+    return abuse.score_documents(docs, "doc_id", "text", model, keep=["source"])
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse_scores(spark, sf).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse_scores(spark, sf)
+
+
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.source_rates(_abuse_scores(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p6_ids, p7_mix, p7_shares)
+    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
 }
 
 _TERMS = r"""

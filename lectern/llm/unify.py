@@ -50,6 +50,13 @@ def _char_class(points: set[int]) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=4096)
+def script(c: str) -> str:
+    """The script of a letter, or nothing if another script draws it alike."""
+    base = unicodedata.normalize("NFD", c)[0]
+    return "" if base in "aeopcyxijsdhqwvABEKMHOPCTXIJSYZN" else unicodedata.name(base, "").split(" ", 1)[0]
+
+
 class Unifier:
     def __init__(self):
         self.map: dict[int, str] = {c: "" for c in INVISIBLE} | {c: " " for c in BLANKS} | OTHER
@@ -130,13 +137,7 @@ class Unifier:
         def word(m: re.Match) -> str:
             nonlocal last
             own = m.group()
-            scripts = set()
-            for c in own:
-                base = unicodedata.normalize("NFD", c)[0]
-                if base in "aeopcyxijsdhqwvABEKMHOPCTXIJSYZN":
-                    continue
-                name = unicodedata.name(base, "")
-                scripts.add(name.split(" ", 1)[0])
+            scripts = {s for s in map(script, own) if s}
             if scripts:
                 last = "LATIN" if "LATIN" in scripts or len(scripts) > 1 else scripts.pop()
             if last not in self.back:
