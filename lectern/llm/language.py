@@ -29,7 +29,7 @@ from .unify import unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
 SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 CENTROIDS = 3
 PROJECTION = 32
 COHESION = 0.6  # least part of a language's sentences that must be nearest to its own mean
@@ -64,7 +64,7 @@ def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
             ok = left[: len(h)] >= n
             x = (h[ok] ^ (h[ok] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            features.append((x >> np.uint64(49)).astype(np.int32))
+            features.append((x >> np.uint64(51)).astype(np.int32))
             owners.append(owner[: len(h)][ok])
     return np.concatenate(features), np.concatenate(owners)
 
@@ -183,8 +183,10 @@ def train(rows: Iterable[tuple[str, str]], seed: int = 5, most: int = 220) -> Mo
     x = {k: _sentence_vectors(v) for k, v in picks.items()}
     df = sum((v > 0).sum(0) for v in x.values())
     idf = (np.log((1 + sum(map(len, x.values()))) / (1 + df)) + 0.3).astype(np.float32)
-    x = {k: (np.log1p(v) * idf) for k, v in x.items()}
-    x = {k: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6) for k, v in x.items()}
+    for v in x.values():
+        np.log1p(v, out=v)
+        v *= idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
     # wrong labels: a sentence nearer to another language's mean is dropped, and so is a "language" that keeps few,
     # as its label was only ever set by mistake
     while True:
