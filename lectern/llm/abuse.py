@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .arrow import map_arrow
 from .boosting import Booster, Isotonic
-from .language import readable
+from .language import readable_all
+from .unify import DIGIT, GAP, LETTER, SIGN, surveys
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on
 SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
@@ -62,6 +63,30 @@ SUSPECT = re.compile(
 FEATURES = 18
 
 
+def may_be_obfuscated(texts: list[str]) -> np.ndarray:
+    """Whether ``SUSPECT`` may match each text, by neighbouring kinds of characters."""
+    out = np.zeros(len(texts), bool)
+    for lo, codes, kind, starts in surveys(texts):
+        codes, kind = np.append(codes, [10] * 4), np.append(kind, [0] * 4).astype(np.uint8)
+        letter, digit, sign, gap = (kind & k > 0 for k in (LETTER, DIGIT, SIGN, GAP))
+        hit = np.zeros(len(codes), bool)
+        hit[:-1] |= (sign[:-1] | digit[:-1]) & letter[1:]  # a sign or digit before a letter
+        before = np.zeros(len(codes), bool)
+        before[1:] = letter[:-1]
+        # digits before a letter are common in names of books; only lower-case letters or letters on both sides count
+        lower = letter & ((codes >= 97) & (codes <= 122) | (codes >= 0xE0))
+        follows = np.zeros(len(codes), bool)
+        follows[:-1] = lower[1:]
+        hit &= ~digit | before | follows
+        hit[:-2] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+        # a single letter between two equal gaps, and another single letter behind
+        hit[:-4] |= gap[:-4] & letter[1:-3] & (codes[:-4] == codes[2:-2]) & letter[3:-1] & ~letter[4:]
+        hit[:-1] |= ((codes[:-1] == 36) | (codes[:-1] == 64)) & (letter[1:] | digit[1:])
+        if len(codes):
+            out[lo : lo + len(starts)] = np.logical_or.reduceat(hit, starts)
+    return out
+
+
 def restore(sentence: str, known: dict[str, float]) -> tuple[list[str], int, int]:
     """Lower-case words with obfuscation undone, the number of words restored, and how many of those have a weight above ``HOT``."""
     undone = hot = 0
@@ -158,9 +183,9 @@ class Lexicon:
             sum(w in INSULTS for w in words) / n, sum(w in CONTEMPT or w in EXPLICIT for w in words) / n,
         ]
 
-    def candidates(self, text: str) -> list[str]:
-        """Sentences with a word of positive weight or with obfuscation; a sentence inside parentheses is part of its sentence."""
-        suspect = SUSPECT.search(text)
+    def candidates(self, text: str, maybe: bool = True) -> list[str]:
+        """Sentences with a word of positive weight or with obfuscation; ``maybe``: whether the text may be obfuscated."""
+        suspect = maybe and SUSPECT.search(text)
         if not suspect and self.hot.isdisjoint(PLAIN.findall(text.lower())):
             return []
         out = []
@@ -178,8 +203,9 @@ class AbuseModel:
     def worst(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         """The raw score of each text's worst candidate sentence (-inf without one), and that sentence."""
         owner, sentences = [], []
-        for k, t in enumerate(texts):
-            own = self.lexicon.candidates(readable(t))
+        clean = readable_all(texts)
+        for k, (t, maybe) in enumerate(zip(clean, may_be_obfuscated(clean))):
+            own = self.lexicon.candidates(t, maybe)
             sentences += own
             owner += [k] * len(own)
         best, what = np.full(len(texts), -np.inf), [None] * len(texts)
@@ -202,7 +228,7 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
     """
     if len({r[1] for r in rows}) < 2:
         raise ValueError("labels of both kinds are needed")
-    texts = [readable(r[0]) for r in rows]
+    texts = readable_all([r[0] for r in rows])
     y, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     seeds = dict.fromkeys(INSULTS | CONTEMPT | EXPLICIT, 2.0)
     split = [[s for s in (m.group() for m in SENTENCE.finditer(t)) if s.strip()] for t in texts]

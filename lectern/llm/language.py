@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_arrow
-from .unify import unifier
+from .unify import FOREIGN, LATIN, UNSTABLE, surveys, unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
 SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
@@ -50,6 +50,16 @@ def readable(text: str) -> str:
     return own.text(text)
 
 
+def readable_all(texts: list[str]) -> list[str]:
+    """``readable`` of each text; one table lookup finds the few that need work."""
+    out = list(texts)
+    for lo, _, kind, starts in surveys(texts):
+        seen = np.bitwise_or.reduceat(kind, starts)
+        for k in np.flatnonzero((seen & UNSTABLE > 0) | (seen & (FOREIGN | LATIN) == FOREIGN | LATIN)):
+            out[lo + k] = readable(texts[lo + k])
+    return out
+
+
 def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, and the word that each belongs to."""
     data = "".join(f"_{w}_" for w in words)
@@ -108,7 +118,7 @@ class Model:
         """By sentence: the document it is of, its number of words, and the sums over its words. Empty sentences are left out."""
         if self.n > CACHE:
             self.reset()
-        found = [TOKEN.findall(readable(t).lower()) for t in texts]
+        found = [TOKEN.findall(t.lower()) for t in readable_all(texts)]
         flat = list(chain.from_iterable(chain.from_iterable((f, (".",)) for f in found)))
         self.learn(flat)
         ids = np.fromiter(map(self.ids.__getitem__, flat), np.int32, len(flat))

@@ -147,6 +147,42 @@ class Unifier:
         return re.sub(r"[^\W\d_]+", word, bones)
 
 
+UNSTABLE, FOREIGN, LATIN, LETTER, DIGIT, SIGN, GAP = 1, 2, 4, 8, 16, 32, 64
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """What each code point may be, as flags: a quick check of many texts by one table lookup."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x20000):
+        x = chr(c)
+        if x.isalpha():
+            out[c] |= LETTER | (LATIN if c < 0x250 else 0)
+        elif x.isdigit():
+            out[c] |= DIGIT
+    out[0x370:0x530] |= FOREIGN
+    out[[ord(c) for c in "*@$!"]] |= SIGN
+    out[[ord(c) for c in "-. "]] |= GAP
+    own = unifier()
+    for c in [*range(0x80, 0x30000), *range(0xE0000, 0xE0080)]:
+        if own.unstable.match(chr(c)):
+            out[c] |= UNSTABLE
+    return out
+
+
+def surveys(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts as (index of the first, code points, their kinds, start of each text); a line feed ends each text."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= most or k + 1 == len(texts):
+            part = texts[lo : k + 1]
+            codes = np.frombuffer(("\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])[:-1]]).astype(np.int64)
+            yield lo, codes, kinds()[codes], starts
+            lo, size = k + 1, 0
+
+
 @lru_cache(maxsize=1)
 def unifier() -> Unifier:
     return Unifier()
