@@ -42,7 +42,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*rows.columns)
 
 
-def units(spark: SparkSession, root: str) -> DataFrame:
-    """The current text of every unit of every edition: a unit that was loaded again counts by its last load."""
-    columns = ["row_id", "module", "id", "book", "chapter", "verse", "text", "loaded_at"]
-    return addressed(latest(table(spark, root, "verses").select(*columns), ["module", "id"], ["loaded_at", "row_id"]))
+def units(spark: SparkSession, root: str, text: bool = True) -> DataFrame:
+    """The current row of every unit of every edition: a unit that was loaded again counts by its last load.
+
+    Without ``text`` only addresses are read and shuffled.
+    """
+    columns = ["row_id", "module", "id", "book", "chapter", "verse", *(["text"] if text else []), "loaded_at"]
+    rows = latest(table(spark, root, "verses").select(*columns), ["module", "id"], ["loaded_at", "row_id"])
+    return addressed(rows if text else rows.withColumn("text", F.lit(None).cast("string")))

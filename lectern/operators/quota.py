@@ -38,7 +38,7 @@ def accepted_requests(log: DataFrame, client: str, ts: str, tie: str, limit: int
 
 def throttled(log: DataFrame, client: str, ts: str, per_minute: int = 60) -> DataFrame:
     """``client, minute, hits, rejected`` of tumbling minutes."""
-    n = log.groupBy(F.col(client).alias("client"), F.date_trunc("minute", ts).alias("minute")).agg(F.count("*").alias("hits"))
+    n = log.groupBy(F.col(client).alias("client"), F.date_trunc("minute", ts).cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("hits"))
     return n.withColumn("rejected", F.greatest(F.col("hits") - per_minute, F.lit(0)))
 
 

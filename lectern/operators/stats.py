@@ -37,10 +37,10 @@ def statistics(units: DataFrame, passage: Column, book: int, chapter: int) -> Da
     inside, in_book = F.coalesce(passage, F.lit(False)), F.col("book") == book
     in_chapter = in_book & (F.col("chapter") == chapter)
     scopes = {"passage": inside, "chapter": in_chapter, "book": in_book, "full": F.lit(True)}
-    one = units.groupBy("module", "book", "chapter").agg(*[F.count_if(c).alias(s) for s, c in scopes.items()])
-    two = one.groupBy("module", "book").agg(*[F.sum(s).alias(s) for s in scopes], *[F.count_if(F.col(s) > 0).alias(f"{s}_c") for s in scopes])
-    three = two.groupBy("module").agg(*[F.sum(s).alias(s) for s in scopes], *[F.sum(f"{s}_c").alias(f"{s}_c") for s in scopes], *[F.count_if(F.col(s) > 0).alias(f"{s}_b") for s in scopes])
-    rows = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("n_verses"), F.col(f"{s}_c").alias("n_chapters"), F.col(f"{s}_b").alias("n_books")) for s in scopes])
+    one = units.groupBy("module", "book", "chapter").agg(*[F.count_if(c).alias(f"_{s}") for s, c in scopes.items()])
+    two = one.groupBy("module", "book").agg(*[F.sum(f"_{s}").alias(f"_{s}") for s in scopes], *[F.count_if(F.col(f"_{s}") > 0).alias(f"_{s}_c") for s in scopes])
+    three = two.groupBy("module").agg(*[F.sum(f"_{s}").alias(f"_{s}") for s in scopes], *[F.sum(f"_{s}_c").alias(f"_{s}_c") for s in scopes], *[F.count_if(F.col(f"_{s}") > 0).alias(f"_{s}_b") for s in scopes])
+    rows = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(f"_{s}").alias("n_verses"), F.col(f"_{s}_c").alias("n_chapters"), F.col(f"_{s}_b").alias("n_books")) for s in scopes])
     return three.select("module", F.inline(rows))
 
 
