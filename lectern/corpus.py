@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +33,28 @@ def addressed(units: DataFrame) -> DataFrame:
     return units.withColumn("chapter_verse", chapter_verse(F.col("chapter"), F.col("verse"))).withColumn("bcv", bcv(F.col("book"), F.col("chapter"), F.col("verse"))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key (largest ``order``): update-or-create over an append-only table.
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key, with the largest ``order``; of tied rows one is taken.
 
-    Rows with a null key form one group a key combination, as in SQL grouping. Ties in ``order`` leave one of the tied
-    rows; give a unique last column where that matters.
+    Null keys form groups as in SQL grouping. Whole rows are shuffled.
     """
     rest = [c for c in rows.columns if c not in keys]
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*rows.columns)
 
 
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of each key with the largest ``order``, whose last column is unique, so that one row a key stays.
+
+    Made for tables where few keys repeat: only keys and order columns are aggregated, and whole rows meet just the repeated
+    keys, by a broadcast that Spark chooses while those are few. Null keys form groups as in SQL grouping.
+    """
+    top = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n"), F.max(F.struct(*order)).alias("_top")).where("_n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = rows.join(top, reduce(lambda a, b: a & b, same), "left")
+    return joined.where(F.col("_top").isNull() | (F.col("_top") == F.struct(*order))).select(*rows.columns)
+
+
 def units(spark: SparkSession, root: str, text: bool = True) -> DataFrame:
     """The current row of every unit of every edition: a unit that was loaded again counts by its last load.
 

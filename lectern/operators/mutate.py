@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..corpus import latest
+from ..corpus import newest
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> Data
 
 def update_or_create(table: DataFrame, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The newest row of each key over both."""
-    return latest(table.unionByName(rows.select(*table.columns)), keys, [version])
+    return newest(table.unionByName(rows.select(*table.columns)), keys, [version])
 
 
 def cascade_delete(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
