@@ -65,7 +65,7 @@ def html_to_text(col: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]+>", "")
     for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(to))
-    return F.trim(x)
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def clean_spaces(col: Column) -> Column:
@@ -122,7 +122,7 @@ def valid_utf8(col: Column) -> Column:
 
 def wrap(col: Column, width: int = 80) -> Column:
     """Lines of at most ``width`` characters, broken at blanks; longer words stay whole."""
-    return F.trim(F.regexp_replace(col, rf"(.{{1,{width}}})(?: +|$)", "$1\n"))
+    return F.regexp_replace(F.regexp_replace(col, rf"(.{{1,{width}}})(?: +|$)", "$1\n"), r"\s+$", "")
 
 
 def truthy(col: Column) -> Column:

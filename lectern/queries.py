@@ -406,7 +406,7 @@ def highlight_whole_word(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("row_id", T.highlight(F.col("text"), ["watchman"], "i", whole_words=True).alias("marked"))
 
 
-_STRIP = r"trim(regexp_replace(regexp_replace(translate(text, '‹›[]', ''), '\{[^}]+\}', '', 'g'), ' {2,}', ' ', 'g'))"
+_STRIP = r"trim(regexp_replace(regexp_replace(translate(text, '‹›[]', ''), '\{[^}]+\}', '', 'g'), ' {2,}', ' ', 'g'), ' ')"
 
 
 @query(f"with {STORED} select row_id, {_STRIP} as plain from stored where regexp_matches(text, '[\\[{{‹]')")
@@ -440,7 +440,7 @@ def clean_spacing(spark: SparkSession, sf: str) -> DataFrame:
 _HTML = "'<p>' || coalesce(name, '') || '<br/>' || coalesce(year, '') || ' &amp; &lt;' || module || '&gt;</p>'"
 
 
-@query(f"select id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_HTML}, '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), ' ' ) as plain from bibles")
+@query(f"select id, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_HTML}, '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') as plain from bibles")
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(F.lit("<p>"), F.coalesce("name", F.lit("")), F.lit("<br/>"), F.coalesce("year", F.lit("")), F.lit(" &amp; &lt;"), "module", F.lit("&gt;</p>"))
     return table(spark, sf, "bibles").select("id", T.html_to_text(html).alias("plain"))
@@ -518,13 +518,13 @@ def results_by_address(spark: SparkSession, sf: str) -> DataFrame:
     return shape.by_address(hits).select("bcv", "book", "chapter", "verse", F.array_join(F.map_keys("texts"), ",").alias("modules"))
 
 
-@query(f"with {UNITS}, p as (select *, sum(contains(text, '¶')::int) over (partition by module, book, chapter order by verse, id) as paragraph from units) select module, book, chapter, paragraph::bigint as paragraph, min(verse) as first_verse, string_agg(trim(replace(text, '¶', '')), ' ' order by verse, id) as text from p group by all")
+@query(f"with {UNITS}, p as (select *, sum(contains(text, '¶')::int) over (partition by module, book, chapter order by verse, id) as paragraph from units) select module, book, chapter, paragraph::bigint as paragraph, min(verse) as first_verse, string_agg(trim(replace(text, '¶', ''), ' '), ' ' order by verse, id) as text from p group by all")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return shape.paragraphs(corpus.units(spark, sf))
 
 
 @query(
-    f"with {UNITS}, e as (select row_id, module, book, chapter, verse, id, text || case when verse % 5 = 0 then ' ¶' else '' end as text from units), c as (select row_id, coalesce(lag(regexp_matches(text, '¶\\s*$')) over (partition by module, book, chapter order by verse, id), false) as carry, trim(regexp_replace(text, '\\s*¶\\s*$', '')) as bare, text from e) select row_id, case when carry and not starts_with(text, '¶') then '¶ ' || bare else bare end as text from c"
+    f"with {UNITS}, e as (select row_id, module, book, chapter, verse, id, text || case when verse % 5 = 0 then ' ¶' else '' end as text from units), c as (select row_id, coalesce(lag(regexp_matches(text, '¶\\s*$')) over (partition by module, book, chapter order by verse, id), false) as carry, trim(regexp_replace(text, '\\s*¶\\s*$', ''), ' ') as bare, text from e) select row_id, case when carry and not starts_with(text, '¶') then '¶ ' || bare else bare end as text from c"
 )
 def paragraph_carry(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.units(spark, sf).withColumn("text", F.concat("text", F.when(F.col("verse") % 5 == 0, " ¶").otherwise("")))
@@ -733,7 +733,7 @@ def import_module_lines(spark: SparkSession, sf: str) -> DataFrame:
     return importers.delimited_lines(lines, ["book", "chapter", "verse", "text"]).select("book", "chapter", "verse", "text")
 
 
-@query("select id, case when trim(name) = '' then null else trim(name) end as name, installed = 1 as installed, coalesce(copyright_id, -1)::int as copyright_id, null::varchar as missing from bibles")
+@query("select id, case when trim(name, ' ') = '' then null else trim(name, ' ') end as name, installed = 1 as installed, coalesce(copyright_id, -1)::int as copyright_id, null::varchar as missing from bibles")
 def typed_csv_map(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "bibles").select(F.col("id").cast("string"), "name", F.when(F.col("installed") == 1, "Yes").otherwise("no").alias("installed"), F.coalesce(F.col("copyright_id").cast("string"), F.lit("")).alias("copyright_id"))
     return importers.dimension_csv(raw, {"id": "int", "name": "string", "installed": "boolstr", "copyright_id": "int", "missing": "string"}, "id").fillna(-1, ["copyright_id"])
@@ -761,7 +761,7 @@ def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     return exports.csv_lines(exports.with_book_names(stored(spark, sf), table(spark, sf, "books"), "en"))
 
 
-@query("select row_id, case when b.lang_short in ('en', 'es', 'zh') then coalesce(text, '') else trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\{[^}]+\\}', '', 'g'), ' {2,}', ' ', 'g')) end as text from verses v join bibles b on v.module = b.module")
+@query("select row_id, case when b.lang_short in ('en', 'es', 'zh') then coalesce(text, '') else trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\{[^}]+\\}', '', 'g'), ' {2,}', ' ', 'g'), ' ') end as text from verses v join bibles b on v.module = b.module")
 def export_without_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     rows = stored(spark, sf).join(table(spark, sf, "bibles").select("module", "lang_short"), "module")
     return rows.select("row_id", exports.without_lexicon(F.col("text"), F.col("lang_short")).alias("text"))

@@ -113,8 +113,9 @@ def sheet_cells(path: str) -> list[list[str]]:
         cells: dict[int, str] = {}
         for c in (x for x in row if x.tag.endswith("}c")):
             at = 0
-            for letter in re.match(r"[A-Z]+", c.get("r", "A1")).group():
+            for letter in re.match(r"[A-Z]*", c.get("r", "")).group():
                 at = at * 26 + ord(letter) - 64
+            at = at or max(cells, default=-1) + 2  # a cell without a name follows the one before
             formula = next((x.text for x in c if x.tag.endswith("}f")), None)
             value = "".join(x.text or "" for x in c.iter() if x.tag.endswith(("}v", "}t")))
             cells[at - 1] = f"={formula}" if formula else strings[int(value)] if c.get("t") == "s" and value else value
