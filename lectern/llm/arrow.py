@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -20,9 +23,27 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once an application, so that workers need no path of the driver's."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="lectern-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Iterable[dict[str, Any]]], ddl: str) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of columns; a dict without rows gives no batch."""
     schema = T._parse_datatype_string(ddl)
+    ship(df.sparkSession)
 
     def run(batches: Batches) -> Batches:
         out = arrow_schema(schema)
@@ -47,8 +68,6 @@ def durable(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            import tempfile
-
             folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 BINS = 32
 
 
 class Booster:
-    """Histogram trees of fixed depth on the logistic loss, with Newton leaves."""
+    """Histogram trees of fixed depth on the logistic loss, with Newton leaves.
+
+    ``prior`` gives log-odds to start from, which the trees correct as far as the data carry; without it they start from
+    the rate of the labels.
+    """
 
-    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: int = 12, ridge: float = 2.0):
-        self.rounds, self.depth, self.rate, self.least, self.ridge = rounds, depth, rate, least, ridge
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: int = 12, ridge: float = 2.0, prior: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.rounds, self.depth, self.rate, self.least, self.ridge, self.prior = rounds, depth, rate, least, ridge, prior
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Booster":
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for c in x.T]
         bins = self._bin(x)
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(p / (1 - p))), []
-        score = np.full(len(y), self.base)
-        for _ in range(self.rounds):
+        score = self._start(x)
+        for _ in range(self.rounds if len(y) else 0):
             prob = 1 / (1 + np.exp(-score))
             tree = self._grow(bins, y - prob, prob * (1 - prob))
             self.trees.append(tree)
             score += self._apply(tree, bins)
         return self
 
+    def _start(self, x: np.ndarray) -> np.ndarray:
+        return self.prior(x) if self.prior else np.full(len(x), self.base)
+
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, v, "right") for c, v in zip(self.cuts, x.T)], 1).astype(np.int64)
 
@@ -70,7 +79,7 @@ class Booster:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of the positive label."""
         bins = self._bin(x)
-        return self.base + sum((self._apply(t, bins) for t in self.trees), np.zeros(len(x)))
+        return self._start(x) + sum((self._apply(t, bins) for t in self.trees), np.zeros(len(x)))
 
 
 class Isotonic:

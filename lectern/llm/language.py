@@ -14,6 +14,7 @@ that lie nearer to another language's mean and languages that keep few. All rows
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -32,7 +33,7 @@ SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
 FEATURES = 1 << 13
 CENTROIDS = 3
 PROJECTION = 32
-COHESION = 0.6  # least part of a language's sentences that must be nearest to its own mean
+COHESION = 0.8  # a label is a mistake if its sentences are this much as near to another language as to themselves
 REJECT = 0.12  # least cosine to the nearest centroid
 CHANGE = 2.2  # price of a change of language within a document, in units of a usual word's evidence
 CACHE = 300_000  # words remembered by a worker
@@ -180,9 +181,19 @@ def _sentence_vectors(texts: list[str]) -> np.ndarray:
     return out
 
 
-def train(rows: Iterable[tuple[str, str]], seed: int = 5, most: int = 220) -> Model:
-    """A model from (language, text) rows; ``most`` sentences of each language are used."""
+def _means(groups: list[np.ndarray]) -> np.ndarray:
+    middle = np.stack([v.mean(0) for v in groups])
+    return middle / np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-6)
+
+
+def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None, seed: int = 5, most: int = 220) -> Model:
+    """A model from (language, text) rows; ``most`` sentences of each language are used.
+
+    ``sizes`` says how many rows the whole table has of each label, if ``rows`` are a sample.
+    """
     by: dict[str, list[str]] = {}
+    rows = list(rows)
+    sizes = sizes or Counter(lang for lang, _ in rows)
     for lang, text in rows:
         by.setdefault(lang, []).extend(s for s in re.split(r"[.!?\n]+", readable(text)) if len(s) > 25)
     rng = np.random.default_rng(seed)
@@ -197,16 +208,18 @@ def train(rows: Iterable[tuple[str, str]], seed: int = 5, most: int = 220) -> Mo
         np.log1p(v, out=v)
         v *= idf
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-    # wrong labels: a sentence nearer to another language's mean is dropped, and so is a "language" that keeps few,
-    # as its label was only ever set by mistake
-    while True:
-        middle = np.stack([v.mean(0) for v in x.values()])
-        middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-6)
-        kept = {k: (v @ middle.T).argmax(1) == j for j, (k, v) in enumerate(x.items())}
-        worst = min(kept, key=lambda k: kept[k].mean())
-        if kept[worst].mean() >= COHESION or len(x) == 1:
+    # wrong labels: from the rarest on, a label whose sentences lie about as near to another language's mean as to their
+    # own was only ever set by mistake; then each sentence nearer to another language's mean is dropped
+    for k in sorted(x, key=lambda k: sizes.get(k, 0)):
+        others = [j for j in x if j != k]
+        if not others:
             break
-        del x[worst]
+        middle = _means([x[j] for j in others])
+        other, own = np.median((x[k] @ middle.T).max(1)), np.median(x[k] @ _means([x[k]])[0])
+        if other > COHESION * own:
+            del x[k]
+    middle = _means(list(x.values()))
+    kept = {k: (v @ middle.T).argmax(1) == j for j, (k, v) in enumerate(x.items())}
     languages = list(x)
     centres = []
     for k in languages:
@@ -256,7 +269,7 @@ def train_on(docs: DataFrame, id_col: str, text_col: str, code: Column, sample:
         raise ValueError("no labelled text to learn from")
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(1e6 * min(1.0, 1.3 * sample / n)) + 1)) for k, n in sizes.items()))
     picked = rows.where((F.pmod(F.xxhash64("rec_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))) & F.char_length("text").between(40, SAMPLE_CHARS))
-    return train([(x.lang, x.text) for x in picked.select("lang", "text").limit(2 * sample * len(sizes)).collect()])
+    return train([(x.lang, x.text) for x in picked.select("lang", "text").limit(2 * sample * len(sizes)).collect()], sizes)
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str, model: Model, keep: list[str] | None = None) -> DataFrame:
