@@ -28,6 +28,7 @@ PERIOD = 91
 COVER = [0, 1, 3, 9, 27, 49, 56, 61, 77, 81]
 LENGTH = 200
 CHUNK = 1 << 20  # characters hashed at a time; longer texts are cut with overlap
+AT_ONCE = 1 << 21  # hashes of a bucket that a task unpacks together
 FLUSH = 1 << 20  # hashes that one task holds before it packs them
 ANCHOR_BYTES = 5  # of an anchor's hash, beside its bucket; equal anchors only nominate, full windows keep all eight bytes
 ODD = 0x9E3779B97F4A7C15
@@ -42,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Polynomial hashes modulo 2**64 of windows at any positions, by prefix sums."""
 
-    def __init__(self, size: int = CHUNK + LENGTH + PERIOD):
+    def __init__(self, size: int):
         one = np.ones(size + 1, np.uint64)
         up, down = one.copy(), one.copy()
         up[1:] = np.uint64(ODD)
@@ -64,10 +65,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def chunks(n: int, width: int) -> Iterator[tuple[int, int]]:
+def chunks(n: int, width: int, chunk: int) -> Iterator[tuple[int, int]]:
     """Cuts of a text of ``n`` characters such that every window of ``width`` starts in exactly one of them."""
-    for lo in range(0, n - width + 1, CHUNK):
-        yield lo, min(n, lo + CHUNK + width - 1)
+    for lo in range(0, n - width + 1, chunk):
+        yield lo, min(n, lo + chunk + width - 1)
 
 
 class Packer:
@@ -140,10 +141,24 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return numbers(data, n, digest, 12 * m + size * n, np.uint64), np.repeat(ids, runs), sums - np.repeat(base, runs)
 
 
-def shared_groups(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The (hash, record, position) of hashes that occur in two records or more, sorted by hash and record."""
-    parts = [unpack(b) for b in blobs]
-    h, rec, at = (np.concatenate(x) for x in zip(*parts))
+def shared_groups(blobs: list[bytes], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The (hash, record, position) of hashes that occur in two records or more, sorted by hash and record.
+
+    A bucket of more than ``at_once`` hashes is worked through in turns by the hashes' low bits, so memory is bounded by
+    the packed blobs and one turn; only the places of one single hash are never divided.
+    """
+    turns = 1
+    while sum(struct.unpack_from("<I", b)[0] for b in blobs) > at_once * turns:
+        turns *= 2
+    for turn in range(turns):
+        parts = [unpack(b) for b in blobs]
+        if turns > 1:
+            mine = [p[0] & np.uint64(turns - 1) == np.uint64(turn) for p in parts]
+            parts = [tuple(x[m] for x in p) for p, m in zip(parts, mine)]
+        yield _shared(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _shared(h: np.ndarray, rec: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     again = np.zeros(len(h), bool)
     same = h[order][1:] == h[order][:-1]
@@ -166,34 +181,34 @@ def _by_bucket(df: DataFrame, width: int) -> DataFrame:
     return df.repartition(width, "bucket").sortWithinPartitions("bucket")
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _groups(batches: Iterable[pa.RecordBatch], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     name, blobs = None, []
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if b != name and blobs:
-                yield shared_groups(blobs)
+                yield from shared_groups(blobs, at_once)
                 blobs = []
             name = b
             blobs.append(blob)
     if blobs:
-        yield shared_groups(blobs)
+        yield from shared_groups(blobs, at_once)
 
 
 def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    window = length - PERIOD + 1
+    window, chunk, flush = length - PERIOD + 1, CHUNK, FLUSH
 
     def run(batches):
-        hasher, packer = Hasher(), Packer(buckets, ANCHOR_BYTES)
+        hasher, packer = Hasher(chunk + window), Packer(buckets, ANCHOR_BYTES)
         for batch in batches:
             for rec_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = code_points(text)
-                for lo, hi in chunks(len(codes), window):
+                for lo, hi in chunks(len(codes), window, chunk):
                     sums = hasher.sums(codes[lo:hi])
                     turn = np.arange(lo // PERIOD, (hi - window) // PERIOD + 1)
                     at = (turn[:, None] * PERIOD + np.array(COVER)).ravel() - lo
                     at = at[(at >= 0) & (at <= hi - lo - window)]
                     packer.add(hasher.windows(sums, at, window), rec_id, at + lo)
-                yield from packer.drain(FLUSH)
+                yield from packer.drain(flush)
         yield from packer.drain()
 
     return map_arrow(rows, run, "bucket int, blob binary")
@@ -202,8 +217,10 @@ def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 def candidates(blobs: DataFrame, width: int) -> DataFrame:
     """``rec_id, places``: for each record the positions (as int64 bytes) of anchors that another record has too."""
 
+    at_once = AT_ONCE
+
     def run(batches):
-        for _, rec, at in _groups(batches):
+        for _, rec, at in _groups(batches, at_once):
             if len(rec):
                 order = np.lexsort((at, rec))
                 rec, at = rec[order], at[order]
@@ -216,10 +233,10 @@ def candidates(blobs: DataFrame, width: int) -> DataFrame:
 
 
 def full_windows(rows: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
-    window = length - PERIOD + 1
+    window, chunk, flush = length - PERIOD + 1, CHUNK, FLUSH
 
     def run(batches):
-        hasher, packer = Hasher(), Packer(buckets, 8)
+        hasher, packer = Hasher(chunk + length), Packer(buckets, 8)
         for batch in batches:
             for rec_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 codes = code_points(text)
@@ -231,11 +248,11 @@ def full_windows(rows: DataFrame, places: DataFrame, length: int, buckets: int)
                 np.add.at(edge, np.maximum(anchor - (length - window), 0), 1)
                 np.add.at(edge, np.minimum(anchor, n - length) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge[: n - length + 1]) > 0)
-                for lo, hi in chunks(n, length):
+                for lo, hi in chunks(n, length, chunk):
                     at = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi - length, "right")] - lo
                     if len(at):
                         packer.add(hasher.windows(hasher.sums(codes[lo:hi]), at, length), rec_id, at + lo)
-                yield from packer.drain(FLUSH)
+                yield from packer.drain(flush)
         yield from packer.drain()
 
     return map_arrow(rows.join(places, "rec_id"), run, "bucket int, blob binary")
@@ -260,9 +277,11 @@ def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     blobs, width = _windows(df, id_col, text_col, length, buckets)
 
+    at_once = AT_ONCE
+
     def run(batches):
         seen: set[bytes] = set()
-        for h, rec, _ in _groups(batches):
+        for h, rec, _ in _groups(batches, at_once):
             if not len(h):
                 continue
             one = np.concatenate([[True], (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])])
@@ -296,8 +315,10 @@ def shared_cover(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     blobs, width = _windows(df, id_col, text_col, length, buckets)
 
+    at_once = AT_ONCE
+
     def run(batches):
-        for h, rec, at in _groups(batches):
+        for h, rec, at in _groups(batches, at_once):
             if len(h):
                 order = np.lexsort((at, rec))
                 rec, at = rec[order], at[order]

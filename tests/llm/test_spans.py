@@ -40,12 +40,13 @@ def brute(values, length):
     return pairs, cover
 
 
-@pytest.mark.parametrize("seed,chunk,flush", [(1, 1 << 20, 1 << 20), (2, 300, 100), (3, 1 << 20, 500)])
-def test_against_brute_force(spark, monkeypatch, seed, chunk, flush):
+@pytest.mark.parametrize("seed,chunk,flush,once", [(1, 1 << 20, 1 << 20, 1 << 21), (2, 300, 100, 1 << 21), (3, 1 << 20, 500, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, chunk, flush, once):
     values = texts(seed)
     rows = spark.createDataFrame([(k, t, "z") for k, t in enumerate(values)], "doc_id long, text string, bucket string").repartition(3)
     monkeypatch.setattr(spans, "CHUNK", chunk)
     monkeypatch.setattr(spans, "FLUSH", flush)
+    monkeypatch.setattr(spans, "AT_ONCE", once)
     pairs, cover = brute(values, 200)
     got = [tuple(r) for r in spans.shared_pairs(rows).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
