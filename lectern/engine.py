@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,17 +59,39 @@ class Engine:
         return corpus.table(self.spark, self.root, name)
 
     def _route(self, r: Request) -> tuple[str, str]:
-        """(reference, search) of a request; an undecided text goes one way or the other."""
-        if r.request and (r.reference or r.search):
-            raise RequestError("a request holds either undecided text or a reference and a search")
-        if not r.request:
-            if not (r.reference.strip(" ;,.") or r.search.strip() or any(v.strip() for v in r.advanced.values())):
-                raise RequestError("nothing was asked for")
+        """(reference, search) of a request; an undecided text goes one way or the other.
+
+        Beside a search it is the reference; beside a reference it is the better reference if it is one, else the search.
+        """
+        given = (r.reference.strip(" ;,."), r.search.strip(), r.request.strip(" ;,."))
+        if all(given):
+            raise RequestError("a reference, a search and undecided text can't be asked for together")
+        if not any(given) and not any(v.strip() for v in r.advanced.values()):
+            raise RequestError("nothing was asked for")
+        if not given[2]:
             return r.reference, r.search
-        return (r.request, "") if refs.is_reference(r.request, self.resolver(r.lang)) else ("", r.request)
+        if given[1]:
+            return r.request, r.search
+        is_reference = refs.is_reference(r.request, self.resolver(r.lang))
+        if given[0]:
+            return (r.request, "") if is_reference else (r.reference, r.request)
+        return (r.request, "") if is_reference else ("", r.request)
 
     def resolver(self, lang_: str):
-        return catalog.book_resolver(self.table("books"), lang_, self.common)
+        """Book names of one language, or of several (``en,fr``): the first that knows a name decides; ids agree over languages."""
+        each = [catalog.book_resolver(self.table("books"), x.strip(), self.common) for x in lang_.split(",")]
+
+        def resolve(name: str) -> int | None:
+            return next((b for b in (f(name) for f in each) if b is not None), None)
+
+        return resolve
+
+    def disambiguation(self, request: str, lang_: str = "en") -> DataFrame:
+        """Books that a text searched as keywords may have meant, by prefix."""
+        want = F.lit(request.strip().lower())
+        names = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "shortname", "matching1", "matching2")]
+        hit = names[0].startswith(want) | names[1].startswith(want) | names[2].startswith(want) | names[3].startswith(want)
+        return self.table("books").where((F.col("lang") == lang_) & hit & (F.length(want) > 0)).select("id", "name").orderBy("id")
 
     def passages(self, text: str, lang_: str, searching: bool = False) -> list[refs.Passage]:
         """Passages of a reference; an unknown book is an error."""
@@ -163,6 +187,44 @@ class Engine:
         counts = stats.chapter_counts(corpus.units(self.spark, self.root, text=False).where(F.col("module") == module))
         return catalog.sections(self.table("books").where(F.col("lang") == lang_), counts)
 
+    def self_test(self, module: str, references: list[str], lang_: str = "en") -> DataFrame:
+        """``reference, found``: how many verses an edition has for each of some references; it works if any has some."""
+        rows = []
+        for k, text in enumerate(references):
+            rows += [(k, text, *x[1:]) for x in refs.Ranges.of(self.passages(text, lang_)).rows]
+        ranges = self.spark.createDataFrame(rows, "passage int, reference string, book int, low int, high int")
+        units = corpus.units(self.spark, self.root, text=False).where(F.col("module") == module)
+        found = stats.claimed(units, ranges).groupBy("passage").agg(F.count("*").alias("found"))
+        return ranges.select("passage", "reference").distinct().join(found, "passage", "left").select("reference", F.coalesce("found", F.lit(0)).alias("found"))
+
+    def lexicon(self, text: str, definitions: DataFrame) -> DataFrame:
+        """Definitions of the lexicon numbers in a text; ``definitions`` has number and definition."""
+        asked = self.spark.createDataFrame([(text,)], "text string")
+        return catalog.lexicon_lookup(asked, "text", definitions)
+
+    def cached(self, r: Request) -> tuple[str, str]:
+        """Key and canonical JSON of a request without its page, for replay."""
+        form = {k: v for k, v in sorted(vars(r).items()) if k not in ("page", "page_size", "page_all") and v not in ("", None, False, {}, [])}
+        text = json.dumps(form, sort_keys=True, ensure_ascii=False)
+        return hashlib.sha256(text.encode()).hexdigest()[:24], text
+
+    def replay(self, text: str, page: int = 1) -> DataFrame:
+        """Run a cached request again, at another page."""
+        return self.query(Request(**(json.loads(text) | {"page": page})))
+
+    def action(self, name: str, allowed: frozenset[str] | None = None, **arguments) -> DataFrame:
+        """An action by its public name; ``allowed`` are the actions of the caller's access level."""
+        actions = {
+            "query": self.query, "bibles": self.editions, "books": self.books, "statistics": self.statistics, "statics_changed": self.changed,
+            "readcache": self.replay, "strongs": self.lexicon, "shortcuts": lambda lang_="en": self.table("shortcuts").where(F.col("lang") == lang_),
+            "languages": lambda: catalog.used_languages(self.table("languages"), self.table("bibles")),
+        }
+        if name not in actions:
+            raise RequestError(f"no such action: {name}", 4)
+        if allowed is not None and name not in allowed:
+            raise RequestError(f"action not permitted: {name}", 5)
+        return actions[name](**arguments)
+
     def changed(self) -> DataFrame:
         """When any of the static tables last changed."""
         a = self.table("bibles").agg(F.max(F.greatest("created_at", F.coalesce("updated_at", "created_at"))).alias("t"))

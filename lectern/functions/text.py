@@ -153,3 +153,17 @@ def usfm_inline(col: Column) -> Column:
     x = F.regexp_replace(x, r"\\\+?w\s+([^|\\]*)(?:\|[^\\]*)?\\\+?w\*", "$1")
     x = F.regexp_replace(x, r"(?s)\\([fx])\s.*?\\\1\*", "")
     return clean_spaces(F.regexp_replace(x, r"\\\+?[a-z]+[0-9]*\*?", " "))
+
+
+def without_counts(col: Column) -> Column:
+    """A grammar note without its leading count of uses."""
+    return F.regexp_replace(col, r"<b>Count:</b> [0-9]+.*?<br>", "")
+
+
+def short_key(col: Column, seed: int = 0) -> Column:
+    """A deterministic key of a value in base 36."""
+    return F.lower(F.conv(F.hex(F.xxhash64(F.lit(seed), col)), 16, 36))
+
+
+def megabytes(col: Column) -> Column:
+    return F.round(col / (1024 * 1024), 1)

@@ -158,3 +158,24 @@ def lexicon_lookup(queries: DataFrame, text_col: str, lexicon: DataFrame) -> Dat
 
     wanted = queries.select(F.explode(lexicon_numbers(F.col(text_col))).alias("number")).distinct()
     return wanted.join(lexicon.select("number", "definition"), "number", "left").withColumn("found", F.col("definition").isNotNull())
+
+
+def usage(artifacts: DataFrame, events: DataFrame) -> DataFrame:
+    """Artifacts with their counters advanced: hits, rendering time and last download of ``events`` (module, seconds, at) are added."""
+    n = events.groupBy("module").agg(F.count("*").alias("_n"), F.sum("seconds").alias("_s"), F.max("at").alias("_at"))
+    joined = artifacts.join(n, "module", "left")
+    kept = [c for c in artifacts.columns if c not in ("hits", "seconds", "downloaded_at")]
+    hits, seconds = F.col("hits") + F.coalesce("_n", F.lit(0)), F.col("seconds") + F.coalesce("_s", F.lit(0.0))
+    return joined.select(*kept, hits.alias("hits"), seconds.alias("seconds"), F.greatest("downloaded_at", "_at").alias("downloaded_at"))
+
+
+def live_size(artifacts: DataFrame, now: Column, pending_days: int = 2) -> DataFrame:
+    """``total``: size of the artifacts that were downloaded, or rendered in the last days and may yet be."""
+    live = F.col("downloaded_at").isNotNull() | (F.col("rendered_at") > now - F.expr(f"interval {pending_days} days"))
+    return artifacts.where(live).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+
+
+def section_list_usable(found: DataFrame, known: DataFrame, lang: str, least: int = 66) -> bool:
+    """Whether a file's section list may become its language's: complete, all named, and none there yet (lists of tens of rows)."""
+    n, named = found.agg(F.count("*"), F.count_if(F.length(F.trim(F.coalesce("name", F.lit("")))) > 0)).first()
+    return n >= least and n == named and known.where(F.col("lang") == lang).isEmpty()

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..corpus import newest
+from ..storage import durable
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,8 +55,9 @@ def running_sum(rows: DataFrame, value: str, order: list[Column]) -> DataFrame:
     """``_before``: the sum of all rows before each in a total order, without one task for all.
 
     Rows are range-partitioned; each partition's total is small, and a window over the totals gives every partition its start.
+    Both read the same kept partitioning, as bounds that were sampled twice might differ.
     """
-    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parted = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inner = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = parted.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0.0)))
     # one row a partition

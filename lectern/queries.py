@@ -150,6 +150,23 @@ def lookup_by_bcv(spark: SparkSession, sf: str) -> DataFrame:
     return units.join(wanted, "bcv", "left_semi").select(*HIT)
 
 
+@query(f"with {UNITS} select row_id, module, book, chapter, verse from units where module = (select min(module) from verses) and id in (1, 5, 9)")
+def lookup_verse_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """References by verse id, as in ``1V, 5V``: the ids' addresses come from the first edition."""
+    units = corpus.units(spark, sf, text=False).where(F.col("module") == _baseline(spark, sf))
+    known = {r.id: (r.book, r.chapter, r.verse) for r in units.where(F.col("id").isin(1, 5, 9)).collect()}
+    passages = refs.parse_references("1V, 5V, 9V", lambda b: int(b[:-1]) if b.endswith("B") else None, verse_address=known.get)
+    return units.where(refs.predicate(passages)).select(*HIT)
+
+
+@query(f"with {UNITS}, c as (select book, max(chapter) as n from units group by book) select book, unnest(generate_series(1, n))::int as chapter from c where book between 3 and 6")
+def explode_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of books as one passage a chapter; the last chapters are a row a book."""
+    last = {r.book: r.n for r in corpus.units(spark, sf, text=False).groupBy("book").agg(F.max("chapter").alias("n")).collect()}
+    parts = refs.exploded(refs.parse_references("3B - 6B", lambda b: int(b[:-1]))[0], lambda b: last.get(b, 0))
+    return spark.createDataFrame([(p.book, p.items[0].c0) for p in parts], "book int, chapter int")
+
+
 @query(f"with {STORED} {HIT_SQL} {_has('king')} and book between 1 and 3")
 def search_within_passage(spark: SparkSession, sf: str) -> DataFrame:
     inside = refs.predicate(refs.parse_references("1B - 3B", lambda b: int(b[:-1])))
@@ -618,6 +635,21 @@ def request_cache(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", T.canonical_json(pairs).alias("form"))
 
 
+@query(
+    "with e as (select bible as module, count(*) as n, sum((request_id % 10)::double) as s, max(requested_at) as at from passage_requests where bible is not null group by 1) select id, b.module, id % 5 + coalesce(n, 0) as hits, 1.5 + coalesce(s, 0) as seconds from bibles b left join e on b.module = e.module"
+)
+def artifact_usage(spark: SparkSession, sf: str) -> DataFrame:
+    made = table(spark, sf, "bibles").select("id", "module", (F.col("id") % 5).cast("long").alias("hits"), F.lit(1.5).alias("seconds"), F.lit(None).cast("timestamp_ntz").alias("downloaded_at"))
+    events = table(spark, sf, "passage_requests").where("bible is not null").select(F.col("bible").alias("module"), (F.col("request_id") % 10).cast("double").alias("seconds"), F.col("requested_at").alias("at"))
+    return catalog.usage(made, events).select("id", "module", "hits", "seconds")
+
+
+@query("select coalesce(sum(id), 0)::bigint as total from bibles where updated_at is not null or created_at > timestamp '2024-12-01' - interval 2 day")
+def live_artifact_size(spark: SparkSession, sf: str) -> DataFrame:
+    made = table(spark, sf, "bibles").select(F.col("updated_at").alias("downloaded_at"), F.col("created_at").alias("rendered_at"), F.col("id").cast("long").alias("size"))
+    return catalog.live_size(made, F.lit("2024-12-01").cast("timestamp_ntz"))
+
+
 # ---- changes --------------------------------------------------------------------------------------------------------
 
 
@@ -772,6 +804,13 @@ def bundle_index(spark: SparkSession, sf: str) -> DataFrame:
     return exports.bundle_index(table(spark, sf, "bibles").withColumn("lang_short", F.coalesce("lang_short", F.lit(""))))
 
 
+@query(
+    "select 'languages' as tbl, 'INSERT INTO `languages` (`code`, `name`, `rtl`) VALUES (''' || code || ''', ''' || replace(name, '''', '''''') || ''', ' || rtl || ');' as line from languages union all select 'shortcuts', 'INSERT INTO `shortcuts` (`id`, `lang`, `short1`) VALUES (' || id || ', ''' || lang || ''', ' || coalesce('''' || replace(short1, '''', '''''') || '''', 'NULL') || ');' from shortcuts"
+)
+def export_extras(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.extras({"languages": table(spark, sf, "languages").select("code", "name", "rtl"), "shortcuts": table(spark, sf, "shortcuts").select("id", "lang", "short1")})
+
+
 # ---- several values in one field ------------------------------------------------------------------------------------
 
 

@@ -163,6 +163,15 @@ def write_bundle(files: dict[str, bytes], index: str, path: str) -> None:
             z.writestr(name, files[name])
 
 
+def extras(tables: dict[str, DataFrame]) -> DataFrame:
+    """``tbl, line``: INSERT statements of several dimension tables, all their columns."""
+    out = None
+    for name, rows in tables.items():
+        part = sql_lines(rows, F.lit(name), rows.columns).select(F.lit(name).alias("tbl"), "line")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 LINES: dict[str, Callable[[DataFrame], DataFrame]] = {"csv": csv_lines, "json": json_lines, "text": text_lines, "machine": machine_lines, "module": module_lines}
 FILES: dict[str, Callable] = {"csv": write_csv, "json": write_json, "sqlite": write_sqlite, "module": write_module}
 GROUPS = {"text": ["text", "machine"], "data": ["csv", "json", "module", "sqlite"], "sheet": ["sheet"], "sql": ["sql"]}

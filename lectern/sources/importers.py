@@ -201,6 +201,23 @@ def usfm_zip(spark: SparkSession, path: str, pattern: str = r"(?i)\.(usfm|sfm|tx
     return usfm(spark.createDataFrame(rows, "book int, value string"))
 
 
+def numbered_usfm_zip(spark: SparkSession, path: str) -> DataFrame:
+    """An archive whose file numbers give the book: below 70 one less, else 30 less.
+
+    A note with a reference in parentheses at a verse's end is cut, asterisks go, and a paragraph line marks the verse behind it.
+    """
+    rows = []
+    with zipfile.ZipFile(path) as z:
+        for n in z.namelist():
+            m = re.match(r"0*([1-9]\d*)", n)
+            if m:
+                rows.append((int(m.group(1)) - (1 if int(m.group(1)) < 70 else 30), z.read(n).decode("utf-8-sig")))
+    files = spark.createDataFrame(rows, "book int, value string")
+    marked = F.regexp_replace("value", r"(?m)^\\p[ \t\r]*\n\\v\s+([0-9]+)\s+", r"\\v $1 ¶ ")
+    text = F.when(F.col("text").rlike(r"[0-9]+:[0-9]+"), F.regexp_replace("text", r"\s*\([^(]*$", "")).otherwise(F.col("text"))
+    return usfm(files.select("book", marked.alias("value"))).withColumn("text", F.trim(F.replace(text, F.lit("*"), F.lit(""))))
+
+
 def usx(files: DataFrame) -> DataFrame:
     """USX files (``book int, value string``) as verses: chapter and verse milestones with the text between them."""
     plain = F.regexp_replace("value", r"(?s)<note\b.*?</note>", "")
@@ -288,6 +305,7 @@ IMPORTERS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "sheet": (sheet_edition, (".xlsx", ".ods")),
     "unbound": (unbound_zip, (".zip",)),
     "usfm": (usfm_zip, (".zip",)),
+    "irv": (numbered_usfm_zip, (".zip",)),
     "analyzer": (analyzer, (".bib",)),
     "mysword": (mysword, (".mybible", ".gz", ".zip", ".sqlite")),
     "mybible": (mybible, (".sqlite3", ".gz", ".zip")),

@@ -36,8 +36,25 @@ def test_lookup_and_search(engine, modules):
     assert engine.editions().count() > 0 and engine.books("en", modules[0]).count() == 66 and engine.changed().first()[0]
 
 
+def test_actions_and_replay(engine, modules):
+    r = Request(modules[:1], search="a", page=3)
+    key, text = engine.cached(r)
+    assert key == engine.cached(Request(modules[:1], search="a"))[0] and '"page"' not in text
+    assert engine.replay(text, 1).columns == engine.query(r).columns
+    assert engine.action("bibles").count() > 0 and engine.action("shortcuts", lang_="en").count() > 0
+    for bad in ({"name": "nothing"}, {"name": "bibles", "allowed": frozenset()}):
+        with pytest.raises(RequestError):
+            engine.action(**bad)
+    assert sum(r.found for r in engine.self_test(modules[0], ["1B - 66B", "2B 1:1"]).collect()) > 0
+    name = engine.table("books").where("lang = 'en' and id = 1").first().name
+    assert engine.disambiguation(name[:4]).first().id == 1
+    assert engine._route(Request(modules, request=f"{name} 3"))[0] and engine._route(Request(modules, request="lamp"))[1]
+    assert engine._route(Request(modules, request=f"{name} 3", search="lamp")) == (f"{name} 3", "lamp")
+    assert engine._route(Request(modules, request="lamp", reference="1B 1")) == ("1B 1", "lamp")
+
+
 def test_refusals(engine, modules):
-    for bad in (Request(modules), Request(modules, request="x", search="y"), Request(modules, reference="Nowhere 3"), Request(modules, search="the of")):
+    for bad in (Request(modules), Request(modules, request="x", search="y", reference="1B 1"), Request(modules, reference="Nowhere 3"), Request(modules, search="the of")):
         with pytest.raises(ValueError):
             engine.query(bad)
     with pytest.raises(RequestError):

@@ -90,6 +90,12 @@ def test_marker_files(spark, tmp_path):
     assert content(importers.usfm_zip(spark, path)) == [(1, 1, 1, "In the{H1} day"), (1, 1, 2, "so"), (1, 2, 1, "end")]
     xml = '<usx><chapter number="1"/><para><verse number="1"/>a <note>n</note>b<verse number="2"/>c</para></usx>'
     assert content(importers.usx(spark.createDataFrame([(3, xml)], "book int, value string"))) == [(3, 1, 1, "a b"), (3, 1, 2, "c")]
+    numbered = str(tmp_path / "i.zip")
+    with zipfile.ZipFile(numbered, "w") as z:
+        z.writestr("02-GEN.txt", "\\id GEN\n\\c 1\n\\p\n\\v 1 *first\n\\v 2 second (see 3:4)\n")
+        z.writestr("70-MAT.txt", "\\c 2\n\\v 1 third\n")
+        z.writestr("readme", "x")
+    assert content(importers.import_edition(spark, "irv", numbered, "i")) == [(1, 1, 1, "¶ first"), (1, 1, 2, "second"), (40, 2, 1, "third")]
     tab = str(tmp_path / "t.zip")
     with zipfile.ZipFile(tab, "w") as z:
         z.writestr("n_utf8.txt", "#name\tx\n01O\t1\t1\t\t10\ta\n02O\t1\t2\t\t20\tb\n03O\t1\t1\tc\n")
