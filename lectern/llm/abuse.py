@@ -30,7 +30,7 @@ from .language import readable_all
 from .unify import DIGIT, GAP, LETTER, SIGN, surveys
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on
-SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
+SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
 THRESHOLD = 0.45  # calibrated rate from which a document counts as a case; raters overlook some, so it is below a half
 SUPPORT = 5  # documents of the sample that a word or pair must be in to have a weight
 PRIOR = 4  # documents' worth of the base rate that smooths a weight

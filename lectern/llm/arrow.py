@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import durable as durable
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -59,20 +61,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under names of its own, so extra columns cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text"))

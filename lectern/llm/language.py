@@ -29,13 +29,13 @@ from .arrow import map_arrow
 from .unify import FOREIGN, LATIN, UNSTABLE, surveys, unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
-SAMPLE_CHARS = 20_000  # longer documents aren't taken into that sample
+SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
 FEATURES = 1 << 13
 CENTROIDS = 3
 PROJECTION = 32
 COHESION = 0.8  # a label is a mistake if its sentences are this much as near to another language as to themselves
 REJECT = 0.12  # least cosine to the nearest centroid
-CHANGE = 2.2  # price of a change of language within a document, in units of a usual word's evidence
+CHANGE = 5.0  # price of a change of language within a document, in units of a usual word's evidence
 CACHE = 300_000  # words remembered by a worker
 TOKEN = regex.compile(r"[\p{L}\p{M}]+|[.!?\n]")
 MIXED_SCRIPT = re.compile("[A-Za-zÀ-ɏ][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-zÀ-ɏ]")
@@ -140,7 +140,7 @@ class Model:
     def by_language(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Dot product with the best centroid of each language, and the length of each vector."""
         k = len(self.languages)
-        dots = sums[:, :-PROJECTION].reshape(len(sums), k, -1).max(2)
+        dots = sums[:, :-PROJECTION].reshape(len(sums), k, CENTROIDS).max(2)
         return dots, np.maximum(np.sqrt((sums[:, -PROJECTION:] ** 2).sum(1)), 1e-6)
 
     def decide(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -264,7 +264,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, length: int, buckets: in
     spark = df.sparkSession
     width = shuffle_width(spark)
     buckets = buckets or 2 * width
-    rows = keyed_text(df, id_col, text_col).where(F.char_length("text") >= length)
+    rows = keyed_text(df, id_col, text_col).where((F.char_length("text") >= length) & F.col("rec_id").isNotNull())
     places = candidates(anchors(rows, length, buckets), width)
     return full_windows(rows, places, length, buckets), width
 
@@ -272,7 +272,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, length: int, buckets: in
 def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """``doc_a, doc_b``: pairs of records (``doc_a < doc_b``) with a common verbatim span of ``length`` code points.
 
-    Null, empty and shorter texts are in no pair; whole copies are; repeats of one id count as one record. Groups of
+    Null, empty and shorter texts and rows without an id are in no pair; whole copies are; repeats of one id count as one record. Groups of
     records that share windows are enumerated once per task and set of records, not once per window.
     """
     blobs, width = _windows(df, id_col, text_col, length, buckets)
@@ -311,7 +311,7 @@ def shared_cover(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``spans`` is an array of (start, end) of the maximal shared stretches, ``n_shared`` the characters they cover.
     Records without a shared span have an empty array and 0; null and empty texts have share 0. A repeated id is
-    reported once, by its longest text. The work is linear in the text however many records share a span.
+    reported once, by its longest text; rows without an id aren't reported. The work is linear in the text however many records share a span.
     """
     blobs, width = _windows(df, id_col, text_col, length, buckets)
 
@@ -336,7 +336,7 @@ def shared_cover(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         " else concat(a, array(x)) end)"
     )
     spans = stretches.groupBy("rec_id").agg(folded.alias("spans"))
-    size = keyed_text(df, id_col, text_col).groupBy("rec_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).cast("long").alias("n_chars"))
+    size = keyed_text(df, id_col, text_col).where("rec_id is not null").groupBy("rec_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).cast("long").alias("n_chars"))
     out = size.join(spans, "rec_id", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)")))
     n = F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)")
     return out.select(F.col("rec_id").alias(id_col), "spans", n.alias("n_shared"), "n_chars", F.when(F.col("n_chars") > 0, n / F.col("n_chars")).otherwise(0.0).alias("share"))

@@ -57,6 +57,16 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk, flush, once):
         assert report[k].n_shared == sum(s.hi - s.lo for s in report[k].spans)
 
 
+def test_very_long_texts(spark):
+    r = random.Random(8)
+    long = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    a, b = long(180_000), long(90_000)
+    piece = a[171_003:171_203]
+    rows = spark.createDataFrame([(1, a), (2, b[:80_001] + piece + b[80_001:]), (3, b[:199]), (4, piece[:-1])], "doc_id long, text string")
+    assert [tuple(x) for x in spans.shared_pairs(rows).collect()] == [(1, 2)]
+    assert {x.doc_id: x.n_shared for x in spans.shared_cover(rows).collect()} == {1: 200, 2: 200, 3: 0, 4: 0}
+
+
 def test_empty(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_pairs(rows).count() == 0 and spans.shared_cover(rows).count() == 0
