@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_arrow
+from .arrow import map_arrow, spread
 from .boosting import Booster, Isotonic
 from .language import readable_all
 from .unify import DIGIT, GAP, LETTER, SIGN, surveys
@@ -336,7 +336,7 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: AbuseMod
                 yield {id_col: batch.column(0).slice(lo, len(part)), "score": score, "worst": worst} | {c: batch.column(2 + k).slice(lo, len(part)) for k, c in enumerate(keep)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
-    return map_arrow(rows, run, f"`{id_col}` long, score double, worst string" + "".join(f", `{c}` string" for c in keep))
+    return map_arrow(spread(rows), run, f"`{id_col}` long, score double, worst string" + "".join(f", `{c}` string" for c in keep))
 
 
 def source_rates(scored: DataFrame, source_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:

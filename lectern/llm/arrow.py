@@ -57,6 +57,18 @@ def map_arrow(df: DataFrame, fn: Callable[[Batches], Iterable[dict[str, Any]]],
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all of them before costly work.
+
+    That is only so where the whole input is small (one file of one row group, say); other plans stay as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

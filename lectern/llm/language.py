@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_arrow
+from .arrow import map_arrow, spread
 from .unify import FOREIGN, LATIN, UNSTABLE, surveys, unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
@@ -296,7 +296,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str, model: Model, keep: list
 
     rows = docs.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
     ddl = f"`{id_col}` long, " + "".join(f"`{c}` string, " for c in keep) + "seg_no int, lang string, confidence double, start int, end int"
-    return map_arrow(rows.where(F.col("text").rlike(r"\S")), run, ddl)
+    return map_arrow(spread(rows.where(F.col("text").rlike(r"\S"))), run, ddl)
 
 
 def _rows(own: Model, texts: list[str]) -> dict[str, list]:
@@ -362,7 +362,7 @@ def detect_groups(rows: DataFrame, group_col: str, text_col: str, model: Model)
         yield {"grp": list(total), "v": [x.tolist() for x in total.values()]}
 
     texts = rows.select(F.col(group_col).cast("string").alias("grp"), F.col(text_col).cast("string").alias("text")).where("grp is not null and text is not null")
-    partial = map_arrow(texts, run, "grp string, v array<double>")
+    partial = map_arrow(spread(texts), run, "grp string, v array<double>")
     summed = partial.groupBy("grp").agg(*[F.sum(F.element_at("v", k + 1)).alias(f"v{k}") for k in range(width)])
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import keyed_text, map_arrow, shuffle_width
+from .arrow import keyed_text, map_arrow, shuffle_width, spread
 
 # A perfect difference set modulo 91 (every residue is a difference of two members).
 PERIOD = 91
@@ -211,7 +211,7 @@ def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from packer.drain(flush)
         yield from packer.drain()
 
-    return map_arrow(rows, run, "bucket int, blob binary")
+    return map_arrow(spread(rows), run, "bucket int, blob binary")
 
 
 def candidates(blobs: DataFrame, width: int) -> DataFrame:

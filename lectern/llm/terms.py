@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_arrow
+from .arrow import map_arrow, spread
 
 BURST = 512  # terms of a container before it bursts
 FLUSH = 400_000  # distinct terms that one task holds before it hands its trie on
@@ -148,7 +148,7 @@ def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     Returns ``term, occurrences, records``.
     """
     texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    subtrees = map_arrow(texts, _count, "prefix string, blob binary").repartition("prefix")
+    subtrees = map_arrow(spread(texts), _count, "prefix string, blob binary").repartition("prefix")
     partial = map_arrow(subtrees, _merge, "term string, occurrences long, records long")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import keyed_text, map_arrow
+from .arrow import keyed_text, map_arrow, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's split
@@ -184,7 +184,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
                 yield {id_col: keys.slice(k, len(rows)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
 
-    return map_arrow(keyed_text(df, id_col, text_col), run, f"`{id_col}` long, ids array<int>")
+    return map_arrow(spread(keyed_text(df, id_col, text_col)), run, f"`{id_col}` long, ids array<int>")
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -210,4 +210,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str], voc
             yield {id_col: batch.column(0), "n_tokens": [own.count(t) for t in texts]} | {c: batch.column(2 + k) for k, c in enumerate(keep)}
 
     source = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
-    return map_arrow(source, run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"`{c}` string" for c in keep))
+    return map_arrow(spread(source), run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"`{c}` string" for c in keep))

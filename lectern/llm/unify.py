@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import durable, keyed_text, map_arrow
+from .arrow import durable, keyed_text, map_arrow, spread
 
 # Letters that are drawn like a Latin one.
 CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅҮ", "aeopcyxijsdhqwABEKMHOPCTXIJSY"))
@@ -196,7 +196,7 @@ def unify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             yield {id_col: batch.column(0), "form": [None if t is None else own.form(t) for t in batch.column(1).to_pylist()]}
 
-    return map_arrow(keyed_text(df, id_col, text_col), run, f"`{id_col}` long, form string")
+    return map_arrow(spread(keyed_text(df, id_col, text_col)), run, f"`{id_col}` long, form string")
 
 
 def signed(x: int) -> int:
@@ -229,7 +229,7 @@ def comparison_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 check.append(zlib.crc32(data))
             yield {"rec_id": pc.take(batch.column(0), pa.array(keep, pa.int32())), "raw": raw, "look": look, "check": check}
 
-    return ascii_rows.unionByName(map_arrow(rows.where(~plain), run, "rec_id long, raw long, look long, check long"))
+    return ascii_rows.unionByName(map_arrow(spread(rows.where(~plain)), run, "rec_id long, raw long, look long, check long"))
 
 
 def same_looking(fields: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
