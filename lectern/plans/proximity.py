@@ -6,7 +6,7 @@ what is left of each term's matches is the result, so no tuple of the chain is e
 
 Flags pass over a distance in ids by window maxima. Windows are cut into blocks of ids with a margin of copied rows, so a
 book of any size spreads over as many tasks as it has blocks, and all hops of a chain share one exchange. Flags pass over a
-chapter or a book by a small aggregate of the flagged groups and a join.
+chapter by a window and over a book by a small aggregate of the flagged books and a join.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from .search import Hop, Search, column
 
 BLOCK = 4096  # ids of one edition that a task looks at together
@@ -51,11 +52,17 @@ def _within_blocks(df: DataFrame, search: Search, distances: list[int], scoped_b
 
 
 def _pass(df: DataFrame, flag: str, hop: Hop, distance: int, scoped_books: frozenset[int]) -> DataFrame:
-    """``df`` with ``_near``: whether a row flagged ``flag`` is in reach over one hop."""
-    if hop.kind in ("chap", "book"):
-        keys = ["module", "book"] + (["chapter"] if hop.kind == "chap" else [])
-        hit = df.where(F.col(flag)).select(*keys).distinct().withColumn("_near", F.lit(True))
-        return df.join(hit, keys, "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    """``df`` with ``_near``: whether a row flagged ``flag`` is in reach over one hop.
+
+    A chapter is small enough for a window. A book may not be, so its flag is aggregated and joined back; the rows are kept
+    before that, as they are read twice.
+    """
+    if hop.kind == "chap":
+        return df.withColumn("_near", F.max(F.col(flag)).over(W.partitionBy("module", "book", "chapter")))
+    if hop.kind == "book":
+        df = durable(df)
+        hit = df.where(F.col(flag)).select("module", "book").distinct().withColumn("_near", F.lit(True))
+        return df.join(hit, ["module", "book"], "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
     copies = F.sequence(F.floor((F.col("id") - distance) / BLOCK), F.floor((F.col("id") + distance) / BLOCK))
     rows = df.withColumn("_home", F.floor(F.col("id") / BLOCK)).withColumn("_block", F.explode(copies)).repartition("module", "_block")
     return rows.withColumn("_near", _near(flag, hop, distance, scoped_books)).where(F.col("_block") == F.col("_home")).drop("_home", "_block")
