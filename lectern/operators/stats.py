@@ -75,20 +75,23 @@ def missing_addresses(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
+MOST_EDITIONS = 100_000
+
+
 def missing_from_default(units: DataFrame, default: str) -> DataFrame:
     """Addresses of the default edition that each other edition lacks: ``module, book, chapter, verse``.
 
-    Each default address is paired with the other editions by a literal list of their names (a bounded dimension), then
-    what exists is taken away.
+    Each default address gathers the editions that have it, and what is left of the list of all editions is missing. That
+    list is the catalog of editions, a dimension; more than ``MOST_EDITIONS`` are refused.
     """
     keys = ["book", "chapter", "verse"]
-    others = units.where(F.col("module") != default).select("module").distinct()
+    rest = units.where(F.col("module") != default)
+    names = [r.module for r in rest.select("module").distinct().limit(MOST_EDITIONS + 1).collect()]
+    if len(names) > MOST_EDITIONS:
+        raise ValueError("too many editions to compare at once")
     spine = units.where(F.col("module") == default).select(*keys).distinct()
-    # a group count decides cheaply which addresses are complete; only the incomplete ones are expanded
-    have = units.where(F.col("module") != default).select("module", *keys).distinct()
-    names = others.agg(F.array_sort(F.collect_set("module")).alias("names"))
-    held = spine.join(have, keys, "left").groupBy(*keys).agg(F.collect_set("module").alias("held"))
-    return held.join(F.broadcast(names)).select(F.explode(F.array_except("names", "held")).alias("module"), *keys)
+    held = spine.join(rest.select("module", *keys), keys, "left").groupBy(*keys).agg(F.collect_set("module").alias("held"))
+    return held.select(F.explode(F.array_except(F.lit(names) if names else F.array().cast("array<string>"), "held")).alias("module"), *keys)
 
 
 def passage_labels(units: DataFrame, ranges: DataFrame) -> DataFrame:
