@@ -32,9 +32,14 @@ SAMPLE = 250  # labelled documents a language that the classifier is trained on
 SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
 FEATURES = 1 << 13
 CENTROIDS = 3
+RESTARTS = 8  # clusterings tried
+ROUNDS = 3  # of cleaning
+TRIM = 0.12  # part of each language's sentences, the least clear ones, that isn't learned from
 PROJECTION = 32
 COHESION = 0.8  # a label is a mistake if its sentences are this much as near to another language as to themselves
-REJECT = 0.12  # least cosine to the nearest centroid
+SHARED = 0.1  # weight left to a feature that two languages have equally
+RARE = 30  # a label this much rarer than the most frequent one doesn't decide which features are shared, and is learned from less
+REJECT = 0.06  # least nearness to a language
 CHANGE = 5.0  # price of a change of language within a document, in units of a usual word's evidence
 CACHE = 300_000  # words remembered by a worker
 TOKEN = regex.compile(r"[\p{L}\p{M}]+|[.!?\n]")
@@ -138,9 +143,14 @@ class Model:
         return doc[starts], np.diff(np.append(starts, len(ids))), total
 
     def by_language(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Dot product with the best centroid of each language, and the length of each vector."""
+        """Nearness to each language, and the length of each vector.
+
+        Nearness is the dot product with the best centroid, averaged with that with all of them, as a text may chance to
+        lie near one odd centroid of another language.
+        """
         k = len(self.languages)
-        dots = sums[:, :-PROJECTION].reshape(len(sums), k, CENTROIDS).max(2)
+        each = sums[:, :-PROJECTION].reshape(len(sums), k, CENTROIDS)
+        dots = 0.5 * each.max(2) + 0.5 * each.mean(2)
         return dots, np.maximum(np.sqrt((sums[:, -PROJECTION:] ** 2).sum(1)), 1e-6)
 
     def decide(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +196,41 @@ def _means(groups: list[np.ndarray]) -> np.ndarray:
     return middle / np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-6)
 
 
-def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None, seed: int = 5, most: int = 220) -> Model:
+def _clusters(groups: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
+    """k-means centroids of unit vectors for each language, from spread-out starts."""
+    out = []
+    for v in groups:
+        c = v[rng.integers(len(v))][None]
+        while len(c) < CENTROIDS:  # the next start is a sentence far from all starts so far
+            far = np.maximum(1 - (v @ c.T).max(1), 0) ** 2 + 1e-9
+            c = np.concatenate([c, v[rng.choice(len(v), p=far / far.sum())][None]])
+        for _ in range(8):
+            own = (v @ c.T).argmax(1)
+            c = np.stack([v[own == j].mean(0) if (own == j).any() else c[j] for j in range(CENTROIDS)])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)
+        out.append(c)
+    return out
+
+
+def _worst_margin(groups: list[np.ndarray], centres: list[np.ndarray]) -> float:
+    """How much nearer the hardest half per cent of the sentences are to their own language than to the next."""
+    margins = []
+    for j, v in enumerate(groups):
+        near = np.stack([(v @ c.T).max(1) for c in centres], 1)
+        own = near[:, j].copy()
+        near[:, j] = -1
+        margins.append(own - near.max(1))
+    return float(np.quantile(np.concatenate(margins), 0.005))
+
+
+def _genuine(x: dict[str, np.ndarray], sizes: dict[str, int], rate: np.ndarray) -> np.ndarray:
+    """Rates of the labels that aren't rare; a rare label may be another language's by mistake."""
+    most = max(sizes.get(k, 0) for k in x)
+    keep = [j for j, k in enumerate(x) if sizes.get(k, 0) * RARE >= most]
+    return rate[keep] if len(keep) > 1 else rate
+
+
+def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None, seed: int = 5, most: int = 350) -> Model:
     """A model from (language, text) rows; ``most`` sentences of each language are used.
 
     ``sizes`` says how many rows the whole table has of each label, if ``rows`` are a sample.
@@ -200,16 +244,21 @@ def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None,
     languages = sorted(k for k, v in by.items() if len(v) >= 20)
     if not languages:
         raise ValueError("no language has enough labelled text to learn from")
-    picks = {k: [by[k][i] for i in rng.permutation(len(by[k]))[:most]] for k in languages}
+    top = max(sizes.get(k, 0) for k in languages)
+    picks = {k: [by[k][i] for i in rng.permutation(len(by[k]))[: most if sizes.get(k, 0) * RARE >= top else 100]] for k in languages}
     x = {k: _sentence_vectors(v) for k, v in picks.items()}
-    df = sum((v > 0).sum(0) for v in x.values())
-    idf = (np.log((1 + sum(map(len, x.values()))) / (1 + df)) + 0.3).astype(np.float32)
+    rate = np.stack([(v > 0).mean(0) for v in x.values()])  # of the sentences of each label that have a feature
+    idf = np.log(1 / np.maximum(rate.mean(0), 1e-3)) + 0.3
+    if len(rate) > 1:  # what two languages share tells little about either
+        first, second = -np.sort(-_genuine(x, sizes, rate), axis=0)[:2]
+        idf *= SHARED + np.where(first > 0, (first - second) / np.maximum(first, 1e-6), 0)
+    idf = idf.astype(np.float32)
     for v in x.values():
         np.log1p(v, out=v)
         v *= idf
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
     # wrong labels: from the rarest on, a label whose sentences lie about as near to another language's mean as to their
-    # own was only ever set by mistake; then each sentence nearer to another language's mean is dropped
+    # own was only ever set by mistake; then the sentences least on their language's side are dropped, as some are mislabelled
     for k in sorted(x, key=lambda k: sizes.get(k, 0)):
         others = [j for j in x if j != k]
         if not others:
@@ -218,27 +267,26 @@ def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None,
         other, own = np.median((x[k] @ middle.T).max(1)), np.median(x[k] @ _means([x[k]])[0])
         if other > COHESION * own:
             del x[k]
-    middle = _means(list(x.values()))
-    kept = {k: (v @ middle.T).argmax(1) == j for j, (k, v) in enumerate(x.items())}
-    languages = list(x)
-    centres = []
-    for k in languages:
-        v = x[k][kept[k]]
-        c = v[rng.permutation(len(v))[:CENTROIDS]]
-        c = np.concatenate([c, np.repeat(c[-1:], CENTROIDS - len(c), 0)])
-        for _ in range(8):
-            own = (v @ c.T).argmax(1)
-            c = np.stack([v[own == j].mean(0) if (own == j).any() else c[j] for j in range(CENTROIDS)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)
-        centres.append(c)
+    languages, groups = list(x), list(x.values())
+    for _ in range(ROUNDS):
+        middle = _means(groups)
+        cleaner = []
+        for j, k in enumerate(languages):
+            near = x[k] @ middle.T
+            own = near[:, j].copy()
+            near[:, j] = -1
+            margin = own - near.max(1) if len(languages) > 1 else own
+            cleaner.append(x[k][margin > max(0.0, np.quantile(margin, TRIM))])
+        groups = [c if len(c) >= CENTROIDS else g for c, g in zip(cleaner, groups)]
+    # of several clusterings the one whose hardest sentences are furthest on the right side
+    centres = max((_clusters(groups, rng) for _ in range(RESTARTS)), key=lambda c: _worst_margin(groups, c))
     flat = np.concatenate(centres)
     signs = rng.choice([-1.0, 1.0], (FEATURES, PROJECTION)).astype(np.float32) / np.sqrt(PROJECTION)
     weights = np.concatenate([flat.T * idf[:, None], signs * idf[:, None]], 1).astype(np.float32)
     model = Model(languages, weights, 1.0)
     gaps = []
     for j, k in enumerate(languages):
-        texts = [t for t, ok in zip(picks[k], kept[k]) if ok][:60]
-        _, n, sums = model.sums(texts)
+        _, n, sums = model.sums(picks[k][:60])
         dots, _ = model.by_language(sums)
         gaps.append((dots[:, j] - dots.mean(1)) / n)
     model.unit = float(np.median(np.concatenate(gaps)))
