@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_arrow, spread
-from .boosting import Booster, Isotonic
+from .boosting import Ensemble, Isotonic
 from .language import readable_all
 from .unify import DIGIT, GAP, LETTER, SIGN, surveys
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on
 SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
-THRESHOLD = 0.45  # calibrated rate from which a document counts as a case; raters overlook some, so it is below a half
+THRESHOLD = 0.5  # calibrated rate from which a document counts as a case
 SUPPORT = 5  # documents of the sample that a word or pair must be in to have a weight
 PRIOR = 4  # documents' worth of the base rate that smooths a weight
 HOT = 1.2  # weight from which a word makes its sentence a candidate
@@ -164,14 +164,14 @@ def prior(x: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Weights of words and of pairs of neighbours, learned from (words, label) rows."""
+    """Weights of words and of pairs of neighbours, learned from (words, pairs, label) rows."""
 
-    def __init__(self, rows: list[tuple[list[list[str]], float]]):
-        words = weights([({w for s in own for w in s}, y) for own, y in rows])
+    def __init__(self, rows: list[tuple[set[str], set[str], float]]):
+        words = weights([(w, y) for w, _, y in rows])
         # a listed word too rare for a weight of its own counts as a candidate; one with a weight goes by that
         listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in words}
         self.words = {w: v for w, v in words.items() if abs(v) > 0.2} | listed
-        self.pairs = {w: v for w, v in weights([({p for s in own for p in pairs_of(s)}, y) for own, y in rows]).items() if abs(v) > 0.2}
+        self.pairs = {w: v for w, v in weights([(p, y) for _, p, y in rows]).items() if abs(v) > 0.2}
         self.hot = frozenset(w for w, v in self.words.items() if v > HOT)
 
     def features(self, sentence: str) -> list[float]:
@@ -205,7 +205,7 @@ class Lexicon:
 
 
 class AbuseModel:
-    def __init__(self, lexicon: Lexicon, trees: Booster, calibration: Isotonic, floor: float):
+    def __init__(self, lexicon: Lexicon, trees: Ensemble, calibration: Isotonic, floor: float):
         self.lexicon, self.trees, self.calibration, self.floor = lexicon, trees, calibration, floor
 
     def worst(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
@@ -243,7 +243,7 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
     clean = [[restore(s, seeds)[0] for s in own] for own in split]
     rng = np.random.default_rng(seed)
     fold, held = rng.random(len(texts)) < 0.5, rng.random(len(texts)) < 0.3
-    lesson = [[(own, v)] for own, v in zip(clean, y)]  # rows for the lexicon, by document
+    lesson = [[lesson_row(own, v)] for own, v in zip(clean, y)]  # rows for the lexicon, by document
 
     def crossed() -> tuple[np.ndarray, np.ndarray, list[str]]:
         owner, x, sentences = [], [], []
@@ -269,18 +269,17 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
             use = np.concatenate([top[y[owner[top]] > 0], np.flatnonzero(y[owner] == 0)])
             use = use[~held[owner[use]]]
             marked = (y[owner[use]] > 0).astype(float)
-            trees = Booster(least=int(min(12, max(3, marked.sum() // 8))), prior=prior).fit(x[use], marked)
+            trees = Ensemble(least=int(min(12, max(3, marked.sum() // 8))), rounds=50, prior=prior).fit(x[use], marked)
             score = trees.score(x)
         previous = {(k, s): v for k, s, v in zip(owner, sentences, score)}
         if not last:
+            for k in np.flatnonzero(y > 0):
+                lesson[k] = []  # marked, but maybe nothing in it tells why
             for i in worst_of(owner, score):
                 k = owner[i]
                 if y[k] > 0 and score[i] > -1:
                     worst = restore(sentences[i], seeds)[0]
-                    lesson[k] = [([worst], 1.0), ([s for s in clean[k] if s != worst], 0.0)]
-                elif y[k] > 0:
-                    lesson[k] = []  # marked, but nothing in it tells why
-            lesson = [[] if y[k] > 0 and own and own[0][0] is clean[k] else own for k, own in enumerate(lesson)]
+                    lesson[k] = [lesson_row([worst], 1.0), lesson_row([s for s in clean[k] if s != worst], 0.0)]
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, score)
     some, none = held & np.isfinite(best), ~np.isfinite(best)
@@ -290,6 +289,10 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
     return AbuseModel(Lexicon([r for own in lesson for r in own]), trees, Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic, floor)
 
 
+def lesson_row(sentences: list[list[str]], y: float) -> tuple[set[str], set[str], float]:
+    return {w for s in sentences for w in s}, {p for s in sentences for p in pairs_of(s)}, y
+
+
 def logistic(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
