@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -141,16 +140,24 @@ def restore(sentence: str, known: dict[str, float]) -> tuple[list[str], int, int
     return words, undone, hot
 
 
-def weights(rows: list[tuple[set[str], float]]) -> dict[str, float]:
-    """Smoothed log-odds of the label for every word (or pair) of enough documents."""
-    all_, bad = Counter(), Counter()
-    for words, y in rows:
-        all_.update(words)
-        if y:
-            bad.update(words)
+class Names(dict):
+    """Numbers for strings, given out as they are asked for."""
+
+    def __missing__(self, name: str) -> int:
+        self[name] = n = len(self)
+        return n
+
+    def of(self, names: Iterable[str]) -> np.ndarray:
+        return np.unique(np.fromiter(map(self.__getitem__, names), np.int32))
+
+
+def weights(names: Names, rows: list[tuple[np.ndarray, float]]) -> dict[str, float]:
+    """Smoothed log-odds of the label for every word (or pair) of enough documents; rows are distinct numbers and the label."""
+    count = lambda parts: np.bincount(np.concatenate([np.zeros(0, np.int32), *parts]), minlength=len(names))
+    n, bad = count([x for x, _ in rows]), count([x for x, y in rows if y])
     rate = min(max(sum(y for _, y in rows) / max(1, len(rows)), 1e-3), 1 - 1e-3)
-    prior = float(np.log(rate / (1 - rate)))
-    return {w: float(np.log((bad[w] + PRIOR * rate) / (n - bad[w] + PRIOR * (1 - rate))) - prior) for w, n in all_.items() if n >= SUPPORT}
+    odds = np.log((bad + PRIOR * rate) / (n - bad + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))
+    return {w: float(odds[i]) for w, i in names.items() if n[i] >= SUPPORT}
 
 
 def pairs_of(words: list[str]) -> list[str]:
@@ -166,12 +173,12 @@ def prior(x: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Weights of words and of pairs of neighbours, learned from (words, pairs, label) rows."""
 
-    def __init__(self, rows: list[tuple[set[str], set[str], float]]):
-        words = weights([(w, y) for w, _, y in rows])
+    def __init__(self, words: Names, pairs: Names, rows: list[tuple[np.ndarray, np.ndarray, float]]):
+        known = weights(words, [(w, y) for w, _, y in rows])
         # a listed word too rare for a weight of its own counts as a candidate; one with a weight goes by that
-        listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in words}
-        self.words = {w: v for w, v in words.items() if abs(v) > 0.2} | listed
-        self.pairs = {w: v for w, v in weights([(p, y) for _, p, y in rows]).items() if abs(v) > 0.2}
+        listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in known}
+        self.words = {w: v for w, v in known.items() if abs(v) > 0.2} | listed
+        self.pairs = {w: v for w, v in weights(pairs, [(p, y) for _, p, y in rows]).items() if abs(v) > 0.2}
         self.hot = frozenset(w for w, v in self.words.items() if v > HOT)
 
     def features(self, sentence: str) -> list[float]:
@@ -243,12 +250,17 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
     clean = [[restore(s, seeds)[0] for s in own] for own in split]
     rng = np.random.default_rng(seed)
     fold, held = rng.random(len(texts)) < 0.5, rng.random(len(texts)) < 0.3
+    words, pairs = Names(), Names()
+
+    def lesson_row(sentences: list[list[str]], label: float) -> tuple[np.ndarray, np.ndarray, float]:
+        return words.of(w for s in sentences for w in s), pairs.of(p for s in sentences for p in pairs_of(s)), label
+
     lesson = [[lesson_row(own, v)] for own, v in zip(clean, y)]  # rows for the lexicon, by document
 
     def crossed() -> tuple[np.ndarray, np.ndarray, list[str]]:
         owner, x, sentences = [], [], []
         for side in (False, True):
-            lexicon = Lexicon([r for k, own in enumerate(lesson) if fold[k] != side for r in own])
+            lexicon = Lexicon(words, pairs, [r for k, own in enumerate(lesson) if fold[k] != side for r in own])
             for k in np.flatnonzero(fold == side):
                 for s in lexicon.candidates(texts[k]):
                     owner.append(k)
@@ -286,11 +298,7 @@ def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
     if y[some].sum() < 30:  # too few held-out documents; those learned from calibrate too
         some = np.isfinite(best)
     floor = float(((y * weight)[none].sum() + 0.05) / (weight[none].sum() + 1))
-    return AbuseModel(Lexicon([r for own in lesson for r in own]), trees, Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic, floor)
-
-
-def lesson_row(sentences: list[list[str]], y: float) -> tuple[set[str], set[str], float]:
-    return {w for s in sentences for w in s}, {p for s in sentences for p in pairs_of(s)}, y
+    return AbuseModel(Lexicon(words, pairs, [r for own in lesson for r in own]), trees, Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic, floor)
 
 
 def logistic(score: np.ndarray) -> np.ndarray:
