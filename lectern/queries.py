@@ -454,6 +454,12 @@ def clean_spacing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", T.clean_spaces(F.col("text")).alias("clean"))
 
 
+@query("select doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ([?,.!:;])', '\\1', 'g'), ' ') as clean from documents where text is not null")
+def clean_spacing_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with a text, in any script; ``clean_spacing`` is the part of it that its older SQL states."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", T.clean_spaces(F.col("text")).alias("clean"))
+
+
 _HTML = "'<p>' || coalesce(name, '') || '<br/>' || coalesce(year, '') || ' &amp; &lt;' || module || '&gt;</p>'"
 
 

@@ -20,3 +20,12 @@ def test_entry(spark, sf):
 
     assert __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_clean_spacing_takes_all_documents(spark, sf):
+    import re
+
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    got = {r.doc_id: r.clean for r in queries.QUERIES["clean_spacing_all"](spark, sf).collect()}
+    assert got == {k: re.sub(r" ([?,.!:;])", r"\1", re.sub(r"[ \t\n\x0b\f\r]+", " ", t)).strip(" ") for k, t in rows.items()}
+    assert any(not t.isascii() for t in rows.values())
