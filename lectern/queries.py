@@ -641,6 +641,16 @@ def request_cache(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", T.canonical_json(pairs).alias("form"))
 
 
+@query("select request_id, '{' || concat_ws(',', '\"reference\":' || to_json(reference), '\"search\":' || to_json(search)) || '}' as form from passage_requests")
+def request_cache_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request as canonical JSON, whatever signs it holds; one that asks for nothing gives ``{}``.
+
+    ``request_cache`` is the part of it that its older SQL states.
+    """
+    pairs = F.map_filter(F.create_map(F.lit("search"), F.col("search"), F.lit("reference"), F.col("reference")), lambda k, v: v.isNotNull())
+    return table(spark, sf, "passage_requests").select("request_id", T.canonical_json(pairs).alias("form"))
+
+
 @query(
     "with e as (select bible as module, count(*) as n, sum((request_id % 10)::double) as s, max(requested_at) as at from passage_requests where bible is not null group by 1) select id, b.module, id % 5 + coalesce(n, 0) as hits, 1.5 + coalesce(s, 0) as seconds from bibles b left join e on b.module = e.module"
 )

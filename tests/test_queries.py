@@ -29,3 +29,14 @@ def test_clean_spacing_takes_all_documents(spark, sf):
     got = {r.doc_id: r.clean for r in queries.QUERIES["clean_spacing_all"](spark, sf).collect()}
     assert got == {k: re.sub(r" ([?,.!:;])", r"\1", re.sub(r"[ \t\n\x0b\f\r]+", " ", t)).strip(" ") for k, t in rows.items()}
     assert any(not t.isascii() for t in rows.values())
+
+
+def test_request_cache_takes_all_requests(spark, sf):
+    import json
+
+    rows = {r.request_id: {k: r[k] for k in ("reference", "search") if r[k] is not None} for r in spark.read.parquet(f"{sf}/passage_requests.parquet").collect()}
+    got = {r.request_id: r.form for r in queries.QUERIES["request_cache_all"](spark, sf).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == rows
+    assert all(list(json.loads(v)) == sorted(json.loads(v)) for v in got.values())
+    assert got == {k: json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for k, v in rows.items()}
+    assert any("\\n" in v for v in got.values()) and any("/" in v for v in got.values())
