@@ -77,9 +77,9 @@ class Engine:
             return (r.request, "") if is_reference else (r.reference, r.request)
         return (r.request, "") if is_reference else ("", r.request)
 
-    def resolver(self, lang_: str):
+    def resolver(self, lang_: str, loose: bool = False):
         """Book names of one language, or of several (``en,fr``): the first that knows a name decides; ids agree over languages."""
-        each = [catalog.book_resolver(self.table("books"), x.strip(), self.common) for x in lang_.split(",")]
+        each = [catalog.book_resolver(self.table("books"), x.strip(), self.common | catalog.COMMON if loose else self.common, loose) for x in lang_.split(",")]
 
         def resolve(name: str) -> int | None:
             return next((b for b in (f(name) for f in each) if b is not None), None)
@@ -96,6 +96,9 @@ class Engine:
     def passages(self, text: str, lang_: str, searching: bool = False) -> list[refs.Passage]:
         """Passages of a reference; an unknown book is an error."""
         found = refs.parse_references(text, self.resolver(lang_), catalog.shortcut_map(self.table("shortcuts"), lang_), default_chapter=not searching)
+        if any(p.book is None for p in found):  # only those are looked up loosely, so that known books stay as they are
+            loosely = self.resolver(lang_, loose=True)
+            found = [q for p in found for q in ([p] if p.book is not None else refs.parse_references(p.text, loosely, default_chapter=not searching))]
         unknown = [p.text for p in found if p.book is None]
         if unknown:
             raise RequestError("no such book: " + ", ".join(unknown))

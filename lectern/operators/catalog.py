@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,26 +95,38 @@ def tiers(query: DataFrame, dimension: DataFrame, tests: list[tuple[int, Column]
     return hit.groupBy(key).agg(F.min_by(F.struct("*"), F.struct("tier", *order)).alias("_m")).select("_m.*")
 
 
-def resolve_books(names: DataFrame, books: DataFrame, loose: bool = False) -> DataFrame:
+#: Signs that no name is a pattern with; then a repetition sign that stands behind nothing it could repeat.
+NO_PATTERN = r"[()\[\]{}\\|+*&]|(?:^|[?^$])\?"
+#: Words that only ever name a book exactly.
+COMMON = frozenset({"a", "and", "the", "or", "but"})
+
+
+def resolve_books(names: DataFrame, books: DataFrame, loose: bool = False, common: frozenset[str] = frozenset()) -> DataFrame:
     """Books by the names that users enter: ``entered, lang`` to ``entered, lang, book, book_name, tier``.
 
-    Tiers: 1 exact on any name, 2 prefix, 3 (loose) a later word of the matching names. ``NB`` is book N. Names are
-    compared without case; the first book by id wins a tier. Section lists have 66 rows a language, so they're broadcast.
+    Tiers: 1 exact on any name, 2 prefix, and if ``loose`` 3 whole later words of any name, 4 as a regular expression within
+    the matching names. ``NB`` is book N; ``common`` words must be exact. Names are compared without case; the first book by
+    id wins a tier. Section lists have 66 rows a language, so they're broadcast.
     """
     fields = [F.lower(F.col(c)) for c in ("name", "shortname", "matching1", "matching2")]
     want = F.lower(F.regexp_replace(F.trim("entered"), r"^\.+|\.+$", ""))
-    any_of = lambda test: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(test(f), F.lit(False)) for f in fields]), F.lit(False))
+    any_of = lambda test, among=fields: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(test(f), F.lit(False)) for f in among]), F.lit(False))
     number = F.regexp_extract("entered", r"^([0-9]{1,2})B$", 1)
-    tests = [(0, number == F.col("book").cast("string")), (1, any_of(lambda f: f == F.col("_want"))), (2, (F.col("_want") != "") & any_of(lambda f: f.startswith(F.col("_want"))))]
+    free = (F.col("_want") != "") & ~F.col("_want").isin(*common) if common else F.col("_want") != ""
+    tests = [(0, number == F.col("book").cast("string")), (1, any_of(lambda f: f == F.col("_want"))), (2, free & any_of(lambda f: f.startswith(F.col("_want"))))]
     if loose:
-        tests.append((3, any_of(lambda f: f.contains(F.concat(F.lit(" "), F.col("_want"))))))
+        word = F.concat(F.lit(" "), F.col("_want"))
+        tests.append((3, free & any_of(lambda f: f.contains(F.concat(word, F.lit(" "))) | f.endswith(word))))
+        # a name that is no pattern is tried as one that matches nothing
+        pattern = F.when(F.col("_want").rlike(NO_PATTERN), F.lit("(?!)")).otherwise(F.col("_want"))
+        tests.append((4, free & any_of(lambda f: F.rlike(f, pattern), fields[2:])))
     dim = books.select(F.col("lang").alias("_lang"), F.col("id").alias("book"), F.col("name").alias("book_name"), "name", "shortname", "matching1", "matching2")
     found = tiers(names.select("entered", "lang").distinct().withColumn("_want", want).withColumn("_key", F.struct("entered", "lang")), dim, tests, ["book"], "_key", F.col("lang") == F.col("_lang"))
     return found.select("entered", "lang", "book", "book_name", "tier")
 
 
-def book_resolver(books: DataFrame, lang: str, common: frozenset[str] = frozenset()):
-    """A function from an entered name to a book number, for the reference parser (a section list is 66 rows)."""
+def book_resolver(books: DataFrame, lang: str, common: frozenset[str] = frozenset(), loose: bool = False):
+    """A function from an entered name to a book number, for the reference parser (a section list is 66 rows); tiers as in ``resolve_books``."""
     rows = [r.asDict() for r in books.where(F.col("lang") == lang).orderBy("id").limit(1000).collect()]
     fields = ("name", "shortname", "matching1", "matching2")
 
@@ -123,10 +136,19 @@ def book_resolver(books: DataFrame, lang: str, common: frozenset[str] = frozense
             return None
         if want[:-1].isdigit() and want.endswith("b"):
             return next((r["id"] for r in rows if r["id"] == int(want[:-1])), None)
-        exact = next((r["id"] for r in rows if any((r[f] or "").lower() == want for f in fields)), None)
+
+        def first(test, among=fields) -> int | None:
+            return next((r["id"] for r in rows if any(test((r[f] or "").lower()) for f in among)), None)
+
+        exact = first(lambda f: f == want)
         if exact is not None or want in common:
             return exact
-        return next((r["id"] for r in rows if any((r[f] or "").lower().startswith(want) for f in fields)), None)
+        found = first(lambda f: f.startswith(want))
+        if found is None and loose:
+            found = first(lambda f: f" {want} " in f or f.endswith(f" {want}"))
+        if found is None and loose and not re.search(NO_PATTERN, want):
+            found = first(lambda f: re.search(want, f) is not None, fields[2:])
+        return found
 
     return resolve
 

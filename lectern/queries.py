@@ -224,6 +224,27 @@ def book_resolver_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.resolve_books(names, books)
 
 
+@query(
+    """with q as (select distinct language as lang, search as entered from passage_requests where search is not null and language is not null
+ union select lang, substr(name, 1, 4) from books union select lang, matching2 from books where matching2 is not null
+ union select lang, regexp_extract(name, ' ([^ ]+)$', 1) from books union select lang, substr(matching1, 2) from books where matching1 is not null union select lang, substr(matching2, 2) from books where matching2 is not null),
+ c as (select q.lang, q.entered, b.id as book, b.name as book_name, trim(both '.' from lower(trim(q.entered, ' '))) as w, lower(b.name) as n, lower(b.shortname) as s, lower(coalesce(b.matching1, chr(1))) as m1, lower(coalesce(b.matching2, chr(1))) as m2
+  from q join books b on q.lang = b.lang),
+ d as (select *, w <> '' and w not in ('a', 'and', 'the', 'or', 'but') as free, ' ' || n || chr(1) || s || chr(1) || m1 || chr(1) || m2 || chr(1) as every from c),
+ t as (select *, case when regexp_extract(entered, '^([0-9]{1,2})B$', 1) = book::varchar then 0 when w in (n, s, m1, m2) then 1 when free and (starts_with(n, w) or starts_with(s, w) or starts_with(m1, w) or starts_with(m2, w)) then 2
+   when free and (contains(substr(every, 2), ' ' || w || ' ') or contains(substr(every, 2), ' ' || w || chr(1))) then 3
+   when free and not regexp_matches(w, '[()\\[\\]{}\\\\|+*&?]') and (regexp_matches(m1, w) or regexp_matches(m2, w)) then 4 end as tier from d)
+ select entered, lang, book, book_name, tier from (select *, row_number() over (partition by entered, lang order by tier, book) as k from t where tier is not null) where k = 1"""
+)
+def book_resolver_all_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """``book_resolver_tiers`` with the loose tiers and with names that only those know: later words and inner parts."""
+    books = table(spark, sf, "books")
+    names = table(spark, sf, "passage_requests").where("search is not null and language is not null").select(F.col("search").alias("entered"), F.col("language").alias("lang"))
+    for own in (F.substring("name", 1, 4), F.col("matching2"), F.regexp_extract("name", " ([^ ]+)$", 1), F.expr("substr(matching1, 2)"), F.expr("substr(matching2, 2)")):
+        names = names.unionByName(books.select(own.alias("entered"), "lang").where("entered is not null"))
+    return catalog.resolve_books(names, books, loose=True, common=catalog.COMMON)
+
+
 @query("select id, alias, reference from (select id, unnest([lower(name), lower(short1), lower(short2), lower(short3)]) as alias, reference from shortcuts where lang = 'en') where alias is not null")
 def shortcut_expansion(spark: SparkSession, sf: str) -> DataFrame:
     aliases = F.array(*[F.lower(c) for c in ("name", "short1", "short2", "short3")])

@@ -59,3 +59,11 @@ def test_refusals(engine, modules):
             engine.query(bad)
     with pytest.raises(RequestError):
         engine.passages("Nowhere 3", "en")
+
+
+def test_book_by_a_later_word(engine):
+    long = next(r for r in engine.table("books").where("lang = 'en' and name like '% of %'").orderBy("id").collect())
+    found = engine.passages(f"{long.name.split()[-1]} 2:3; 1B 1", "en")
+    assert [p.book for p in found] == [long.id, 1] and found[0].items[0].bounds() == (2003, 2003)
+    with pytest.raises(RequestError):
+        engine.passages("qqqqq 1", "en")

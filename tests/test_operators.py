@@ -112,3 +112,15 @@ def test_resolvers(spark):
     resolve = catalog.book_resolver(books, "en", frozenset({"al p"}))
     assert resolve("AL") == 1 and resolve("alphabe.") == 2 and resolve("(x)") is None
     assert search_type("any_word").name == "or"
+
+
+def test_loose_resolvers(spark):
+    books = spark.createDataFrame([("en", 1, "Songs of Lokiba", "Loki", None, None), ("en", 2, "Rain and Ashes", "Labe", "the letter to x", "Labeb."), ("en", 3, "Torome", None, None, "(third|3rd)")], "lang string, id int, name string, shortname string, matching1 string, matching2 string")
+    want = {"lokiba": (1, 3), "LETTER": (2, 3), "abe": (2, 4), "l.tt": (2, 4), "hird": (3, 4), "Lok": (1, 2), "torome": (3, 1), "and": None, "okib": None, "?x": None, "x??": None, "a(": None, "*": None, "": None}
+    names = spark.createDataFrame([(k, "en") for k in want], "entered string, lang string")
+    got = {r.entered: (r.book, r.tier) for r in catalog.resolve_books(names, books, loose=True, common=catalog.COMMON).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    resolve = catalog.book_resolver(books, "en", catalog.COMMON, loose=True)
+    assert {k: resolve(k) for k in want} == {k: v and v[0] for k, v in want.items()}
+    strict = catalog.book_resolver(books, "en")
+    assert strict("lokiba") is None and strict("abe") is None

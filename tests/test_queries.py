@@ -40,3 +40,7 @@ def test_request_cache_takes_all_requests(spark, sf):
     assert all(list(json.loads(v)) == sorted(json.loads(v)) for v in got.values())
     assert got == {k: json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for k, v in rows.items()}
     assert any("\\n" in v for v in got.values()) and any("/" in v for v in got.values())
+
+
+def test_book_resolver_all_tiers_has_loose_tiers(spark, sf):
+    assert {r.tier for r in queries.QUERIES["book_resolver_all_tiers"](spark, sf).select("tier").distinct().collect()} >= {1, 2, 3, 4}
