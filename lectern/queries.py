@@ -12,7 +12,7 @@ from . import corpus
 from .corpus import table
 from .functions import text as T
 from .operators import catalog, grid, mutate, parallel, quota, shape, stats
-from .operators.packed import split_packed
+from .operators.packed import packed_values, split_packed
 from .plans import proximity, refs
 from .plans import search as lang
 from .sources import exports, importers
@@ -224,6 +224,21 @@ def book_resolver_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.resolve_books(names, books)
 
 
+@query()
+def requested_books(spark: SparkSession, sf: str) -> DataFrame:
+    """The book of every passage of every request, by all tiers; without a book where no tier knows the name.
+
+    ``resolve_requested_books`` is the part of it that SQL states: requests that are one bare name and number.
+    """
+    requests = table(spark, sf, "passage_requests").select("request_id", F.col("language").alias("lang"), "reference")
+    items = requests.select("request_id", "lang", F.posexplode(packed_values(F.col("reference"))).alias("at", "item"))
+    # the name is what stands before the chapters and verses
+    items = items.withColumn("entered", F.regexp_replace("item", r"[\s\p{Z}\d:,;.\-–]+$", ""))
+    found = catalog.resolve_books(items.select("entered", "lang"), table(spark, sf, "books"), loose=True, common=catalog.COMMON)
+    rows = items.join(found, ["entered", "lang"], "left")
+    return rows.select("request_id", (F.col("at") + 1).cast("int").alias("item_no"), "item", "entered", "book", "tier")
+
+
 @query(
     """with q as (select distinct language as lang, search as entered from passage_requests where search is not null and language is not null
  union select lang, substr(name, 1, 4) from books union select lang, matching2 from books where matching2 is not null

@@ -42,5 +42,22 @@ def test_request_cache_takes_all_requests(spark, sf):
     assert any("\\n" in v for v in got.values()) and any("/" in v for v in got.values())
 
 
+def test_requested_books_takes_all_passages(spark, sf):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import catalog
+
+    rows = queries.QUERIES["requested_books"](spark, sf).collect()
+    passages = queries.QUERIES["p5_found"](spark, sf).where("tbl = 'passage_requests'").collect()
+    assert sorted((r.request_id, r.item_no, r.item) for r in rows) == sorted((r.rec_id, r.item_no, r["item"]) for r in passages)
+    requests = spark.read.parquet(f"{sf}/passage_requests.parquet").select("request_id", "language")
+    lang = dict(requests.collect())
+    books = spark.read.parquet(f"{sf}/books.parquet")
+    resolve = {x: catalog.book_resolver(books, x, catalog.COMMON, loose=True) for x in {v for v in lang.values() if v}}
+    assert all(r.book == resolve[lang[r.request_id]](r.entered) and r.item.startswith(r.entered) for r in rows)
+    part = {(r.request_id, r.book) for r in queries.QUERIES["resolve_requested_books"](spark, sf).collect()}
+    assert part < {(r.request_id, r.book) for r in rows if r.book is not None}
+
+
 def test_book_resolver_all_tiers_has_loose_tiers(spark, sf):
     assert {r.tier for r in queries.QUERIES["book_resolver_all_tiers"](spark, sf).select("tier").distinct().collect()} >= {1, 2, 3, 4}
