@@ -130,28 +130,37 @@ def truthy(col: Column) -> Column:
     return F.lower(F.trim(col.cast("string"))).isin("1", "true", "on", "yes", "y")
 
 
-def import_text(col: Column, italics: tuple[str, str] = ("[", "]"), red: tuple[str, str] = ("‹", "›"), paragraph: str = "¶", parentheses: str = "retain") -> Column:
+def import_text(col: Column, italics: tuple[str, str] = ("[", "]"), red: tuple[str, str] = ("‹", "›"), paragraph: str = "¶", parentheses: str = "retain", lexicon: tuple[str, str] | None = None) -> Column:
     """Text of a foreign module in the corpus's own markup.
 
     Italics, lexicon numbers, red letters and paragraph signs become ``[ ]``, ``{ }``, ``‹ ›`` and ``¶``; other tags go;
     blanks are single. ``parentheses`` says what to do with parentheses around lexicon numbers: retain, trim or discard.
+    ``lexicon`` are the signs around numbers in formats that have no tags for them.
     """
-    x = F.regexp_replace(col, f"{literal(italics[0])}(.*?){literal(italics[1])}", "[$1]")
+    x = col
+    if lexicon:
+        x = F.regexp_replace(x, f"(?s){literal(lexicon[0])}((?:(?!{literal(lexicon[1])}).)*?[0-9].*?){literal(lexicon[1])}", "{$1}")
+    x = F.regexp_replace(x, f"(?s){literal(italics[0])}(.*?){literal(italics[1])}", "[$1]")
     x = F.regexp_replace(x, r"<[WS]([GH])0*([0-9]+)[^>]*>|<([GH])0*([0-9]+)>", "{$1$2$3$4}")
+    # several numbers in one pair of braces
+    x = F.regexp_replace(x, r"(?<=[0-9)])[\s,;]*(?=\(?[GHgh][0-9]+\)?[^{}]*\})", "} {")
     if parentheses == "trim":
-        x = F.regexp_replace(x, r"\((\{[GH][0-9]+\})\)", "$1")
+        x = F.regexp_replace(x, r"\((\{[GHgh][0-9]+\})\)", "$1")
+        x = F.regexp_replace(x, r"\{\(([GHgh][0-9]+)\)\}", "{$1}")
     elif parentheses == "discard":
-        x = F.regexp_replace(x, r"\(\{[GH][0-9]+\}\)", "")
-    x = F.regexp_replace(x, f"{literal(red[0])}(.*?){literal(red[1])}", "‹$1›")
+        x = F.regexp_replace(x, r"\(\{[GHgh][0-9]+\}\)|\{\([GHgh][0-9]+\)\}", "")
+    x = F.regexp_replace(x, f"(?s){literal(red[0])}(.*?){literal(red[1])}", "‹$1›")
     x = F.replace(x, F.lit(paragraph), F.lit("¶ "))
     return clean_spaces(F.regexp_replace(x, r"<[^>]+>", ""))
 
 
 def usfm_inline(col: Column) -> Column:
-    """Word attributes as lexicon numbers, notes and references removed, other markers dropped."""
+    """Word attributes as lexicon numbers, italics and red letters in the corpus's markup, notes and references removed, other markers dropped."""
     x = F.regexp_replace(col, r"\\\+?w\s+([^|\\]*)\|[^\\]*?strong=\"([GH])0*([0-9]+)[^\\]*\\\+?w\*", "$1{$2$3}")
     x = F.regexp_replace(x, r"\\\+?w\s+([^|\\]*)(?:\|[^\\]*)?\\\+?w\*", "$1")
     x = F.regexp_replace(x, r"(?s)\\([fx])\s.*?\\\1\*", "")
+    for name, opens, closes in (("add", "[", "]"), ("wj", "‹", "›")):  # italics and red letters
+        x = F.regexp_replace(F.regexp_replace(x, rf"\\\+?{name}\*", closes), rf"\\\+?{name}\s+", opens)
     return clean_spaces(F.regexp_replace(x, r"\\\+?[a-z]+[0-9]*\*?", " "))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..corpus import chapter_verse
-from ..functions.text import usfm_inline
+from ..functions.text import import_text, usfm_inline, valid_utf8
 
 UNITS = "book int, chapter int, verse int, text string"
 
@@ -42,7 +42,7 @@ def module_zip(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """A native module: ``info.json`` (delimiter, fields, metadata) and ``verses.txt``, whose ``#`` lines are comments."""
     with zipfile.ZipFile(path) as z:
         info = json.loads(z.read("info.json"))
-        lines = io.TextIOWrapper(z.open("verses.txt"), "utf-8").read().splitlines()
+        lines = io.TextIOWrapper(z.open("verses.txt"), "utf-8", errors="ignore").read().splitlines()
     fields = info.get("fields", ["book", "chapter", "verse", "text", "italics", "strongs"])
     return info, delimited_lines(spark.createDataFrame([(x,) for x in lines], "value string"), fields, info.get("delimiter", "|"))
 
@@ -93,7 +93,7 @@ def role_mapped(rows: DataFrame, roles: list[str], order: Column | str = "row_no
 
 def csv_edition(spark: SparkSession, path: str, roles: list[str], first_row: int = 1) -> DataFrame:
     """A CSV edition by column roles; data begin at line ``first_row`` (from 1)."""
-    with open(path, newline="", encoding="utf-8-sig") as f:
+    with open(path, newline="", encoding="utf-8-sig", errors="ignore") as f:
         cells = [(k, [*row]) for k, row in enumerate(csv.reader(f), 1) if k >= first_row]
     return role_mapped(spark.createDataFrame(cells, "row_no int, cells array<string>"), roles)
 
@@ -176,7 +176,7 @@ def tabbed_lines(lines: DataFrame) -> DataFrame:
 def unbound_zip(spark: SparkSession, path: str) -> DataFrame:
     with zipfile.ZipFile(path) as z:
         name = next(n for n in z.namelist() if n.endswith("_utf8.txt"))
-        lines = z.read(name).decode("utf-8-sig").splitlines()
+        lines = z.read(name).decode("utf-8-sig", "ignore").splitlines()
     return tabbed_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
@@ -197,7 +197,7 @@ def usfm_zip(spark: SparkSession, path: str, pattern: str = r"(?i)\.(usfm|sfm|tx
     """An archive of USFM files; the number in front of a file's name orders its book."""
     with zipfile.ZipFile(path) as z:
         names = sorted(n for n in z.namelist() if re.search(pattern, n) and r"\id" in z.read(n)[:400].decode("utf-8", "ignore"))
-        rows = [(k, z.read(n).decode("utf-8-sig")) for k, n in enumerate(names, 1)]
+        rows = [(k, z.read(n).decode("utf-8-sig", "ignore")) for k, n in enumerate(names, 1)]
     return usfm(spark.createDataFrame(rows, "book int, value string"))
 
 
@@ -211,7 +211,7 @@ def numbered_usfm_zip(spark: SparkSession, path: str) -> DataFrame:
         for n in z.namelist():
             m = re.match(r"0*([1-9]\d*)", n)
             if m:
-                rows.append((int(m.group(1)) - (1 if int(m.group(1)) < 70 else 30), z.read(n).decode("utf-8-sig")))
+                rows.append((int(m.group(1)) - (1 if int(m.group(1)) < 70 else 30), z.read(n).decode("utf-8-sig", "ignore")))
     files = spark.createDataFrame(rows, "book int, value string")
     marked = F.regexp_replace("value", r"(?m)^\\p[ \t\r]*\n\\v\s+([0-9]+)\s+", r"\\v $1 ¶ ")
     text = F.when(F.col("text").rlike(r"[0-9]+:[0-9]+"), F.regexp_replace("text", r"\s*\([^(]*$", "")).otherwise(F.col("text"))
@@ -228,6 +228,7 @@ def usx(files: DataFrame) -> DataFrame:
 
 def _sqlite(path: str, sql: str) -> list[tuple]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        con.text_factory = lambda x: x.decode("utf-8", "ignore")
         return con.execute(sql).fetchall()
 
 
@@ -313,8 +314,30 @@ IMPORTERS: dict[str, tuple[Callable, tuple[str, ...]]] = {
 RESERVED = frozenset({"verses", "bibles", "books", "languages", "shortcuts"})
 
 
-def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args) -> DataFrame:
-    """Read a file of a registered kind into the corpus layout under a module name."""
+#: How the formats write what ``import_text`` turns into the corpus's markup; native modules have that already.
+MARKUP: dict[str, dict] = {
+    "irv": {"red": ("<", ">")},
+    "analyzer": {"italics": ("<i>", "</i>"), "red": ("<r>", "</r>"), "lexicon": ("[", "]")},
+    "mysword": {"italics": ("<FI>", "<Fi>"), "red": ("<FR>", "<Fr>"), "paragraph": "<CM>"},
+    "mybible": {"italics": ("<i>", "</i>"), "red": ("<J>", "</J>"), "lexicon": ("<S>", "</S>"), "paragraph": "<pb/>"},
+}
+ENDING = frozenset({"mysword"})  # formats whose paragraph sign stands at the end of the verse before
+
+
+def next_paragraph(rows: DataFrame) -> DataFrame:
+    """A paragraph sign at a verse's end moved to the start of the book's next verse."""
+    w = W.partitionBy("book").orderBy("chapter", "verse")
+    sign = r"\s*¶\s*([›\]]*)\s*$"
+    bare = F.regexp_replace("text", sign, "$1")
+    carry = F.lag(F.col("text").rlike(sign)).over(w)
+    return rows.withColumn("text", F.when(carry & ~bare.startswith("¶"), F.concat(F.lit("¶ "), bare)).otherwise(bare))
+
+
+def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args, raw: bool = False, parentheses: str = "retain") -> DataFrame:
+    """Read a file of a registered kind into the corpus layout under a module name.
+
+    Texts are brought into the corpus's markup unless ``raw``; ``parentheses`` as in ``import_text``. Bytes that aren't UTF-8 go.
+    """
     if kind not in IMPORTERS:
         raise ValueError(f"unknown import type: {kind}")
     if module in RESERVED or not re.fullmatch(r"[a-z][a-z0-9_]*", module):
@@ -324,6 +347,10 @@ def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args
         raise ValueError(f"{kind} reads files ending in {', '.join(endings)}")
     rows = read(spark, path, *args)
     rows = rows[1] if isinstance(rows, tuple) else rows
+    rows = rows.withColumn("text", valid_utf8(F.col("text")))
+    if not raw and kind != "module":
+        rows = rows.withColumn("text", import_text(F.col("text"), parentheses=parentheses, **MARKUP.get(kind, {})))
+        rows = next_paragraph(rows) if kind in ENDING else rows
     return numbered(rows.drop("id", "row_no")).select(F.lit(module).alias("module"), "id", "book", "chapter", "verse", "chapter_verse", "text")
 
 

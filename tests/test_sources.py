@@ -145,3 +145,43 @@ def test_stream_twin(spark, tmp_path):
     stream_quota.run_available(stream_quota.daily_usage(stream, "who", "ts", 3), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r.client, str(r.day)): (r.hits, r.accepted, r.limit_reached) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[("a", "2024-01-01")] == (4, 3, True) and got[("b", "2024-01-01")] == (1, 1, False)
+
+
+def _bible(path, table, columns, rows):
+    with sqlite3.connect(path) as con:
+        con.execute(f"create table {table} ({columns})")
+        con.executemany(f"insert into {table} values ({', '.join('?' * len(rows[0]))})", rows)
+    con.close()
+    return path
+
+
+def test_import_markup(spark, tmp_path):
+    read = lambda *a, **k: [r.text for r in importers.import_edition(spark, *a, **k).orderBy("id").collect()]
+    path = tmp_path / "x.csv"
+    path.write_bytes("Gen 1:1,<i>the</i> word<WG0123> .\nGen 1:2,b\xffc <H07> {H1 (H2)}\n".encode("latin-1"))
+    roles = ["bn c:v", "t"]
+    assert read("csv", str(path), "c", roles) == ["the word{G123}.", "bc {H7} {H1} {(H2)}"]
+    assert read("csv", str(path), "c", roles, parentheses="trim")[1] == "bc {H7} {H1} {H2}"
+    assert read("csv", str(path), "c", roles, parentheses="discard")[1] == "bc {H7} {H1}"
+    assert read("csv", str(path), "c", roles, raw=True)[0] == "<i>the</i> word<WG0123> ."
+    word = _bible(str(tmp_path / "w.mybible"), "Bible", "Book int, Chapter int, Verse int, Scripture text", [(1, 1, 1, "<FI>a<Fi> b<WH0430><CM>"), (1, 1, 2, "<FR>c<Fr><CM>"), (1, 2, 1, "d<RF>note<Rf>")])
+    assert read("mysword", word, "w") == ["[a] b{H430}", "¶ ‹c›", "¶ dnote"]
+    my = _bible(str(tmp_path / "y.sqlite3"), "verses", "book_number int, chapter int, verse int, text text", [(10, 1, 1, "<pb/><J>a</J> <i>b</i><S>25</S> c ."), (10, 1, 2, b"d")])
+    with sqlite3.connect(my) as con:
+        con.execute("update verses set text = cast(x'64ff65' as text) where verse = 2")
+    con.close()
+    assert read("mybible", my, "y") == ["¶ ‹a› [b]{25} c.", "de"]
+    bib = _bible(str(tmp_path / "a.bib"), "bible", "id int, ref text, verse text", [(1, "Alpha 1:1", "<i>a</i> b[H12 (H8804)] <r>c</r> [note]")])
+    assert read("analyzer", bib, "a", {"Alpha": 1}.get) == ["[a] b{H12} {(H8804)} ‹c› [note]"]
+    tab = str(tmp_path / "t.zip")
+    with zipfile.ZipFile(tab, "w") as z:
+        z.writestr("n_utf8.txt", "01O\t1\t1\t\t10\ta <b>x</b><WG5> ;\n")
+    assert read("unbound", tab, "t") == ["a x{G5};"]
+    marks = str(tmp_path / "u.zip")
+    with zipfile.ZipFile(marks, "w") as z:
+        z.writestr("01GEN.usfm", "\\id GEN\n\\c 1\n\\v 1 In \\add the\\add* \\wj day \\+add so\\+add* \\wj*.\n")
+    assert read("usfm", marks, "u") == ["In [the] ‹day [so] ›."]
+    sheet = str(tmp_path / "m.xlsx")
+    rows = spark.createDataFrame([("m", 1, 1, 1, 1, "x<WH1> <i>y</i>", "B")], "module string, id int, book int, chapter int, verse int, text string, book_name string")
+    exports.write_sheet(corpus.addressed(rows), sheet)
+    assert read("sheet", sheet, "s", ["none", "bn", "b", "c", "v", "t"]) == ["x{H1} y"]
