@@ -157,7 +157,8 @@ class Engine:
         _, search = self._route(r)
         if r.highlight and search:
             tree = lang.parse(search, r.search_type, r.limit)
-            marked = highlight(text, [t.text for t in lang.terms(tree) if t.kind != "regexp"], r.highlight_tag, r.whole_words, r.exact_case)
+            words, phrases = ([t.text for t in lang.terms(tree) if t.kind == kind] for kind in ("word", "phrase"))
+            marked = highlight(text, words, r.highlight_tag, r.whole_words, r.exact_case, phrases)
             text = F.when(F.col("unmatched"), text).otherwise(marked)
         rows = rows.withColumn("text", text)
         order = ["book", "chapter", "verse", "module", "id"]

@@ -39,9 +39,14 @@ def lexicon_numbers(col: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(F.upper(x), r"^([GH])0+(?=[0-9])", "$1"))
 
 
-def highlight(col: Column, terms: list[str], tag: str = "b", whole_words: bool = False, exact_case: bool = False) -> Column:
-    """Matches of any term wrapped in a tag; longer terms first, so tags never nest."""
-    parts = [literal(t).replace(r"\*", r"[\p{L}\p{M}\p{N}_]*").replace("%", r"[\p{L}\p{M}\p{N}_]*") for t in sorted(set(terms), key=lambda t: (-len(t), t)) if t]
+def highlight(col: Column, terms: list[str], tag: str = "b", whole_words: bool = False, exact_case: bool = False, phrases: list[str] | None = None) -> Column:
+    """Matches of any term wrapped in a tag; longer terms first, so tags never nest.
+
+    As in a search, words regard accents only if ``whole_words`` or ``exact_case``; ``phrases``, and terms with blanks, always do.
+    """
+    every = {t: whole_words or exact_case or bool(re.search(r"\s", t)) for t in terms} | dict.fromkeys(set(phrases or []) - set(terms), True)
+    patterns = [literal(t) if exact else accent_classes(t) for t, exact in sorted(every.items(), key=lambda x: (-len(x[0]), x[0])) if t]
+    parts = [p.replace(r"\*", r"[\p{L}\p{M}\p{N}_]*").replace("%", r"[\p{L}\p{M}\p{N}_]*") for p in patterns]
     if not parts:
         return col
     pattern = f"({'|'.join(parts)})"

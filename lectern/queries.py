@@ -453,6 +453,16 @@ def highlight_terms(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("row_id", T.highlight(F.col("text"), ["king", "silver cup"]).alias("marked"))
 
 
+_EPIS = "[eèéêëēĕėęě]p[iìíîïīĭį][sšś]"
+
+
+@query(f"with {STORED} select row_id, regexp_replace(text, '(?i)({_EPIS}|silver cup|king)', '<b>\\1</b>', 'g') as marked from stored where {_has('epis')} or {_has('king')}")
+def highlight_accented(spark: SparkSession, sf: str) -> DataFrame:
+    """``highlight_terms`` with a word that the texts write with accents."""
+    hits = stored(spark, sf).where(lang.column(lang.parse("epis king", "or").parts[0]))
+    return hits.select("row_id", T.highlight(F.col("text"), ["epis", "king", "silver cup"]).alias("marked"))
+
+
 @query(r"with " + STORED + r" select row_id, regexp_replace(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])(watchman)($|[^\p{L}\p{M}\p{N}_])', '\1<i>\2</i>\3', 'g') as marked from stored where contains(lower(text), 'watchman')")
 def highlight_whole_word(spark: SparkSession, sf: str) -> DataFrame:
     hits = stored(spark, sf).where(F.lower("text").contains("watchman"))

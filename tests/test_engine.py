@@ -67,3 +67,11 @@ def test_book_by_a_later_word(engine):
     assert [p.book for p in found] == [long.id, 1] and found[0].items[0].bounds() == (2003, 2003)
     with pytest.raises(RequestError):
         engine.passages("qqqqq 1", "en")
+
+
+def test_accented_hits_are_marked(engine):
+    module = engine.units.where("lower(text) like '%épi%'").select("module").first()
+    if module is None:
+        pytest.skip("no accented hit in these tables")
+    rows = engine.query(Request([module[0]], search="epi", highlight=True, page_all=True)).collect()
+    assert any("<b>épi</b>" in r.text.lower() for r in rows) and all("<b>" in r.text for r in rows)

@@ -124,3 +124,13 @@ def test_loose_resolvers(spark):
     assert {k: resolve(k) for k in want} == {k: v and v[0] for k, v in want.items()}
     strict = catalog.book_resolver(books, "en")
     assert strict("lokiba") is None and strict("abe") is None
+
+
+def test_highlight_accents(spark):
+    mark = lambda text, terms, **how: value(spark, T.highlight(F.lit(text), terms, **how))
+    assert mark("Les épis, EPIS, Épîs", ["epis"]) == "Les <b>épis</b>, <b>EPIS</b>, <b>Épîs</b>"
+    assert mark("les épis epis", ["ÉPIS"]) == "les <b>épis</b> <b>epis</b>"
+    assert mark("épis epis", ["ep*"]) == "<b>épis</b> <b>epis</b>"
+    assert mark("épis epis", ["epis"], exact_case=True) == mark("épis epis", ["epis"], whole_words=True) == "épis <b>epis</b>"
+    assert mark("les épis d'or, epis d'or", ["epis d'or"]) == "les épis d'or, <b>epis d'or</b>"
+    assert mark("épis epis", [], phrases=["epis"]) == "épis <b>epis</b>"
