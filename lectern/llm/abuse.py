@@ -16,6 +16,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .arrow import map_arrow, spread
 from .boosting import Ensemble, Isotonic
 from .language import readable_all
-from .unify import DIGIT, GAP, LETTER, SIGN, surveys
+from .unify import surveys
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on
 SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
@@ -64,25 +65,44 @@ SUSPECT = re.compile(
 FEATURES = 18
 
 
+ALPHA, DECIMAL, WORDLY, SIGN, GAP, LOWER, MONEY = 1, 2, 4, 8, 16, 32, 64
+
+
+@lru_cache(maxsize=1)
+def signs() -> np.ndarray:
+    """What ``SUSPECT`` may take each code point for, as flags: ``[^\\W\\d_]``, ``\\d``, ``\\w`` and its own classes."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalnum():
+            out[c] = WORDLY | (DECIMAL if x.isdecimal() else ALPHA)
+    out[ord("_")] |= WORDLY
+    out[[ord(c) for c in "*@$!"]] |= SIGN
+    out[[ord(c) for c in "-. "]] |= GAP
+    out[[*range(97, 123), *range(0xE0, 0x100)]] |= LOWER
+    out[[36, 64]] |= MONEY
+    return out
+
+
 def may_be_obfuscated(texts: list[str]) -> np.ndarray:
-    """Whether ``SUSPECT`` may match each text, by neighbouring kinds of characters."""
+    """Whether ``SUSPECT`` may match each text, by neighbouring kinds of characters; never false where it does match."""
     out = np.zeros(len(texts), bool)
-    for lo, codes, kind, starts in surveys(texts):
-        codes, kind = np.append(codes, [10] * 4), np.append(kind, [0] * 4).astype(np.uint8)
-        letter, digit, sign, gap = (kind & k > 0 for k in (LETTER, DIGIT, SIGN, GAP))
+    for lo, codes, _, starts in surveys(texts):
+        codes = np.append(codes, [10] * 4)
+        kind = signs()[codes]
+        letter, digit, word, sign, gap, lower, money = (kind & k > 0 for k in (ALPHA, DECIMAL, WORDLY, SIGN, GAP, LOWER, MONEY))
         hit = np.zeros(len(codes), bool)
-        hit[:-1] |= (sign[:-1] | digit[:-1]) & letter[1:]  # a sign or digit before a letter
-        before = np.zeros(len(codes), bool)
-        before[1:] = letter[:-1]
-        # digits before a letter are common in names of books; only lower-case letters or letters on both sides count
-        lower = letter & ((codes >= 97) & (codes <= 122) | (codes >= 0xE0))
-        follows = np.zeros(len(codes), bool)
-        follows[:-1] = lower[1:]
-        hit &= ~digit | before | follows
+        hit[:-1] |= sign[:-1] & letter[1:]
+        # digits before a letter are common in names of books; only lower-case letters, or a letter before the run of digits, count
+        ends = np.flatnonzero(digit[:-1] & (letter | lower)[1:])
+        if len(ends):
+            others = np.flatnonzero(~digit)
+            at = np.searchsorted(others, ends) - 1  # what stands before the run; the first text may begin with it
+            hit[ends] |= lower[ends + 1] | ((at >= 0) & letter[others[np.maximum(at, 0)]])
         hit[:-2] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
         # a single letter between two equal gaps, and another single letter behind
-        hit[:-4] |= gap[:-4] & letter[1:-3] & (codes[:-4] == codes[2:-2]) & letter[3:-1] & ~letter[4:]
-        hit[:-1] |= ((codes[:-1] == 36) | (codes[:-1] == 64)) & (letter[1:] | digit[1:])
+        hit[:-4] |= gap[:-4] & letter[1:-3] & (codes[:-4] == codes[2:-2]) & letter[3:-1] & ~word[4:]
+        hit[:-1] |= money[:-1] & word[1:]
         if len(codes):
             out[lo : lo + len(starts)] = np.logical_or.reduceat(hit, starts)
     return out

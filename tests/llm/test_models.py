@@ -102,3 +102,18 @@ def test_boosting_and_calibration():
     label = (r.random(2000) < s).astype(float)
     fitted = Isotonic().fit(s, label, np.ones(2000))
     assert np.all(np.diff(fitted.y) >= 0) and abs(fitted(np.array([0.5]))[0] - 0.5) < 0.12
+
+
+def test_gate_covers_what_it_guards():
+    import random
+
+    from lectern.llm import abuse
+
+    dice = random.Random(3)
+    signs = "aAsEzéÿ÷ßЖя0145379²½_*@$!-. \n,́\U00020000٣"
+    texts = ["A55HOLE", "a.b.c", "x1234Y", "12AB", "4÷", "@_", "½½½", "", "5"]
+    texts += ["".join(dice.choices(signs, k=dice.randint(0, 9))) for _ in range(60_000)]
+    gate = abuse.may_be_obfuscated(texts)
+    assert [t for t, g in zip(texts, gate) if abuse.SUSPECT.search(t) and not g] == []
+    assert gate[0] and gate[2] and not gate[3] and not gate.all()
+    assert all(abuse.may_be_obfuscated([t])[0] == g for t, g in zip(texts[:300], gate))
