@@ -29,6 +29,8 @@ from .arrow import map_arrow, spread
 from .unify import FOREIGN, LATIN, UNSTABLE, surveys, unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
+SENTENCES = 350  # of those documents, that the model of a language is fitted on
+RARE_SENTENCES = 100  # the same for a label that is rare (``RARE``)
 SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
 FEATURES = 1 << 13
 CENTROIDS = 3
@@ -230,8 +232,8 @@ def _genuine(x: dict[str, np.ndarray], sizes: dict[str, int], rate: np.ndarray)
     return rate[keep] if len(keep) > 1 else rate
 
 
-def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None, seed: int = 5, most: int = 350) -> Model:
-    """A model from (language, text) rows; ``most`` sentences of each language are used.
+def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None, seed: int = 5, most: int = SENTENCES, rare: int = RARE_SENTENCES) -> Model:
+    """A model from (language, text) rows; ``most`` sentences of each language are used, ``rare`` of a label that is rare.
 
     ``sizes`` says how many rows the whole table has of each label, if ``rows`` are a sample.
     """
@@ -245,7 +247,7 @@ def train(rows: Iterable[tuple[str, str]], sizes: dict[str, int] | None = None,
     if not languages:
         raise ValueError("no language has enough labelled text to learn from")
     top = max(sizes.get(k, 0) for k in languages)
-    picks = {k: [by[k][i] for i in rng.permutation(len(by[k]))[: most if sizes.get(k, 0) * RARE >= top else 100]] for k in languages}
+    picks = {k: [by[k][i] for i in rng.permutation(len(by[k]))[: most if sizes.get(k, 0) * RARE >= top else rare]] for k in languages}
     x = {k: _sentence_vectors(v) for k, v in picks.items()}
     rate = np.stack([(v > 0).mean(0) for v in x.values()])  # of the sentences of each label that have a feature
     idf = np.log(1 / np.maximum(rate.mean(0), 1e-3)) + 0.3
@@ -309,15 +311,15 @@ def label_code(label: Column, languages: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(table, clean), F.try_element_at(table, F.split(clean, "[-_]")[0]))
 
 
-def train_on(docs: DataFrame, id_col: str, text_col: str, code: Column, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` documents a language, picked by a hash of their id."""
+def train_on(docs: DataFrame, id_col: str, text_col: str, code: Column, sample: int = SAMPLE, most: int = SENTENCES, rare: int = RARE_SENTENCES) -> Model:
+    """Train on ``most`` sentences (``rare`` of a rare label) of about ``sample`` documents a language, picked by a hash of their id."""
     rows = docs.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), code.alias("lang")).where("lang is not null and text is not null")
     sizes = {x.lang: x["count"] for x in rows.groupBy("lang").count().collect()}
     if not sizes:
         raise ValueError("no labelled text to learn from")
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(1e6 * min(1.0, 1.3 * sample / n)) + 1)) for k, n in sizes.items()))
     picked = rows.where((F.pmod(F.xxhash64("rec_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))) & F.char_length("text").between(40, SAMPLE_CHARS))
-    return train([(x.lang, x.text) for x in picked.select("lang", "text").limit(2 * sample * len(sizes)).collect()], sizes)
+    return train([(x.lang, x.text) for x in picked.select("lang", "text").limit(2 * sample * len(sizes)).collect()], sizes, most=most, rare=rare)
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -117,3 +117,13 @@ def test_gate_covers_what_it_guards():
     assert [t for t, g in zip(texts, gate) if abuse.SUSPECT.search(t) and not g] == []
     assert gate[0] and gate[2] and not gate[3] and not gate.all()
     assert all(abuse.may_be_obfuscated([t])[0] == g for t, g in zip(texts[:300], gate))
+
+
+def test_sentence_bounds_reach_training(tables, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda rows, sizes=None, **how: seen.update(how))
+    docs = tables("documents").limit(200)
+    language.train_on(docs, "doc_id", "text", language.label_code(F.col("lang"), tables("languages")))
+    assert seen == {"most": language.SENTENCES, "rare": language.RARE_SENTENCES}
+    language.train_on(docs, "doc_id", "text", language.label_code(F.col("lang"), tables("languages")), most=7, rare=3)
+    assert seen == {"most": 7, "rare": 3}
