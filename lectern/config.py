@@ -18,6 +18,7 @@ class Limits:
     free_actions: frozenset[str] = frozenset({"statics", "version", "readcache"})
     common_words: str = "exact"  # always | never | exact (reject a search only if all of its words are common)
     mixed_languages: str = "search_type"  # always | search_type | never
+    default_language: str = "en"  # of book names that no asked language knows
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class SearchType:
     aliases: frozenset[str] = field(default_factory=frozenset)
 
 
+# Names, aliases and permissions of the search types.
 SEARCH_TYPES = [
     SearchType("and", aliases=frozenset({"all_words", "all"})),
     SearchType("or", aliases=frozenset({"any_word", "any"})),
@@ -35,12 +37,12 @@ SEARCH_TYPES = [
     SearchType("two_or_more"),
     SearchType("keyword_limit"),
     SearchType("phrase"),
-    SearchType("regexp", many_languages=False),
+    SearchType("regexp"),
     SearchType("not", aliases=frozenset({"none"})),
-    SearchType("boolean", boolean=True, many_languages=False),
-    SearchType("proximity"),
-    SearchType("chapter"),
-    SearchType("book"),
+    SearchType("boolean", boolean=True),
+    SearchType("proximity", many_languages=False),
+    SearchType("chapter", many_languages=False),
+    SearchType("book", many_languages=False),
 ]
 
 

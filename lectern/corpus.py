@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +56,25 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return joined.where(F.col("_top").isNull() | (F.col("_top") == F.struct(*order))).select(*rows.columns)
 
 
-def units(spark: SparkSession, root: str, text: bool = True) -> DataFrame:
+def units(spark: SparkSession, root: str, text: bool = True, modules: Iterable[str] | None = None, inside: Column | None = None) -> DataFrame:
     """The current row of every unit of every edition: a unit that was loaded again counts by its last load.
 
-    Without ``text`` only addresses are read and shuffled.
+    Without ``text`` only addresses are read and shuffled. ``modules`` are the editions wanted, ``inside`` a condition on the
+    address (``book``, ``chapter``, ``verse``, ``chapter_verse``), which all loads of a unit share. Both are tested before the
+    newest loads are sought, so every scan of the plan is pruned by them.
     """
+    rows = table(spark, root, "verses")
+    rows = rows if modules is None else rows.where(F.col("module").isin(*modules))
+    rows = rows if inside is None else rows.where(inside)
     columns = ["row_id", "module", "id", "book", "chapter", "verse", *(["text"] if text else []), "loaded_at"]
-    rows = latest(table(spark, root, "verses").select(*columns), ["module", "id"], ["loaded_at", "row_id"])
+    rows = latest(rows.select(*columns), ["module", "id"], ["loaded_at", "row_id"])
     return addressed(rows if text else rows.withColumn("text", F.lit(None).cast("string")))
+
+
+SMALL = 64 << 20  # bytes up to which a dimension is broadcast
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """``dimension`` marked for broadcast if its estimated size allows; else Spark decides when it knows the real one."""
+    size = dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(dimension) if int(size) <= SMALL else dimension

@@ -9,13 +9,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..corpus import small
 
-def editions(bibles: DataFrame, languages: DataFrame, enabled_only: bool = True) -> DataFrame:
-    """Editions with their language, and whether they may be downloaded (a licence is known and the edition installed)."""
+
+def rows_of_dimension(rows: DataFrame, most: int, what: str) -> list:
+    """The rows of a dimension on the driver; more than ``most`` are refused, as they are no dimension."""
+    out = rows.limit(most + 1).collect()
+    if len(out) > most:
+        raise ValueError(f"more than {most} {what}")
+    return out
+
+
+def editions(bibles: DataFrame, languages: DataFrame, enabled_only: bool = True, licences: DataFrame | None = None) -> DataFrame:
+    """Editions with their language, and whether they may be downloaded (a licence is known and the edition installed).
+
+    ``licences`` (``id, name, type, url, download``, and a ``statement``) decide on downloads and statements if given.
+    """
     lang = languages.select(F.col("code").alias("lang_short"), F.col("name").alias("lang_name"), F.col("native_name").alias("lang_native"), "rtl")
     rows = bibles.where("enabled = 1") if enabled_only else bibles
     # the table of languages has a row a language, far below the size at which Spark stops broadcasting by itself
-    return rows.join(lang, "lang_short", "left").withColumn("downloadable", downloadable()).withColumn("statement", copyright_statement())
+    rows = rows.join(lang, "lang_short", "left")
+    if licences is not None:
+        return licensed(rows, licences)
+    return rows.withColumn("downloadable", downloadable()).withColumn("statement", copyright_statement())
+
+
+def licensed(editions_: DataFrame, licences: DataFrame) -> DataFrame:
+    """Editions with their licence's name: ``licence, downloadable, statement``.
+
+    An edition may be downloaded if its licence allows it and the edition isn't restricted (a column ``restrict``, if there is
+    one). The statement is the edition's own (``copyright_statement``, if there is one), else the licence's, for a licence of
+    the type ``creative_commons`` led by the year and owner, and with the place of the terms; else the description.
+    """
+    own = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in editions_.columns else F.lit(None).cast("string")
+    free = ~F.coalesce(F.col("restrict").cast("boolean"), F.lit(False)) if "restrict" in editions_.columns else F.lit(True)
+    terms = licences.select(F.col("id").alias("copyright_id"), F.col("name").alias("licence"), F.col("type").alias("_type"), F.nullif(F.trim("url"), F.lit("")).alias("_url"), F.col("download").cast("boolean").alias("_free"), F.col("statement").alias("_says"))
+    rows = editions_.join(small(terms), "copyright_id", "left")
+    held = F.nullif(F.concat_ws(" ", own("year"), own("owner")), F.lit(""))
+    commons = F.concat(F.coalesce(F.concat(F.lit("Copyright © "), held, F.lit(". ")), F.lit("")), F.lit("Licensed under "), F.col("licence"), F.coalesce(F.concat(F.lit(": "), "_url"), F.lit("")))
+    other = F.concat(F.coalesce("_says", F.lit("")), F.coalesce(F.concat(F.lit(" Terms: "), "_url"), F.lit("")))
+    says = F.coalesce(own("copyright_statement"), F.when(F.col("_type") == "creative_commons", commons).when(F.col("_type").isNotNull(), F.nullif(F.trim(other), F.lit(""))), F.col("description"))
+    return rows.withColumn("downloadable", F.coalesce(free & F.col("_free"), F.lit(False))).withColumn("statement", says).drop("_type", "_url", "_free", "_says")
+
+
+def grid_listing(bibles: DataFrame, languages: DataFrame, licences: DataFrame) -> DataFrame:
+    """The rows of the administration's grid: every edition with the names of its language and licence."""
+    return editions(bibles, languages, enabled_only=False, licences=licences)
 
 
 def downloadable() -> Column:
@@ -27,12 +66,13 @@ def copyright_statement() -> Column:
     return F.coalesce(F.when(F.trim("description") != "", F.col("description")), F.concat_ws(", ", F.col("name"), F.when(F.trim("year") != "", F.col("year"))))
 
 
-SORT_KEYS = {"lang_name", "lang_native", "name", "shortname", "lang_short", "module", "id", "year"}
+# sort keys by name, and the column behind each
+SORT_KEYS = {k: k for k in ("lang_native", "name", "shortname", "lang_short", "module", "id", "year", "rank")} | {"lang_name": "lang_native", "lang_name_english": "lang_name"}
 
 
 def ordered(rows: DataFrame, keys: str, first_language: str | None = None) -> DataFrame:
-    """Editions by ``|``-separated sort keys, one language floated to the top if asked for."""
-    names = [k for k in keys.split("|") if k in SORT_KEYS]
+    """Editions by ``|``-separated sort keys, one language floated to the top if asked for; keys that the rows lack are passed over."""
+    names = [SORT_KEYS[k] for k in keys.split("|") if SORT_KEYS.get(k) in rows.columns]
     lead = [(F.col("lang_short") == first_language).desc_nulls_last()] if first_language else []
     return rows.orderBy(*lead, *[F.col(k).asc_nulls_last() for k in names], "id")
 
@@ -91,10 +131,12 @@ def unique_slugs(rows: DataFrame, title: Column, id_col: str) -> DataFrame:
 def tiers(query: DataFrame, dimension: DataFrame, tests: list[tuple[int, Column]], order: list[str], key: str, joint: Column) -> DataFrame:
     """The best match of each query row: least tier, then dimension order."""
     tier = reduce(lambda acc, t: F.when(t[1], t[0]).otherwise(acc), reversed(tests), F.lit(None).cast("int"))
-    hit = query.join(F.broadcast(dimension), joint).withColumn("tier", tier).where("tier is not null")
+    hit = query.join(small(dimension), joint).withColumn("tier", tier).where("tier is not null")
     return hit.groupBy(key).agg(F.min_by(F.struct("*"), F.struct("tier", *order)).alias("_m")).select("_m.*")
 
 
+MOST_BOOKS = 1000  # of one language
+MOST_SHORTCUTS = 10_000  # of one language
 #: Signs that no name is a pattern with; then a repetition sign that stands behind nothing it could repeat.
 NO_PATTERN = r"[()\[\]{}\\|+*&]|(?:^|[?^$])\?"
 #: Words that only ever name a book exactly.
@@ -127,7 +169,7 @@ def resolve_books(names: DataFrame, books: DataFrame, loose: bool = False, commo
 
 def book_resolver(books: DataFrame, lang: str, common: frozenset[str] = frozenset(), loose: bool = False):
     """A function from an entered name to a book number, for the reference parser (a section list is 66 rows); tiers as in ``resolve_books``."""
-    rows = [r.asDict() for r in books.where(F.col("lang") == lang).orderBy("id").limit(1000).collect()]
+    rows = [r.asDict() for r in rows_of_dimension(books.where(F.col("lang") == lang).orderBy("id"), MOST_BOOKS, "books of one language")]
     fields = ("name", "shortname", "matching1", "matching2")
 
     def resolve(name: str) -> int | None:
@@ -153,13 +195,18 @@ def book_resolver(books: DataFrame, lang: str, common: frozenset[str] = frozense
     return resolve
 
 
+def shortcut_aliases(shortcuts: DataFrame, lang: str) -> DataFrame:
+    """``id, place, alias, reference``: every alias of a language in lower case; ``place`` counts a shortcut's names from 0."""
+    names = F.array(*[F.lower(c) for c in ("name", "short1", "short2", "short3")])
+    rows = shortcuts.where(F.col("lang") == lang).select("id", F.posexplode(names).alias("place", "alias"), "reference")
+    return rows.where("alias is not null and alias <> ''")
+
+
 def shortcut_map(shortcuts: DataFrame, lang: str) -> dict[str, str]:
-    """Aliases (lower case) to references of one language; a list of tens of rows."""
+    """Aliases to references of one language, the first shortcut that has an alias; more than ``MOST_SHORTCUTS`` are refused."""
     out: dict[str, str] = {}
-    for r in shortcuts.where(F.col("lang") == lang).orderBy("id").limit(10_000).collect():
-        for alias in (r.name, r.short1, r.short2, r.short3):
-            if alias:
-                out.setdefault(alias.lower(), r.reference)
+    for r in rows_of_dimension(shortcut_aliases(shortcuts, lang).orderBy("id", "place"), 4 * MOST_SHORTCUTS, "aliases of shortcuts"):
+        out.setdefault(r.alias, r.reference)
     return out
 
 

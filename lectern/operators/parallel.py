@@ -56,6 +56,7 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str | Column], n
 
 
 def random_unit(units: DataFrame, seed: int, what: str = "verse") -> DataFrame:
-    """One unit, chapter or book picked by a hash of its address and a seed; the same seed picks the same."""
+    """One unit, chapter or book picked by an MD5 of the seed and its address; the same seed picks the same."""
     keys = {"verse": ["module", "book", "chapter", "verse"], "chapter": ["module", "book", "chapter"], "book": ["module", "book"]}[what]
-    return units.select(*keys).distinct().orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(1)
+    order = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return units.select(*keys).distinct().orderBy(order, *keys).limit(1)

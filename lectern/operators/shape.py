@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import claimed
+from .stats import claimed, passage_labels
 
 
 def by_passage(units: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -14,6 +14,22 @@ def by_passage(units: DataFrame, ranges: DataFrame) -> DataFrame:
     return claimed(units, ranges).groupBy("passage", "module").agg(verses.alias("verses"), F.count("*").alias("n_verses"))
 
 
+def passage_results(units: DataFrame, ranges: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row a requested passage: what ``asked`` tells of it (``refs.described``), label, verse index, verses by edition, count.
+
+    ``ranges`` and ``asked`` are one request's, so they are broadcast. A passage without verses has no label, index and verses.
+    """
+    hit = claimed(units, ranges)
+    verses = F.array_sort(F.collect_list(F.struct("chapter", "verse", "text")))
+    by_edition = hit.groupBy("passage", "module").agg(verses.alias("verses"), F.count("*").alias("n"))
+    body = by_edition.groupBy("passage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "verses")))).alias("verses"), F.max("n").alias("verses_count"))
+    numbers = hit.groupBy("passage", "chapter").agg(F.array_sort(F.collect_set("verse")).alias("verse"))
+    index = numbers.groupBy("passage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chapter", "verse")))).alias("verse_index"))
+    label = passage_labels(units, ranges, by_edition=False).withColumnRenamed("label", "chapter_verse")
+    rows = F.broadcast(asked).join(body, "passage", "left").join(index, "passage", "left").join(label, "passage", "left")
+    return rows.withColumn("verses_count", F.coalesce("verses_count", F.lit(0)))
+
+
 def by_address(hits: DataFrame) -> DataFrame:
     """Search results as one passage a verse: address, and a map from edition to text."""
     texts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "text"))))

@@ -94,16 +94,22 @@ def missing_from_default(units: DataFrame, default: str) -> DataFrame:
     return held.select(F.explode(F.array_except(F.lit(names) if names else F.array().cast("array<string>"), "held")).alias("module"), *keys)
 
 
-def passage_labels(units: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The label that the rows found for a passage justify: ``c:first - last; ...``, gaps ignored.
+def count_verses(units: DataFrame, inside: Column) -> DataFrame:
+    """``n``: how many rows a passage has."""
+    return units.where(inside).agg(F.count("*").alias("n"))
+
+
+def passage_labels(units: DataFrame, ranges: DataFrame, by_edition: bool = True) -> DataFrame:
+    """The label that the rows found for a passage justify: ``c:first - last; ...``, gaps ignored; by edition or over all.
 
     ``ranges`` has ``passage, book, low, high`` in chapter*1000+verse.
     """
     hit = claimed(units, ranges)
-    by_chapter = hit.groupBy("passage", "module", "chapter").agg(F.min("verse").alias("a"), F.max("verse").alias("b"))
+    keys = ["passage", "module"] if by_edition else ["passage"]
+    by_chapter = hit.groupBy(*keys, "chapter").agg(F.min("verse").alias("a"), F.max("verse").alias("b"))
     part = F.concat(F.col("chapter").cast("string"), F.lit(":"), F.col("a").cast("string"), F.when(F.col("a") < F.col("b"), F.concat(F.lit(" - "), F.col("b").cast("string"))).otherwise(""))
     sorted_parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter", part.alias("part")))), lambda x: x["part"])
-    return by_chapter.groupBy("passage", "module").agg(F.concat_ws("; ", sorted_parts).alias("label"))
+    return by_chapter.groupBy(*keys).agg(F.concat_ws("; ", sorted_parts).alias("label"))
 
 
 def claimed(units: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -238,6 +238,69 @@ def _within(x: Item, chapter: int) -> Item:
     return Item(chapter, low, chapter, high, low == high)
 
 
+def random_kind(text: str) -> str | None:
+    """``book``, ``chapter`` or ``verse`` if a reference asks for a random one (``Random Chapter``)."""
+    m = re.match(r"random[ _](book|chapter|verse)", text.strip().lower())
+    return m.group(1) if m else None
+
+
+_NAV = ("pb", "nb", "pcb", "pcc", "ncb", "ncc", "ccb", "ccc")
+_NAMED = ("prev_book", "next_book", "prev_chapter", "next_chapter", "cur_chapter")
+#: Columns of ``described``.
+DESCRIBED = (
+    "passage int, book_id int, book_name string, book_short string, raw string, single_verse boolean, "
+    f"nav struct<{', '.join([f'{k}: int' for k in _NAV] + [f'{k}: string' for k in _NAMED])}>"
+)
+
+
+def navigation(p: Passage, names: dict[int, tuple[str, str]], last: dict[int, int], verbose: bool = True) -> dict[str, int | str | None] | None:
+    """Book and chapter before and behind a passage, over the ends of books; null at the ends of the canon and for a single verse.
+
+    The current chapter is given only if a part of it was asked for. ``names`` are the section list's, ``last`` the chapters
+    of each book; ``verbose`` adds names.
+    """
+    if _single(p):
+        return None
+    first, end = p.chapters()
+    first, final = first or 1, last.get(p.book)
+    end = final if end is None or any(x.c1 is None for x in p.items) else end
+    before, behind = p.book - 1 or None, p.book + 1 if p.book < max(names, default=66) else None
+    whole = all(x.v0 is None and x.v1 is None for x in p.items) and first == end
+    inner = end is not None and final is not None and end < final
+    nav: dict[str, int | str | None] = dict.fromkeys(_NAV + _NAMED)
+    nav |= {"pb": before, "nb": behind, "ncb": p.book if inner else behind, "ncc": end + 1 if inner else behind and 1}
+    nav |= {"pcb": p.book if first > 1 else before, "pcc": first - 1 if first > 1 else last.get(before)}
+    if not whole:
+        nav |= {"ccb": p.book, "ccc": first}
+    if verbose:
+        name = lambda b: names.get(b, (None, None))[0]
+        nav |= {"prev_book": name(before), "next_book": name(behind)}
+        for k, c in (("prev", "p"), ("next", "n"), ("cur", "c")):
+            book, chapter = nav[f"{c}cb"], nav[f"{c}cc"]
+            nav[f"{k}_chapter"] = f"{name(book)} {chapter}" if name(book) and chapter else None
+    return nav
+
+
+def _single(p: Passage) -> bool:
+    return len(p.items) == 1 and p.items[0].single and p.items[0].v0 is not None
+
+
+def described(passages: list[Passage], names: dict[int, tuple[str, str]], last: dict[int, int], verbose: bool = True) -> list[tuple]:
+    """What a result tells of each passage besides its verses."""
+    rows = []
+    for k, p in enumerate(passages, 1):
+        ends = [names.get(b, (None, None)) for b in (p.book, p.book_end) if b is not None]
+        long, short = (" - ".join(x[j] for x in ends if x[j]) for j in (0, 1))
+        nav = navigation(p, names, last, verbose)
+        rows.append((k, p.book, long, short, p.text, _single(p), nav and tuple(nav[c] for c in _NAV + _NAMED)))
+    return rows
+
+
+def at_addresses(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Units at any of the addresses in ``wanted`` (``bcv``), of every edition."""
+    return units.join(wanted.select("bcv").distinct(), "bcv", "left_semi")
+
+
 def with_context(p: Passage, around: int = 5) -> Passage:
     """A single verse widened to its neighbours in the chapter; anything else stays."""
     if len(p.items) != 1 or not p.items[0].single or p.items[0].v0 is None:

@@ -9,6 +9,7 @@ parentheses: ``~`` or ``PROX(n)``, ``PROC(n)``/``PROXC(n)``, ``CHAP``/``CHAPTER`
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -189,6 +190,29 @@ def stop_words(search: Search, common: set[str], policy: str = "exact") -> None:
         raise SearchError("too common to search for: " + ", ".join(found))
 
 
+def terms_by_class(search: Search) -> dict[str, list[str]]:
+    """Terms as ``word``, ``phrase`` and ``regexp`` lists; longest first if a word stands within a phrase, as marks must not nest."""
+    found = terms(search)
+    out = {kind: [t.text for t in found if t.kind == kind] for kind in ("word", "phrase", "regexp")}
+    if any(w.lower() in p.lower() for w in out["word"] for p in out["phrase"]):
+        out = {kind: sorted(v, key=lambda x: (-len(x), x)) for kind, v in out.items()}
+    return out
+
+
+def misplaced(text: str, kind: str | None = None) -> None:
+    """Refuse a reference (``3:16``) that stands among the words of a search; phrases and regular expressions may hold one."""
+    if search_type(kind).name in ("phrase", "regexp"):
+        return
+    found = re.findall(r"(?<![\w:])\d+:\d+(?:-\d+)?(?![\w:])", re.sub(r'"[^"]*"|`[^`]*`', " ", text))
+    if found:
+        raise SearchError("a reference can't stand in a search: " + ", ".join(found))
+
+
+def common_only(words: Column, common: Iterable[str]) -> Column:
+    """Whether all of a search's words (an array, lower case) are common, as ``stop_words`` tests by the policy ``exact``; over a table of searches."""
+    return F.size(F.array_except(words, F.array(*[F.lit(x) for x in sorted(common)]).cast("array<string>"))) == 0
+
+
 def like(term: str) -> str:
     return "%" + re.sub(r"([\\_])", r"\\\1", term.replace("*", "%")).strip("%") + "%"
 

@@ -75,3 +75,64 @@ def test_accented_hits_are_marked(engine):
         pytest.skip("no accented hit in these tables")
     rows = engine.query(Request([module[0]], search="epi", highlight=True, page_all=True)).collect()
     assert any("<b>épi</b>" in r.text.lower() for r in rows) and all("<b>" in r.text for r in rows)
+
+
+def test_ids_and_random_places(engine, modules):
+    first = engine.units.where((engine.units.module == modules[0]) & (engine.units.id == 3)).first()
+    rows = engine.query(Request(modules[:1], reference="3V")).collect()
+    assert [(r.book, r.chapter, r.verse) for r in rows] == [(first.book, first.chapter, first.verse)]
+    for kind in ("Book", "Chapter", "verse"):
+        a, b = (engine.hits(Request(modules[:1], reference=f"Random {kind}", seed=5)).select("id").collect() for _ in "ab")
+        assert a and sorted(a) == sorted(b)
+    assert len(engine.hits(Request(modules[:1], request="random_verse", seed=1)).collect()) >= 1
+    with pytest.raises(RequestError):
+        engine.hits(Request(["nowhere"], reference="Random Book"))
+
+
+def test_passage_results(engine, modules):
+    rows = engine.action("passages", r=Request(modules, reference="1B 1:1; 1B 1; 66B 99")).orderBy("passage").collect()
+    assert rows[0].single_verse and rows[0].nav is None and rows[1].nav.pcb is None and rows[1].nav.nb == 2
+    assert rows[1].verses_count == max((len(v) for v in (rows[1].verses or {}).values()), default=0)
+    assert rows[2].verses is None and rows[2].chapter_verse is None and rows[2].verses_count == 0
+    lean = engine.passage_results(Request(modules, reference="1B 1"), verbose=False).first()
+    assert lean.nav.next_book is None and lean.nav.nb == 2
+
+
+def test_common_words_by_language(spark, sf, modules):
+    own = Engine(spark, sf, common_words={"en": frozenset({"lamp"}), "fr": frozenset({"roi"})})
+    with pytest.raises(ValueError):
+        own.query(Request(modules[:1], search="lamp"))
+    with pytest.raises(ValueError):
+        own.query(Request(modules[:1], search="roi", lang="en,fr"))
+    own.query(Request(modules[:1], search="roi"))
+
+
+def test_languages_of_editions(spark, sf, engine):
+    of = {}
+    for r in engine.table("bibles").where("lang_short is not null").orderBy("id").collect():
+        of.setdefault(r.lang_short, r.module)
+    pair = list(of.values())[:2]
+    for kind, refused in (("and", False), ("boolean", False), ("regexp", False), ("proximity", True), ("chapter", True), ("book", True)):
+        if refused:
+            with pytest.raises(RequestError):
+                engine.hits(Request(pair, search="king lamp", search_type=kind))
+        else:
+            engine.hits(Request(pair, search="king", search_type=kind))
+
+
+def test_storage_asks_for_a_shared_folder(monkeypatch):
+    from lectern import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://x:7077"
+        getConf = staticmethod(lambda: Conf())
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session())

@@ -40,3 +40,27 @@ def test_a_chain_shares_one_exchange(spark, sf):
 
 def test_quota_ranks_before_the_shuffle(spark, sf):
     assert plan(queries.QUERIES["daily_quota_accepted"](spark, sf)).count("WindowGroupLimit") == 2
+
+
+def scans(df):
+    return [x.split("\n")[0] for x in plan(df).split("FileScan parquet")[1:]]
+
+
+def test_editions_reach_every_scan(spark, sf):
+    """The newest-row plan reads and shuffles the editions asked for only, on both of its sides."""
+    from lectern import corpus
+    from lectern.engine import Engine, Request
+
+    found = scans(corpus.units(spark, sf, modules=["a", "b"]))
+    assert len(found) == 2 and all("In(module, [a,b])" in x for x in found)
+    engine = Engine(spark, sf)
+    for r in (Request(["a"], search="king"), Request(["a"], search="king lamp", search_type="proximity"), Request(["a"], reference="1B 2"), Request(["a", "b"], search="king")):
+        found = [x for x in scans(engine.query(r)) if "verses.parquet" in x]
+        assert len(found) >= 2 and all("module" in x.split("PushedFilters")[1] for x in found), r
+    found = scans(engine.query(Request(["a"], reference="1B 2:3-5")))
+    assert all("GreaterThanOrEqual(chapter_verse,2003)" in x or "chapter_verse" in x.split("PushedFilters")[1] for x in found)
+
+
+def test_small_updates_aggregate_only_touched_rows(spark, sf):
+    text = plan(queries.QUERIES["update_or_create"](spark, sf))
+    assert "LeftAnti" in text and "LeftSemi" in text
