@@ -13,7 +13,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpus
@@ -49,27 +49,33 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def show(rows: DataFrame) -> None:
+    """All rows as tab-separated lines, a partition at a time."""
+    print("\t".join(rows.columns))
+    for r in rows.toLocalIterator():
+        print("\t".join("" if v is None else str(v).replace("\t", " ").replace("\n", " ") for v in r))
+
+
 def main(arguments: list[str], spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("lectern").getOrCreate()
     engine = Engine(spark, a.root)
     if a.command == "editions":
-        engine.editions().select("module", "name", "lang_short", "year").show(1000, False)
+        show(engine.editions().select("module", "name", "lang_short", "year"))
     elif a.command == "query":
         r = Request(a.modules.split(","), a.reference, a.search, a.request, a.type, whole_words=a.whole_words, page=a.page)
-        engine.query(r).select("module", "book", "chapter", "verse", "text", "unmatched").show(1000, False)
+        show(engine.query(r).select("module", "book", "chapter", "verse", "text", "unmatched"))
         engine.paging(r).show()
     elif a.command == "statistics":
-        engine.statistics(a.reference, a.modules.split(",")).show(1000, False)
+        show(engine.statistics(a.reference, a.modules.split(",")))
     elif a.command == "compare":
-        rows = corpus.units(spark, a.root, text=False)
-        left, right = (rows.where(F.col("module") == m) for m in (a.left, a.right))
+        left, right = (corpus.units(spark, a.root, text=False, modules=[m]) for m in (a.left, a.right))
         for sign, x, y in (("-", left, right), ("+", right, left)):
-            missing_addresses(x, y).select(F.lit(sign).alias("side"), "book", "chapter", "verse").orderBy("book", "chapter", "verse").show(1000, False)
+            show(missing_addresses(x, y).select(F.lit(sign).alias("side"), "book", "chapter", "verse").orderBy("book", "chapter", "verse"))
     elif a.command == "import":
         importers.import_edition(spark, a.kind, a.file, a.module).write.mode("append").partitionBy("module").parquet(a.out)
     elif a.command == "export":
-        rows = exports.with_book_names(engine.units.where(F.col("module").isin(a.modules.split(","))), engine.table("books"), a.lang)
+        rows = exports.with_book_names(corpus.units(spark, a.root, modules=a.modules.split(",")), engine.table("books"), a.lang)
         exports.render(rows, a.kind, a.out)
 
 

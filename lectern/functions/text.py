@@ -122,7 +122,24 @@ def canonical_json(pairs: Column) -> Column:
 
 
 def valid_utf8(col: Column) -> Column:
-    return F.make_valid_utf8(col)
+    """Text without the bytes that aren't UTF-8."""
+    return F.when(F.is_valid_utf8(col), col).otherwise(F.replace(F.make_valid_utf8(col), F.lit("\ufffd"), F.lit("")))
+
+
+def year_of(col: Column) -> Column:
+    """The year in a date as people write it: the first four digits that may be one."""
+    return F.regexp_extract(col, r"(?:^|[^0-9])(1[0-9]{3}|20[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
+
+
+def positive_int(col: Column, default: int) -> Column:
+    """A whole number above zero as users write it, else the default."""
+    n = F.trim(col.cast("string")).try_cast("int")
+    return F.when(n > 0, n).otherwise(default)
+
+
+def one_line(col: Column) -> Column:
+    """Line ends as blanks; nothing stays null."""
+    return F.regexp_replace(col, r"[\r\n]+", " ")
 
 
 def wrap(col: Column, width: int = 80) -> Column:

@@ -48,3 +48,9 @@ def is_free(df: DataFrame, field: str, value, id_col: str, own_id=None) -> bool:
     """Whether no other row has this value."""
     taken = df.where(F.col(field) == value)
     return taken.where(F.col(id_col) != own_id).isEmpty() if own_id is not None else taken.isEmpty()
+
+
+def unshared(rows: DataFrame, field: str, id_col: str) -> DataFrame:
+    """Rows whose value of a field no row of another id has; nulls are no values."""
+    one = rows.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("_v")).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi")).where("_lo = _hi").select("_v")
+    return rows.join(one, F.col(field) == F.col("_v"), "left_semi")

@@ -6,8 +6,8 @@ spreadsheet, archives) are filled from a local iterator, which holds one partiti
 
 from __future__ import annotations
 
-import io
 import json
+import os
 import sqlite3
 import zipfile
 from collections.abc import Callable
@@ -23,9 +23,9 @@ CANONICAL = ["module", "book", "chapter", "verse"]
 
 
 def with_book_names(units: DataFrame, books: DataFrame, lang: str) -> DataFrame:
-    """Units with ``book_name``; a section list has 66 rows, so it is broadcast."""
+    """Units with ``book_name``; a section list has 66 rows, so Spark broadcasts it by itself."""
     names = books.where(F.col("lang") == lang).select(F.col("id").alias("book"), F.col("name").alias("book_name"))
-    return units.join(F.broadcast(names), "book")
+    return units.join(names, "book")
 
 
 def without_lexicon(text: Column, lang: Column, keep: tuple[str, ...] = ("en", "es", "zh")) -> Column:
@@ -65,13 +65,33 @@ def sql_lines(rows: DataFrame, table: Column, columns: list[str], keep: list[str
     return rows.select(*(keep or []), F.concat(F.lit("INSERT INTO `"), table, F.lit(f"` ({head}) VALUES ("), values, F.lit(");")).alias("line"))
 
 
-def text_lines(units: DataFrame, width: int = 80) -> DataFrame:
-    """``line``: wrapped text, with a header where book or chapter changes. The window is a book of an edition."""
+WIDTH, WIDE = 80, 320  # characters of a line; the greater in scripts that put no blanks between words
+WIDE_LANGUAGES = ("th",)
+
+
+def dump_lines(units: DataFrame) -> DataFrame:
+    """``line``: one INSERT a verse into the table of its edition."""
+    return sql_lines(units, F.concat(F.lit("verses_"), F.col("module")), ["id", "book", "chapter", "verse", "text"], CANONICAL)
+
+
+def ddl(module: str) -> str:
+    """The statement that makes an edition's table."""
+    columns = "`id` int unsigned not null primary key, `book` tinyint unsigned not null, `chapter` tinyint unsigned not null, `verse` tinyint unsigned not null, `text` text"
+    return f"CREATE TABLE IF NOT EXISTS `verses_{module}` ({columns}) DEFAULT CHARSET=utf8mb4;"
+
+
+def text_lines(units: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``line``: wrapped text, with a header where book or chapter changes. The window is a book of an edition.
+
+    Where units have a ``lang_short``, ``WIDE_LANGUAGES`` have lines of ``WIDE`` characters.
+    """
     w = W.partitionBy("module", "book").orderBy("chapter", "verse")
     first_of_book = F.lag("chapter").over(w).isNull()
     first_of_chapter = F.coalesce(F.lag("chapter").over(w) != F.col("chapter"), F.lit(True))
     head = F.concat(F.when(first_of_book, F.concat(F.upper("book_name"), F.lit("\n\n"))).otherwise(""), F.when(first_of_chapter, F.concat(F.lit("Chapter "), F.col("chapter").cast("string"), F.lit("\n\n"))).otherwise(""))
-    return units.select(*CANONICAL, F.concat(head, wrap(F.concat_ws(" ", F.col("verse").cast("string"), "text"), width)).alias("line"))
+    verse = F.concat_ws(" ", F.col("verse").cast("string"), "text")
+    body = F.when(F.col("lang_short").isin(*WIDE_LANGUAGES), wrap(verse, WIDE)).otherwise(wrap(verse, width)) if "lang_short" in units.columns else wrap(verse, width)
+    return units.select(*CANONICAL, F.concat(head, body).alias("line"))
 
 
 def json_lines(units: DataFrame) -> DataFrame:
@@ -90,13 +110,25 @@ def preamble(meta: dict[str, str]) -> str:
     return f"{meta.get('name', '')}\n\n{meta.get('statement', '')}\n\n"
 
 
+# Fixed value: the header of the format.
+CSV_HEADER = "Verse ID,Book Name,Book Number,Chapter,Verse,Text"
+
+
 def write_csv(units: DataFrame, meta: dict[str, str], path: str) -> None:
     """One edition as a CSV with preamble and header."""
     with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(preamble(meta) + "Verse ID,Book Name,Book Number,Chapter,Verse,Text\n")
+        f.write(preamble(meta) + CSV_HEADER + "\n")
         f.writelines(r.line + "\n" for r in csv_lines(units).orderBy(*CANONICAL).toLocalIterator())
 
 
+def write_sql(units: DataFrame, meta: dict[str, str], path: str) -> None:
+    """One edition as a dump: its table, then its rows."""
+    module = meta["module"]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("".join(f"-- {x}\n" for x in preamble(meta).splitlines() if x) + ddl(module) + "\n")
+        f.writelines(r.line + "\n" for r in dump_lines(units).orderBy(*CANONICAL).toLocalIterator())
+
+
 def write_json(units: DataFrame, meta: dict[str, str], path: str) -> None:
     """One edition as ``{"metadata": ..., "verses": [...]}``."""
     with open(path, "w", encoding="utf-8") as f:
@@ -127,21 +159,20 @@ def write_module(units: DataFrame, meta: dict, path: str) -> None:
                 f.write((r.line.replace("\n", " ") + "\n").encode())
 
 
-def write_sheet(units: DataFrame, path: str) -> None:
-    """One edition as a minimal XLSX sheet."""
-    out = io.StringIO()
-    out.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-    for r in units.select("id", "book_name", "book", "chapter", "verse", "text").orderBy("id").toLocalIterator():
-        cells = "".join(f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v or ""))}</t></is></c>' for v in r)
-        out.write(f"<row>{cells}</row>")
-    out.write("</sheetData></worksheet>")
+def write_sheet(units: DataFrame, meta: dict[str, str], path: str) -> None:
+    """One edition as a minimal XLSX sheet, row by row."""
     ns = "http://schemas.openxmlformats.org"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="r1" Type="{ns}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="r1" Type="{ns}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/officeDocument/2006/relationships"><sheets><sheet name="verses" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", out.getvalue())
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            for r in units.select("id", "book_name", "book", "chapter", "verse", "text").orderBy("id").toLocalIterator():
+                cells = "".join(f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v or ""))}</t></is></c>' for v in r)
+                f.write(f"<row>{cells}</row>".encode())
+            f.write(b"</sheetData></worksheet>")
 
 
 def write_dimension(rows: DataFrame, path: str) -> None:
@@ -172,13 +203,26 @@ def extras(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-LINES: dict[str, Callable[[DataFrame], DataFrame]] = {"csv": csv_lines, "json": json_lines, "text": text_lines, "machine": machine_lines, "module": module_lines}
-FILES: dict[str, Callable] = {"csv": write_csv, "json": write_json, "sqlite": write_sqlite, "module": write_module}
+LINES: dict[str, Callable[[DataFrame], DataFrame]] = {"csv": csv_lines, "json": json_lines, "text": text_lines, "machine": machine_lines, "module": module_lines, "sql": dump_lines}
+FILES: dict[str, tuple[Callable, str]] = {"csv": (write_csv, "csv"), "json": (write_json, "json"), "sqlite": (write_sqlite, "sqlite"), "module": (write_module, "zip"), "sheet": (write_sheet, "xlsx"), "sql": (write_sql, "sql")}
 GROUPS = {"text": ["text", "machine"], "data": ["csv", "json", "module", "sqlite"], "sheet": ["sheet"], "sql": ["sql"]}
-
-
-def render(units: DataFrame, kind: str, path: str) -> None:
-    """Write editions in a registered line format."""
-    if kind not in LINES:
-        raise ValueError(f"unknown format: {kind}; there are {', '.join(LINES)}")
-    write_lines(LINES[kind](units), path)
+MOST_FILES = 10_000  # editions written as files of their own at once
+
+
+def render(units: DataFrame, kind: str, path: str, meta: dict[str, dict[str, str]] | None = None) -> None:
+    """Write editions in a registered format.
+
+    Line formats are written by all tasks. ``sheet`` and ``sqlite``, and any other format that is one file an edition if
+    ``meta`` (by module) is given, are written by the driver, one partition at a time, as ``path/<module>.<ending>``.
+    """
+    if kind not in LINES and kind not in FILES:
+        raise ValueError(f"unknown format: {kind}; there are {', '.join(dict.fromkeys([*LINES, *FILES]))}")
+    if kind not in FILES or (kind in LINES and meta is None):
+        return write_lines(LINES[kind](units), path)
+    write, ending = FILES[kind]
+    modules = [r.module for r in units.select("module").distinct().orderBy("module").limit(MOST_FILES + 1).collect()]
+    if len(modules) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} editions at once")
+    os.makedirs(path, exist_ok=True)
+    for m in modules:
+        write(units.where(F.col("module") == m), {"module": m} | (meta or {}).get(m, {}), os.path.join(path, f"{m}.{ending}"))

@@ -40,7 +40,7 @@ def test_module_round_trip(spark, units, tmp_path):
 
 def test_sheet_round_trip(spark, units, tmp_path):
     path = str(tmp_path / "m.xlsx")
-    exports.write_sheet(units, path)
+    exports.write_sheet(units, {}, path)
     rows = importers.sheet_edition(spark, path, ["none", "bn", "b", "c", "v", "t"])
     assert content(rows) == WANT and importers.check_sample(rows) == []
 
@@ -87,7 +87,7 @@ def test_marker_files(spark, tmp_path):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("01GEN.usfm", text)
         z.writestr("copr.htm", "x")
-    assert content(importers.usfm_zip(spark, path)) == [(1, 1, 1, "In the{H1} day"), (1, 1, 2, "so"), (1, 2, 1, "end")]
+    assert content(importers.usfm_zip(spark, path)) == [(1, 1, 1, "¶ In the{H1} day"), (1, 1, 2, "so"), (1, 2, 1, "end")]
     xml = '<usx><chapter number="1"/><para><verse number="1"/>a <note>n</note>b<verse number="2"/>c</para></usx>'
     assert content(importers.usx(spark.createDataFrame([(3, xml)], "book int, value string"))) == [(3, 1, 1, "a b"), (3, 1, 2, "c")]
     numbered = str(tmp_path / "i.zip")
@@ -183,5 +183,5 @@ def test_import_markup(spark, tmp_path):
     assert read("usfm", marks, "u") == ["In [the] ‹day [so] ›."]
     sheet = str(tmp_path / "m.xlsx")
     rows = spark.createDataFrame([("m", 1, 1, 1, 1, "x<WH1> <i>y</i>", "B")], "module string, id int, book int, chapter int, verse int, text string, book_name string")
-    exports.write_sheet(corpus.addressed(rows), sheet)
+    exports.write_sheet(corpus.addressed(rows), {}, sheet)
     assert read("sheet", sheet, "s", ["none", "bn", "b", "c", "v", "t"]) == ["x{H1} y"]
