@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,9 +18,51 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> Data
     return table.unionByName(new.select(*table.columns))
 
 
-def update_or_create(table: DataFrame, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key over both."""
-    return newest(table.unionByName(rows.select(*table.columns)), keys, [version])
+def update_or_create(table: DataFrame, rows: DataFrame, keys: list[str], version: str | list[str]) -> DataFrame:
+    """``table``, which has each key once, with ``rows`` put in: of each key the row of the greatest ``version`` stays.
+
+    Only rows of keys that are put in are aggregated; the others pass as they are, joined with the keys alone, which Spark
+    broadcasts while they are few. Null keys are keys.
+    """
+    new = rows.select(*table.columns)
+    touched = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    old = table.join(touched, same, "left_semi")
+    changed = newest(old.unionByName(new), keys, [version] if isinstance(version, str) else version)
+    return table.join(touched, same, "left_anti").unionByName(changed)
+
+
+def without_editions(units: DataFrame, modules: list[str]) -> DataFrame:
+    """Units without those of some editions."""
+    return units.where(~F.col("module").isin(*modules))
+
+
+def replace_edition(units: DataFrame, rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Units with the editions in ``rows`` in place of their former ones.
+
+    With ``path`` the rows also replace those editions' folders in the stored table, which is partitioned by ``module``;
+    no other folder is touched.
+    """
+    if path is not None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module").parquet(path)
+    kept = units.join(rows.select("module").distinct(), "module", "left_anti")
+    return kept.unionByName(rows.select(*kept.columns))
+
+
+def cleaned_up(tables: dict[str, DataFrame], rules: dict[str, tuple[str, int]], now: Column) -> dict[str, DataFrame]:
+    """The weekly clean-up: each table without the rows that its rule (column of time, months kept) has run out for; other tables stay."""
+    gone = lambda c, n: F.coalesce(F.add_months(F.col(c), n) < F.to_date(now), F.lit(False))
+    return {k: t.where(~gone(*rules[k])) if k in rules else t for k, t in tables.items()}
+
+
+def cache_requests(cache: DataFrame, forms: DataFrame, now: Column, months: int = 1) -> DataFrame:
+    """The stored cache of requests (``hash, form, created_at``) with new ``forms`` (``form, created_at``) and without those run out.
+
+    A form is kept under the first 24 digits of its SHA-256 with the time it was first asked for.
+    """
+    new = forms.where("form is not null").groupBy("form").agg(F.min("created_at").alias("created_at")).select(F.substring(F.sha2("form", 256), 1, 24).alias("hash"), "form", "created_at")
+    held = cleaned_up({"cache": cache}, {"cache": ("created_at", months)}, now)["cache"]
+    return insert_or_ignore(held, new, ["hash"])
 
 
 def cascade_delete(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .corpus import table
+from .engine import Engine, Request
 from .functions import text as T
 from .operators import catalog, grid, mutate, parallel, quota, shape, stats
 from .operators.packed import packed_values, split_packed
 from .plans import proximity, refs
 from .plans import search as lang
 from .sources import exports, importers
+from .storage import shared_folder
 from .streaming import quota as stream_quota
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,8 +116,8 @@ def stop_word_policy(spark: SparkSession, sf: str) -> DataFrame:
     """A search is refused only if all of its words are common."""
     words = F.regexp_extract_all(F.lower("search"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
     rows = table(spark, sf, "passage_requests").where("search is not null").withColumn("w", words).where(F.size("w") > 0)
-    rest = F.array_except("w", F.array(*[F.lit(x) for x in ("the", "of", "and", "in", "a")]))
-    return rows.select("request_id", "search", F.when(F.size(rest) == 0, "refused").otherwise("accepted").alias("verdict"))
+    refused = lang.common_only(F.col("w"), ("the", "of", "and", "in", "a"))
+    return rows.select("request_id", "search", F.when(refused, "refused").otherwise("accepted").alias("verdict"))
 
 
 # ---- lookup ---------------------------------------------------------------------------------------------------------
@@ -145,18 +147,14 @@ def lookup_context(spark: SparkSession, sf: str) -> DataFrame:
     f"with {UNITS}, wanted as (select distinct bcv from units where book = 19 and verse = 1) select u.row_id, u.module, u.book, u.chapter, u.verse from units u semi join wanted w on u.bcv = w.bcv"
 )
 def lookup_by_bcv(spark: SparkSession, sf: str) -> DataFrame:
-    units = corpus.units(spark, sf, text=False)
-    wanted = units.where("book = 19 and verse = 1").select("bcv").distinct()
-    return units.join(wanted, "bcv", "left_semi").select(*HIT)
+    wanted = corpus.units(spark, sf, text=False, inside=F.expr("book = 19 and verse = 1"))
+    return refs.at_addresses(corpus.units(spark, sf, text=False), wanted).select(*HIT)
 
 
 @query(f"with {UNITS} select row_id, module, book, chapter, verse from units where module = (select min(module) from verses) and id in (1, 5, 9)")
 def lookup_verse_ids(spark: SparkSession, sf: str) -> DataFrame:
     """References by verse id, as in ``1V, 5V``: the ids' addresses come from the first edition."""
-    units = corpus.units(spark, sf, text=False).where(F.col("module") == _baseline(spark, sf))
-    known = {r.id: (r.book, r.chapter, r.verse) for r in units.where(F.col("id").isin(1, 5, 9)).collect()}
-    passages = refs.parse_references("1V, 5V, 9V", lambda b: int(b[:-1]) if b.endswith("B") else None, verse_address=known.get)
-    return units.where(refs.predicate(passages)).select(*HIT)
+    return Engine(spark, sf).hits(Request([_baseline(spark, sf)], reference="1V, 5V, 9V")).select(*HIT)
 
 
 @query(f"with {UNITS}, c as (select book, max(chapter) as n from units group by book) select book, unnest(generate_series(1, n))::int as chapter from c where book between 3 and 6")
@@ -176,7 +174,7 @@ def search_within_passage(spark: SparkSession, sf: str) -> DataFrame:
 @query("select count(*) as n from verses where book = 19 and chapter = 1 and verse between 2 and 9")
 def count_verses(spark: SparkSession, sf: str) -> DataFrame:
     passages = refs.parse_references("19B 1:2-9", lambda b: int(b[:-1]))
-    return stored(spark, sf).where(refs.predicate(passages)).agg(F.count("*").alias("n"))
+    return stats.count_verses(stored(spark, sf), refs.predicate(passages))
 
 
 _RANGES = [(1, 19, 1002, 1009), (2, 1, 1000, 2003), (3, 19, 1005, 1012), (4, 40, 0, 999_999)]
@@ -262,11 +260,20 @@ def book_resolver_all_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select id, alias, reference from (select id, unnest([lower(name), lower(short1), lower(short2), lower(short3)]) as alias, reference from shortcuts where lang = 'en') where alias is not null")
 def shortcut_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    aliases = F.array(*[F.lower(c) for c in ("name", "short1", "short2", "short3")])
-    return table(spark, sf, "shortcuts").where("lang = 'en'").select("id", F.explode(aliases).alias("alias"), "reference").where("alias is not null")
+    return catalog.shortcut_aliases(table(spark, sf, "shortcuts"), "en").select("id", "alias", "reference")
 
 
 @query()
+def shortcut_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Verses of each passage behind every alias of a language, through the alias map and the parser; no SQL, as the parser decides."""
+    aliases = catalog.shortcut_map(table(spark, sf, "shortcuts"), "en")
+    resolve = Engine(spark, sf).resolver("en")
+    rows = [(alias, *x) for alias in aliases for x in refs.Ranges.of(refs.parse_references(alias, resolve, aliases)).rows]
+    ranges = spark.createDataFrame(rows, "alias string, passage int, book int, low int, high int")
+    return stats.claimed(corpus.units(spark, sf, text=False), ranges).groupBy("alias", "passage", "module").agg(F.count("*").alias("n_verses"))
+
+
+@query("select module, book, chapter from (select distinct module, book, chapter from verses) order by md5('7' || chr(31) || module || chr(31) || book || chr(31) || chapter), module, book, chapter limit 1")
 def random_reference_seeded(spark: SparkSession, sf: str) -> DataFrame:
     return parallel.random_unit(table(spark, sf, "verses"), seed=7, what="chapter")
 
@@ -406,11 +413,14 @@ def edition_diff_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select greatest((select max(greatest(created_at, coalesce(updated_at, created_at))) from bibles), (select max(loaded_at) from verses)) as changed_at")
 def max_updated(spark: SparkSession, sf: str) -> DataFrame:
-    from .engine import Engine
-
     return Engine(spark, sf).changed()
 
 
+@query("select epoch(greatest((select max(greatest(created_at, coalesce(updated_at, created_at))) from bibles), (select max(loaded_at) from verses)))::bigint as changed_at")
+def max_updated_unix(spark: SparkSession, sf: str) -> DataFrame:
+    return Engine(spark, sf).changed().select(F.unix_timestamp(F.col("changed_at")).alias("changed_at"))
+
+
 # ---- parallel editions, lists, pages --------------------------------------------------------------------------------
 
 
@@ -717,8 +727,10 @@ def live_artifact_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {UNITS} select row_id, module, id from units")
 def update_or_create(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each unit the row loaded last."""
-    return corpus.latest(table(spark, sf, "verses").select("row_id", "module", "id", "loaded_at"), ["module", "id"], ["loaded_at", "row_id"]).select("row_id", "module", "id")
+    """Loads of verses put into a table that has the others: of each unit the row loaded last stays."""
+    rows = table(spark, sf, "verses").select("row_id", "module", "id", "loaded_at")
+    held = corpus.latest(rows.where("row_id % 10 <> 0"), ["module", "id"], ["loaded_at", "row_id"])
+    return mutate.update_or_create(held, rows.where("row_id % 10 = 0"), ["module", "id"], ["loaded_at", "row_id"]).select("row_id", "module", "id")
 
 
 @query("select id, module from bibles where id % 2 = 0 union all select min(id), module from bibles where id % 3 = 0 and module not in (select module from bibles where id % 2 = 0) group by module")
@@ -793,18 +805,9 @@ def stream_daily_quota(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     daily = stream_quota.daily_usage(stream, "user_id", "ts", 5)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-    place = f"{shared}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    name = f"stream_daily_quota_{abs(hash(place))}"
-    daily.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{place}-{_turn()}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("day", F.col("day").cast("string"))
-
-
-_turns = iter(range(1_000_000_000))
-
-
-def _turn() -> int:
-    return next(_turns)
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream_quota.run_complete(daily, f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out").withColumn("day", F.col("day").cast("string"))
 
 
 # ---- import and export ----------------------------------------------------------------------------------------------
@@ -814,9 +817,8 @@ def _turn() -> int:
 def import_role_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "verses")
     cells = F.array(F.lit("x"), F.concat(F.col("book").cast("string"), F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string")), F.coalesce("text", F.lit("")))
-    out = importers.role_mapped(rows.select(F.col("row_id").cast("int").alias("row_no"), cells.alias("cells")), ["none", "b c:v", "t"])
-    # role mapping trims the cells; the stored text is joined back for the comparison of addresses
-    return out.select("row_no", "book", "chapter", "verse").join(rows.select(F.col("row_id").cast("int").alias("row_no"), "text"), "row_no")
+    out = importers.role_mapped(rows.select(F.col("row_id").cast("int").alias("row_no"), cells.alias("cells")), ["none", "b c:v", "t"], as_stored=True)
+    return out.select("row_no", "book", "chapter", "verse", "text")
 
 
 @query("select book, chapter, verse, text from verses where text is not null and text <> '' and not contains(text, '|') and not regexp_matches(text, '[\\r\\n]')")
@@ -835,8 +837,9 @@ def typed_csv_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {UNITS}, b as (select * from units where module = {_BASE}) select id, book, chapter, verse, 'line ' || id as text from b")
 def positional_align(spark: SparkSession, sf: str) -> DataFrame:
-    base = corpus.units(spark, sf, text=False).where(F.col("module") == _baseline(spark, sf))
-    lines = base.select(F.col("id").alias("line_no"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
+    """Lines of a file that knows no addresses, as many as the edition has verses."""
+    base = corpus.units(spark, sf, text=False, modules=[_baseline(spark, sf)])
+    lines = spark.range(1, base.count() + 1).select(F.col("id").alias("line_no"), F.format_string("line %d", "id").alias("text"))
     return importers.positional(lines, base)
 
 
@@ -883,3 +886,189 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
         for name, key in (("passage_requests", "request_id"), ("shortcuts", "id"))
     ]
     return parts[0].unionByName(parts[1])
+
+
+# ---- results by passage, catalog with licences, formats there and back -----------------------------------------------
+
+_RESULTS = (
+    "r(passage, book, low, high) as (values (1, 19, 1002, 1009), (2, 1, 1000, 1999), (3, 3, 1005, 1005), (4, 40, 0, 999999)),"
+    " ends as (select book, max(chapter) as n from verses where module in (select distinct module from (select min(module) as module from verses union select max(module) from verses)) group by book)"
+)
+
+
+@query(
+    f"""with {UNITS}, {_RESULTS}, b as (select id, name, shortname from books where lang = 'en'), two as (select u.* from units u where module in (select min(module) from verses union select max(module) from verses)),
+ h as (select passage, module, chapter, verse from two u join r on u.book = r.book and chapter_verse between low and high),
+ lab as (select passage, string_agg(chapter || ':' || lo || case when lo < hi then ' - ' || hi else '' end, '; ' order by chapter) as label from (select passage, chapter, min(verse) as lo, max(verse) as hi from h group by all) group by passage),
+ idx as (select passage, string_agg(chapter || '.' || verse, ',' order by chapter, verse) as verse_index from (select distinct passage, chapter, verse from h) group by passage),
+ cnt as (select passage, max(n) as n from (select passage, module, count(*) as n from h group by all) group by passage),
+ p(passage, first, final, single, whole) as (values (1, 1, 1, false, false), (2, 1, 1, false, true), (3, 1, 1, true, false), (4, 1, null, false, false))
+ select p.passage, b.name as book_name, b.shortname as book_short, label as chapter_verse, idx.verse_index, coalesce(cnt.n, 0)::int as verses_count, single as single_verse,
+  case when not single then coalesce(pb.name, '-') || '|' || coalesce(nb.name, '-') || '|' || coalesce(case when first > 1 then b.name || ' ' || (first - 1) else pb.name || ' ' || pe.n end, '-') || '|'
+   || coalesce(case when coalesce(final, e.n) < e.n then b.name || ' ' || (coalesce(final, e.n) + 1) else nb.name || ' 1' end, '-') || '|' || coalesce(case when not whole and not coalesce(passage = 4 and e.n = 1, false) then b.name || ' 1' end, '-') end as nav
+ from p join r using (passage) join b on b.id = r.book left join b pb on pb.id = r.book - 1 left join b nb on nb.id = r.book + 1 left join ends e on e.book = r.book left join ends pe on pe.book = r.book - 1
+ left join lab using (passage) left join idx using (passage) left join cnt using (passage)"""
+)
+def passage_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested passages of two editions with label, index and navigation."""
+    a, b = table(spark, sf, "verses").agg(F.min("module"), F.max("module")).first()
+    rows = Engine(spark, sf).passage_results(Request([a, b], reference="19B 1:2-9; 1B 1; 3B 1:5; 40B 1-"))
+    pairs = F.flatten(F.transform(F.map_entries("verse_index"), lambda e: F.transform(e["value"], lambda v: F.concat_ws(".", e["key"], v))))
+    nav = F.when(F.col("nav").isNotNull(), F.concat_ws("|", *[F.coalesce(F.col(f"nav.{c}"), F.lit("-")) for c in ("prev_book", "next_book", "prev_chapter", "next_chapter", "cur_chapter")]))
+    return rows.select("passage", "book_name", "book_short", "chapter_verse", F.array_join(pairs, ",").alias("verse_index"), F.col("verses_count").cast("int").alias("verses_count"), "single_verse", nav.alias("nav"))
+
+
+_LICENCES = [(1, "Public domain", "public_domain", None, 1, "Free to use."), (2, "CC BY", "creative_commons", "https://example.org/by", 1, None), (3, "Restricted", "copyrighted", "https://example.org/no", 0, "All rights reserved."), (6, "CC BY-ND", "creative_commons", None, 1, None)]
+_LICENCES_SQL = "lic(cid, licence, kind, url, download, says) as (values (1, 'Public domain', 'public_domain', null, 1, 'Free to use.'), (2, 'CC BY', 'creative_commons', 'https://example.org/by', 1, null), (3, 'Restricted', 'copyrighted', 'https://example.org/no', 0, 'All rights reserved.'), (6, 'CC BY-ND', 'creative_commons', null, 1, null))"
+
+
+@query(
+    f"""with {_LICENCES_SQL} select b.id, l.name as lang_name, licence, coalesce(download = 1, false) as downloadable,
+ case when kind = 'creative_commons' then coalesce('Copyright © ' || nullif(trim(year, ' '), '') || '. ', '') || 'Licensed under ' || licence || coalesce(': ' || url, '')
+  when kind is not null then coalesce(says, '') || coalesce(' Terms: ' || url, '') else description end as statement
+ from bibles b left join languages l on b.lang_short = l.code left join lic on cid = b.copyright_id"""
+)
+def edition_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edition with the names of its language and licence, as the grid lists it."""
+    licences = spark.createDataFrame(_LICENCES, "id int, name string, type string, url string, download int, statement string")
+    return catalog.grid_listing(table(spark, sf, "bibles"), table(spark, sf, "languages"), licences).select("id", "lang_name", "licence", "downloadable", "statement")
+
+
+@query("select id from bibles left join languages on lang_short = code where enabled = 1 order by native_name asc nulls last, languages.name asc nulls last, id limit 40")
+def edition_order_language(spark: SparkSession, sf: str) -> DataFrame:
+    return Engine(spark, sf).editions("lang_name|rank|lang_name_english").select("id").limit(40)
+
+
+@query("with e as (select module, count(*) as hits from (select * from (select *, row_number() over (partition by module, id order by loaded_at desc, row_id desc) as n from verses) where n = 1) where contains(lower(coalesce(text, '')), 'king') and module in (select min(module) from verses union select max(module) from verses) group by module) select module from e where hits >= 1")
+def limit_warning(spark: SparkSession, sf: str) -> DataFrame:
+    """Editions whose hits fill the greatest result, here of one row each."""
+    modules = sorted(set(table(spark, sf, "verses").agg(F.min("module"), F.max("module")).first()))
+    from .config import Limits
+
+    hits = Engine(spark, sf, Limits(max_rows=1, max_rows_parallel=1, mixed_languages="always")).limit_reached(Request(modules, search="king"))
+    matched = corpus.units(spark, sf, modules=modules).where(lang.column(lang.parse("king").parts[0])).select("module").distinct()
+    return hits.where("limit_reached").join(matched, "module", "left_semi").select("module")
+
+
+@query("select id, try_cast(nullif(regexp_extract(coalesce(year, ''), '(^|[^0-9])(1[0-9]{3}|20[0-9]{2})([^0-9]|$)', 2), '') as int) as year from bibles")
+def edition_year(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "bibles").select("id", T.year_of(F.col("year")).alias("year"))
+
+
+@query("select request_id, regexp_replace(reference, '[\\r\\n]+', ' ', 'g') as reference, case when try_cast(trim(search, ' ') as int) > 0 then try_cast(trim(search, ' ') as int) else 30 end as size from passage_requests")
+def input_values(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "passage_requests").select("request_id", T.one_line(F.col("reference")).alias("reference"), T.positive_int(F.col("search"), 30).alias("size"))
+
+
+@query("select request_id, trim(regexp_replace(regexp_replace(reference, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), '^[;, ]+|[;, ]+$', '', 'g'), ' ') as reference from passage_requests")
+def trim_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "passage_requests").select("request_id", T.trim_request(F.col("reference")).alias("reference"))
+
+
+@query("select id, round(id * 123457 / 1048576, 1) as mb from bibles")
+def megabyte_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "bibles").select("id", T.megabytes(F.col("id") * 123457).alias("mb"))
+
+
+@query("select row_id, module from verses where module not in (select min(module) from verses union select max(module) from verses)")
+def drop_editions(spark: SparkSession, sf: str) -> DataFrame:
+    return mutate.without_editions(table(spark, sf, "verses"), list(table(spark, sf, "verses").agg(F.min("module"), F.max("module")).first())).select("row_id", "module")
+
+
+@query(f"select row_id, module, case when module = {_BASE} then 'new' else coalesce(text, '') end as text from verses")
+def replace_edition(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stored(spark, sf).select("row_id", "module", "text")
+    return mutate.replace_edition(rows, rows.where(F.col("module") == _baseline(spark, sf)).withColumn("text", F.lit("new")))
+
+
+@query("select id from bibles where updated_at is null")
+def soft_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    return mutate.soft_deleted(table(spark, sf, "bibles"), "updated_at").select("id")
+
+
+@query("select 'bibles' as tbl, id::bigint as id from bibles where not coalesce(created_at::date + interval 6 month < date '2024-12-01', false) union all select 'requests', request_id from passage_requests where not coalesce(requested_at::date + interval 1 month < date '2024-12-01', false) union all select 'shortcuts', id from shortcuts")
+def weekly_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = mutate.cleaned_up(
+        {"bibles": table(spark, sf, "bibles"), "requests": table(spark, sf, "passage_requests").withColumnRenamed("request_id", "id"), "shortcuts": table(spark, sf, "shortcuts")},
+        {"bibles": ("created_at", 6), "requests": ("requested_at", 1)},
+        F.lit("2024-12-01").cast("timestamp"),
+    )
+    out = [t.select(F.lit(k).alias("tbl"), F.col("id").cast("long").alias("id")) for k, t in kept.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(
+    """with f as (select '{' || concat_ws(',', '"reference":' || to_json(reference), '"search":' || to_json(search)) || '}' as form, requested_at, request_id from passage_requests),
+ g as (select form, min(requested_at) filter (request_id % 2 = 0) as a, min(requested_at) filter (request_id % 2 = 1) as b from f group by form)
+ select substr(sha256(form), 1, 24) as hash, form from g where (a is not null and not a::date + interval 1 month < date '2024-06-01') or b is not null"""
+)
+def request_cache_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored cache of the even requests, its run out entries dropped and the odd requests put in."""
+    forms = request_cache_all(spark, sf).join(table(spark, sf, "passage_requests").select("request_id", F.col("requested_at").alias("created_at")), "request_id")
+    now = F.lit("2024-06-01").cast("timestamp")
+    empty = spark.createDataFrame([], "hash string, form string, created_at timestamp_ntz")
+    held = mutate.cache_requests(empty, forms.where("request_id % 2 = 0"), now)
+    return mutate.cache_requests(held, forms.where("request_id % 2 = 1"), now).select("hash", "form")
+
+
+@query("select row_id as row_no, v.book, b.name as book_name, chapter, verse, text from verses v join books b on b.id = v.book and b.lang = 'en' where trim(coalesce(text, ''), ' ') <> '' and not starts_with(trim(text, ' '), '=') and not regexp_matches(text, '[\\r\\n]')")
+def import_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Verses written as CSV lines and read back by the roles of the columns; a record is one line, so texts of several lines are no CSV."""
+    rows = exports.with_book_names(table(spark, sf, "verses").where(F.trim("text") != "").where(~F.col("text").rlike(r"[\r\n]")), table(spark, sf, "books"), "en")
+    lines = exports.csv_lines(rows.withColumn("id", F.col("row_id"))).select(F.regexp_extract("line", "^([0-9]+)", 1).cast("long").alias("row_no"), F.col("line").alias("value"))
+    return importers.role_mapped(importers.csv_cells(lines, 6), ["none", "bn", "b", "c", "v", "t"], as_stored=True)
+
+
+@query("select book, chapter, verse, trim(text, ' ') as text from verses where trim(coalesce(text, ''), ' ') <> '' and not contains(text, chr(9))")
+def import_tabbed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "verses").where(F.trim("text") != "").where(~F.col("text").contains("\t"))
+    line = F.concat_ws("\t", F.format_string("%02dO", "book"), F.col("chapter").cast("string"), F.col("verse").cast("string"), F.lit(""), F.col("id").cast("string"), F.col("text"))
+    return importers.tabbed_lines(rows.select(line.alias("value")))
+
+
+@query("select module, book, chapter, verse, 'word ' || id || '{G' || verse || '} [' || chapter || ']' as text from verses v where row_id in (select min(row_id) from verses group by module, book, chapter, verse)")
+def import_usfm(spark: SparkSession, sf: str) -> DataFrame:
+    """Editions written with markers, a file a book, and read back: words with lexicon numbers, italics, notes and headings."""
+    rows = table(spark, sf, "verses").join(table(spark, sf, "verses").groupBy("module", "book", "chapter", "verse").agg(F.min("row_id").alias("row_id")), ["module", "book", "chapter", "verse", "row_id"], "left_semi")
+    line = F.format_string('\\v %d \\w word %d|strong="G00%d"\\w* \\add %d\\add*\\f + \\ft note\\f*\n', "verse", "id", "verse", "chapter")
+    parts = F.array_sort(F.collect_list(F.struct("verse", line.alias("line"))))
+    chapter = rows.groupBy("module", "book", "chapter").agg(F.concat(F.lit("\\c "), F.col("chapter").cast("string"), F.lit("\n\\s1 heading\n"), F.array_join(F.transform(parts, lambda x: x["line"]), "")).alias("body"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "body"))), lambda x: x["body"]), "")
+    codes = F.array(*[F.lit(c) for c in importers.USFM_BOOKS])
+    files = chapter.groupBy("module", "book").agg(F.concat(F.lit("\\id "), F.element_at(codes, F.col("book")), F.lit("\n\\h x\n"), body).alias("value"))
+    files = files.withColumn("book", importers.usfm_book(F.col("value")))
+    return importers.usfm(files, ["module"]).select("module", "book", "chapter", "verse", "text")
+
+
+@query("select id::varchar as id, book::varchar as book, chapter::varchar as chapter, verse::varchar as verse, text from verses where not regexp_matches(coalesce(text, ''), '[\\r\\n]')")
+def import_sql_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Verses written as statements of a dump and read back."""
+    rows = table(spark, sf, "verses").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[\r\n]"))
+    columns = ["id", "book", "chapter", "verse", "text"]
+    return importers.sql_rows(exports.sql_lines(rows, F.lit("verses"), columns).select(F.col("line").alias("value")), "verses", columns)
+
+
+@query("select id, name as root_word, shortname as transliteration, lang_short as pronunciation, 'of ' || module || ' x' as definition from bibles where name is not null and shortname is not null and lang_short is not null and not regexp_matches(name || shortname || lang_short, '[<>]') and name = trim(name) and shortname = trim(shortname) and lang_short = trim(lang_short)")
+def import_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "bibles").where("name is not null and shortname is not null and lang_short is not null").where(~F.concat("name", "shortname", "lang_short").rlike("[<>]")).where("name = trim(name) and shortname = trim(shortname) and lang_short = trim(lang_short)")
+    entry = F.concat(F.lit("<b>"), "name", F.lit("</b><br>"), "shortname", F.lit("<br/>"), "lang_short", F.lit("<BR />of <i>"), "module", F.lit("</i><br>x"))
+    return importers.lexicon_entries(rows.select(F.col("id").alias("number"), entry.alias("entry"))).select(F.col("number").alias("id"), "root_word", "transliteration", "pronunciation", "definition")
+
+
+@query(r"with " + STORED + r" select row_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\{[^}]*\}', '', 'g') || ' [so]{H7}', '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ([?,.!:;])', '\1', 'g'), ' ') as text from stored where not regexp_matches(text, '[<>¶()]')")
+def import_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with a foreign format's tags in the corpus's markup."""
+    rows = stored(spark, sf).where(~F.col("text").rlike(r"[<>¶()]")).withColumn("text", F.concat(F.regexp_replace("text", r"\{[^}]*\}", ""), F.lit(" <i>so</i><WH07><br>")))
+    return rows.select("row_id", T.import_text(F.col("text"), italics=("<i>", "</i>")).alias("text"))
+
+
+@query("select row_id, 'b' || verse || ' c' as note from verses")
+def lexicon_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Grammar notes without their leading counts."""
+    note = F.format_string("<b>Count:</b> %d times<br>b%d c", "verse", "verse")
+    return table(spark, sf, "verses").select("row_id", T.without_counts(note).alias("note"))
+
+
+@query("select id from bibles b where not exists (select 1 from bibles o where o.shortname = b.shortname and o.id <> b.id) and shortname is not null")
+def unique_values(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.unshared(table(spark, sf, "bibles"), "shortname", "id").select("id")
