@@ -1,14 +1,14 @@
 """Abusive, hateful or sexually explicit content of documents.
 
-Sentences are scored, since one is enough: gradient-boosted trees over dense features (densities of a lexicon with
-learned weights and of fixed word lists, nearness of the second person to the worst word, capitals, punctuation and
-obfuscation), and a document has the score of its worst sentence, calibrated by isotonic regression on labelled
-documents that the trees didn't see. Obfuscated words (look-alike letters, digits and signs for letters, stretched,
-spaced or starred letters) are restored first.
+Every sentence of every document is scored by gradient-boosted trees over dense features: densities of a lexicon of words
+and of pairs of neighbours with learned weights, nearness of the second person to the worst word, capitals, punctuation and
+obfuscation rates, and densities of a small seed lexicon. A document has the score of its worst sentence, calibrated by
+isotonic regression on labelled documents that the trees didn't see. Obfuscated words (look-alike letters, digits and signs
+for letters, stretched, spaced or starred letters) are restored first. Features are worked out for whole batches of
+sentences by array operations; only sentences with signs of obfuscation are looked at one by one, to restore their words.
 
 The lexicon, the trees and the calibration are fitted on a bounded, hash-picked sample of labelled documents
-(``SAMPLE``); every document is scored, whole. Documents without any word of positive weight and without obfuscation
-have no candidate sentence and get the rate that the calibration gives to such documents.
+(``SAMPLE``); every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pickle
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,28 @@ SAMPLE_CHARS = 8_000  # longer documents aren't taken into that sample
 THRESHOLD = 0.5  # calibrated rate from which a document counts as a case
 SUPPORT = 5  # documents of the sample that a word or pair must be in to have a weight
 PRIOR = 4  # documents' worth of the base rate that smooths a weight
-HOT = 1.2  # weight from which a word makes its sentence a candidate
+HOT = 1.2  # weight from which a word is a strong sign
+QUIET = 8  # one in so many sentences without a strong sign is learned from, and counts for all of them
+ROUNDS = 3  # of learning
+LIKELY = -1.0  # log-odds from which the worst sentence of a marked document is taken for the reason
+SURE = 2.0  # log-odds from which an unlabelled document teaches as a marked one
+CACHE = 300_000  # words remembered by a worker
+BATCH = 1 << 20  # characters looked at together
 
 # Words that address the reader.
 SECOND_PERSON = frozenset(
     "you your yours yourself du dich dir dein deine deinen deinem deiner toi tu te ton ta tes vous votre tú ti tus usted vos teu tua teus tuas vais"
     " tuo tuoi tue jij je jou jouw ni dig din dina ditt ты тебя тебе тебой твой твоя твоё твои твою свою εσύ εσένα σου σε".split()
 )
-# Coarse insults, words of contempt for a people, and explicit words, in the languages of the corpus.
+# A seed of common insults, words of contempt for a people, and explicit words; the lexicon learns the rest.
 INSULTS = frozenset(
-    "idiot moron asshole bastard bitch scumbag loser retarded shit fucking worthless pathetic arschloch schwein sau missgeburt fresse maul schlampe dreckiges"
-    " connard crétin abruti salope ordure gueule merdeux gilipollas cabrón idiota imbécil imbecil mierda cerdo perra canalha cabrão merda puta bastardo stronzo"
-    " disgusting filthy miserable lying brainless wertloser dummen erbärmliches erbärmliche widerliche verlogene immonde misérable inutile asqueroso maldito"
-    " nojento miserável schifoso maledetto waardeloze vuile smerige walgelijke zielige domme жалкий жалкая тупой тупые подлый"
-    " klootzak idioot eikel bek wijf jävla jävel svin dumbom хуй мразь тварь твари идиот козёл сволочь пасть ηλίθιε ηλίθιος μαλάκα σκουπίδι".split()
+    "idiot moron asshole bastard bitch scumbag loser shit fucking arschloch schwein missgeburt schlampe hurensohn connard abruti salope crétin gilipollas"
+    " cabrón idiota imbécil imbecil puta mierda cabrão merda stronzo bastardo coglione puttana klootzak idioot eikel hoer jävel jävla svin hora"
+    " идиот козёл сволочь сука хуй ηλίθιε ηλίθιος μαλάκα μαλάκας πουτάνα".split()
 )
-CONTEMPT = frozenset("vermin rats thieves filthy ungeziefer dreck vermine alimañas vermes parassiti ongedierte ohyra твари σκουλήκια παράσιτα breed chasser expulsos cacciare gejagt gejaagd".split())
-EXPLICIT = frozenset("sex naked fuck breasts geil nackten baiser seins follarte foder desnudo scoparti nudo neuken naakt naken knulla голые трахнуть γυμνή γαμήσω".split())
+CONTEMPT = frozenset("vermin scum subhuman ungeziefer untermenschen vermine racaille alimañas escoria escória parassiti feccia ongedierte uitschot ohyra avskum нелюди παράσιτα".split())
+EXPLICIT = frozenset("sex fuck porn nude ficken nackt baiser nue follar desnuda desnudo foder nua scopare nuda nudo neuken naakt knulla naken трахнуть голая γαμήσω γυμνή".split())
 
-SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\w)[^.!?\n]+)*[.!?]*")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}*@$!]+")
 PLAIN = regex.compile(r"[\p{L}\p{M}]+")
 SPACED = re.compile(r"(?<!\w)(?:\w(?:\.\w){2,}|\w(?:-\w){2,}|[^\W\d_](?: [^\W\d_]){2,})(?!\w)")
@@ -168,7 +172,8 @@ class Names(dict):
         return n
 
     def of(self, names: Iterable[str]) -> np.ndarray:
-        return np.unique(np.fromiter(map(self.__getitem__, names), np.int32))
+        own = set(map(self.__getitem__, names))
+        return np.fromiter(own, np.int32, len(own))
 
 
 def weights(names: Names, rows: list[tuple[np.ndarray, float]]) -> dict[str, float]:
@@ -190,45 +195,179 @@ def prior(x: np.ndarray) -> np.ndarray:
     return -3.5 + 3.0 * (insult & you) + 1.0 * insult + 1.5 * coarse + 1.5 * (coarse & you) + 1.0 * restored
 
 
+class Sentences:
+    """The sentences of a batch of texts: which text each is of, where it lies in it, and what its characters are.
+
+    A sentence ends at a line end, or at ``.!?`` before anything that isn't part of a word.
+    """
+
+    def __init__(self, texts: list[str]):
+        text, lo, hi, upper, marks, letters = [], [], [], [], [], []
+        word_at, base = [], 0
+        for first, codes, _, starts in surveys(texts):
+            kind = characters()[codes]
+            end = (kind & END) > 0
+            after_end, after_word = np.append(end[1:], False), np.append(kind[1:] & WORDY, 0) > 0
+            cut = (codes == 10) | (end & ~after_end & ~after_word)
+            edges = np.flatnonzero(cut) + 1
+            begins = np.concatenate([[0], edges[:-1]])
+            owner = np.searchsorted(starts, begins, "right") - 1
+            text.append(owner + first)
+            lo.append(begins - starts[owner])
+            hi.append(edges - (codes[edges - 1] == 10) - starts[owner])
+            for out, flag in ((upper, UPPER), (marks, MARK), (letters, LETTER)):
+                out.append(np.add.reduceat((kind & flag > 0).astype(np.int32), begins))
+            part = (kind & PART) > 0
+            where = np.flatnonzero(part & ~np.concatenate([[False], part[:-1]]))
+            word_at.append(np.searchsorted(edges, where, "right") + base)
+            base += len(edges)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, int)
+        self.text, self.lo, self.hi, self.upper, self.marks, self.letters, self.word_at = map(join, (text, lo, hi, upper, marks, letters, word_at))
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def string(self, texts: list[str], k: int) -> str:
+        return texts[self.text[k]][self.lo[k] : self.hi[k]]
+
+
+END, WORDY, UPPER, MARK, LETTER, PART = 1, 2, 4, 8, 16, 32
+
+
+@lru_cache(maxsize=1)
+def characters() -> np.ndarray:
+    """What each code point is, as flags: sentence end, part of a word in ``\\w``, capital, ``!?*``, letter, part of a term."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in [*range(0xD800), *range(0xE000, 0x33480), *range(0xE0100, 0xE01F0)]:
+        x = chr(c)
+        alpha = x.isalpha()
+        if alpha or x.isalnum():
+            out[c] = WORDY | (LETTER | PART if alpha else 0) | (UPPER if x.isupper() else 0)
+        elif c > 0x2FF and PLAIN.match(x):
+            out[c] = PART
+    out[ord("_")] |= WORDY
+    out[[ord(c) for c in ".!?"]] |= END
+    out[[ord(c) for c in "!?*"]] |= MARK
+    return out
+
+
+class Batch:
+    """The sentences and words of some texts, as far as no lexicon is needed for them."""
+
+    def __init__(self, texts: list[str]):
+        self.found = found = Sentences(texts)
+        words = list(chain.from_iterable(PLAIN.findall(t.lower()) for t in texts))
+        self.owner = found.word_at
+        if len(words) != len(self.owner):  # a letter whose lower case is no letter may split a run; then sentences are cut one by one
+            parts = [PLAIN.findall(found.string(texts, k).lower()) for k in range(len(found))]
+            words, self.owner = list(chain.from_iterable(parts)), np.repeat(np.arange(len(found)), [len(p) for p in parts])
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        self.words, self.at = list(numbers), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        maybe = np.array([bool(m) and SUSPECT.search(t) is not None for m, t in zip(may_be_obfuscated(texts), texts)], bool)
+        self.suspects = {}  # sentences with signs of obfuscation
+        for k in np.flatnonzero(maybe[found.text]).tolist() if len(found) else ():
+            if SUSPECT.search(sentence := found.string(texts, k)):
+                self.suspects[k] = sentence
+
+
 class Lexicon:
     """Weights of words and of pairs of neighbours, learned from (words, pairs, label) rows."""
 
     def __init__(self, words: Names, pairs: Names, rows: list[tuple[np.ndarray, np.ndarray, float]]):
         known = weights(words, [(w, y) for w, _, y in rows])
-        # a listed word too rare for a weight of its own counts as a candidate; one with a weight goes by that
+        # a listed word too rare for a weight of its own is a strong sign; one with a weight goes by that
         listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in known}
         self.words = {w: v for w, v in known.items() if abs(v) > 0.2} | listed
         self.pairs = {w: v for w, v in weights(pairs, [(p, y) for _, p, y in rows]).items() if abs(v) > 0.2}
-        self.hot = frozenset(w for w, v in self.words.items() if v > HOT)
-
-    def features(self, sentence: str) -> list[float]:
-        words, undone, hot = restore(sentence, self.words)
-        n = max(1, len(words))
-        own = [self.words.get(w, 0.0) for w in words] or [0.0]
-        both = [self.pairs.get(p, 0.0) for p in pairs_of(words)]
-        ranked = sorted(own, reverse=True)
-        at = own.index(ranked[0])
-        you = [k for k, w in enumerate(words) if w in SECOND_PERSON]
-        letters = sum(map(str.isalpha, sentence)) or 1
-        return [
-            ranked[0], ranked[1] if len(ranked) > 1 else 0.0, sum(own) / n, sum(v for v in own if v > HOT) / n,
-            max(both), sum(both) / len(both), min(both), sum(v > 1 for v in both) / len(both), sum(v < -0.7 for v in both) / len(both),
-            len(you) / n, min((abs(k - at) for k in you), default=20),
-            sum(map(str.isupper, sentence)) / letters, sum(sentence.count(c) for c in "!?*") / len(sentence), undone / n, hot, min(n, 40),
-            sum(w in INSULTS for w in words) / n, sum(w in CONTEMPT or w in EXPLICIT for w in words) / n,
-        ]
-
-    def candidates(self, text: str, maybe: bool = True) -> list[str]:
-        """Sentences with a word of positive weight or with obfuscation; ``maybe``: whether the text may be obfuscated."""
-        suspect = maybe and SUSPECT.search(text)
-        if not suspect and self.hot.isdisjoint(PLAIN.findall(text.lower())):
-            return []
-        out = []
-        for m in SENTENCE.finditer(text):
-            s = m.group()
-            if not self.hot.isdisjoint(PLAIN.findall(s.lower())) or (suspect and SUSPECT.search(s)):
-                out.append(s)
-        return out
+        self.reset()
+
+    def __getstate__(self):
+        return {"words": self.words, "pairs": self.pairs}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.reset()
+
+    def reset(self) -> None:
+        """Numbers for the lexicon's own words; 0 and 1 are the ends of a sentence."""
+        self.ids: dict[str, int] = {"^": 0, "$": 1}
+        self.weight, self.flags = np.zeros(1024), np.zeros(1024, np.uint8)
+        self.learn(chain(self.words, chain.from_iterable(p.split(" ") for p in self.pairs)))
+        keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in (p.split(" ") for p in self.pairs)], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.pair_weight = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(self.pairs.values()), float)[order], 0.0)
+
+    def learn(self, words: Iterable[str]) -> None:
+        for w in words:
+            if w in self.ids:
+                continue
+            k = self.ids[w] = len(self.ids)
+            if k >= len(self.weight):
+                self.weight, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.weight, self.flags))
+            self.weight[k] = self.words.get(w, 0.0)
+            self.flags[k] = (w in SECOND_PERSON) | (w in INSULTS) << 1 | (w in CONTEMPT or w in EXPLICIT) << 2
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.pair_weight[at], 0.0)
+
+    def features(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the sentences that have words, and their features."""
+        if len(self.ids) > CACHE:
+            self.reset()
+        found, owner = batch.found, batch.owner
+        self.learn(batch.words)
+        ids = np.fromiter(map(self.ids.__getitem__, batch.words), np.int64, len(batch.words))[batch.at]
+        undone, hot = np.zeros(len(found)), np.zeros(len(found))
+        if batch.suspects:
+            restored = {}
+            for k, sentence in batch.suspects.items():
+                restored[k], undone[k], hot[k] = restore(sentence, self.words)
+            self.learn(chain.from_iterable(restored.values()))
+            keep = ~np.isin(owner, list(restored))
+            more = np.array([self.ids[w] for own in restored.values() for w in own], np.int64)
+            ids, owner = np.concatenate([ids[keep], more]), np.concatenate([owner[keep], np.repeat(list(restored), [len(v) for v in restored.values()])]).astype(int)
+            order = np.argsort(owner, kind="stable")
+            ids, owner = ids[order], owner[order]
+        if not len(ids):
+            return np.zeros(0, int), np.zeros((0, FEATURES))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        own = owner[first]
+        n = np.diff(np.append(first, len(ids)))
+        row, place = np.repeat(np.arange(len(first)), n), np.arange(len(ids))
+        add, top = (lambda x: np.add.reduceat(x, first)), (lambda x: np.maximum.reduceat(x, first))
+        w, flags = self.weight[ids], self.flags[ids]
+        best = top(w)
+        at = np.minimum.reduceat(np.where(w == best[row], place, len(ids)), first)
+        rest = w.copy()
+        rest[at] = -np.inf
+        second = np.where(n > 1, top(rest), 0.0)
+        opens = np.zeros(len(ids), bool)
+        opens[first] = True
+        both = self.pair(np.where(opens, 0, np.concatenate([[0], ids[:-1]])), ids)
+        last = self.pair(ids[first + n - 1], np.ones(len(first), np.int64))
+        you = (flags & 1) > 0
+        far = np.minimum(np.minimum.reduceat(np.where(you, np.abs(place - at[row]), 20), first), 20)
+        size = np.maximum(found.hi - found.lo, 1)[own]
+        x = np.stack([
+            best, second, add(w) / n, add(np.where(w > HOT, w, 0)) / n,
+            np.maximum(top(both), last), (add(both) + last) / (n + 1), np.minimum(np.minimum.reduceat(both, first), last),
+            (add(both > 1.0) + (last > 1)) / (n + 1), (add(both < -0.7) + (last < -0.7)) / (n + 1),
+            add(you) / n, far, found.upper[own] / np.maximum(found.letters[own], 1), found.marks[own] / size, undone[own] / n, hot[own], np.minimum(n, 40),
+            add((flags & 2) > 0) / n, add((flags & 4) > 0) / n,
+        ], 1)
+        return own, x
+
+
+def parts_of(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``most`` characters, with the index of the first; a longer text is a run of its own."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most or k + 1 == len(texts):
+            yield lo, texts[lo : k + 1]
+            lo, size = k + 1, 0
 
 
 class AbuseModel:
@@ -236,102 +375,153 @@ class AbuseModel:
         self.lexicon, self.trees, self.calibration, self.floor = lexicon, trees, calibration, floor
 
     def worst(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
-        """The raw score of each text's worst candidate sentence (-inf without one), and that sentence."""
-        owner, sentences = [], []
-        clean = readable_all(texts)
-        for k, (t, maybe) in enumerate(zip(clean, may_be_obfuscated(clean))):
-            own = self.lexicon.candidates(t, maybe)
-            sentences += own
-            owner += [k] * len(own)
+        """The raw score of each text's worst sentence (-inf for texts without words), and that sentence."""
         best, what = np.full(len(texts), -np.inf), [None] * len(texts)
-        if sentences:
-            for k, s, v in zip(owner, sentences, self.trees.score(np.array([self.lexicon.features(s) for s in sentences]))):
-                if v > best[k]:
-                    best[k], what[k] = v, s.strip()
+        for lo, part in parts_of(readable_all(texts)):
+            batch = Batch(part)
+            found = batch.found
+            own, x = self.lexicon.features(batch)
+            if not len(own):
+                continue
+            score, doc = self.trees.score(x), found.text[own]
+            order = np.lexsort((-score, doc))
+            for i in order[np.diff(doc[order], prepend=-1) > 0]:
+                best[lo + doc[i]], what[lo + doc[i]] = score[i], found.string(part, own[i]).strip()
         return best, what
 
     def rate(self, raw: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(raw), self.calibration(np.where(np.isfinite(raw), raw, 0)), self.floor)
 
 
-def train(rows: list[tuple[str, float, float]], seed: int = 3) -> AbuseModel:
-    """A model from (text, label of the document, documents that the row stands for) rows.
-
-    Labels are of documents, so the lexicon is learned twice: from whole documents, then with only the worst sentence of
-    each marked document as marked, which frees the words around it. Features for the trees are crossed: a document's
-    come from a lexicon that was learned without it.
+class Lessons:
+    """What the lexicon is learned from: by document, rows of words and pairs with a label."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.cut = texts, Sentences(texts)
+        self.base = np.searchsorted(self.cut.text, np.arange(len(texts)))
+        seeds = dict.fromkeys(INSULTS | CONTEMPT | EXPLICIT, 2.0)
+        self.words, self.pairs, self.clean = Names(), Names(), [[] for _ in texts]
+        for k, doc in enumerate(self.cut.text.tolist()):
+            own = restore(self.cut.string(texts, k), seeds)[0]
+            self.clean[doc].append((k, self.words.of(own), self.pairs.of(pairs_of(own))))
+        self.rows: list[list[tuple[np.ndarray, np.ndarray, float]]] = [[] for _ in texts]
+
+    def whole(self, doc: int, label: float, without: int = -1) -> tuple[np.ndarray, np.ndarray, float]:
+        own = [(w, p) for k, w, p in self.clean[doc] if k != without]
+        return (*(np.unique(np.concatenate([np.zeros(0, np.int32), *x])) for x in (zip(*own) if own else ([], []))), label)
+
+    def learn(self, doc: int, label: float, worst: int = -1) -> None:
+        """A document as it is marked; of a marked one with a known worst sentence, that alone is marked."""
+        if label and worst >= 0:
+            _, words, pairs = self.clean[doc][worst - self.base[doc]]
+            self.rows[doc] = [(words, pairs, 1.0), self.whole(doc, 0.0, worst)]
+        else:
+            self.rows[doc] = [self.whole(doc, label)]
+
+    def lexicon(self, docs: np.ndarray) -> Lexicon:
+        return Lexicon(self.words, self.pairs, [r for k in docs.tolist() for r in self.rows[k]])
+
+    def batches(self, docs: np.ndarray) -> list[tuple[np.ndarray, Batch]]:
+        return [(docs[lo : lo + len(part)], Batch(part)) for lo, part in parts_of([self.texts[k] for k in docs])]
+
+    def features(self, lexicon: Lexicon, batches: list[tuple[np.ndarray, Batch]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, number (of all sentences) and features of each sentence with words."""
+        owner, number, x = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, FEATURES))]
+        for docs, batch in batches:
+            own, features = lexicon.features(batch)
+            text = batch.found.text
+            owner.append(docs[text[own]])
+            number.append(own - np.searchsorted(text, text[own]) + self.base[docs[text[own]]])
+            x.append(features)
+        return np.concatenate(owner), np.concatenate(number), np.concatenate(x)
+
+
+def worst_of(owner: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The row of the highest score of each owner."""
+    order = np.lexsort((-score, owner))
+    return order[np.diff(owner[order], prepend=-1) > 0]
+
+
+def train(rows: list[tuple[str, float | None, float]], seed: int = 3) -> AbuseModel:
+    """A model from (text, label of the document or None, documents that the row stands for) rows.
+
+    Labels are of documents, so the lexicon is learned in rounds: first from whole documents, then with only the worst
+    sentence of each marked document as marked, which frees the words around it. Documents without a label join from the
+    second round on, marked if the trees are sure of them; they teach the lexicon words, never the trees or the calibration.
+    Features for the trees are crossed: a labelled document's come from a lexicon that was learned without it. The trees are
+    fitted thrice, each time without a third of the documents, which calibrate; the model has all of them.
     """
-    if len({r[1] for r in rows}) < 2:
+    if len({r[1] for r in rows} - {None}) < 2:
         raise ValueError("labels of both kinds are needed")
     texts = readable_all([r[0] for r in rows])
-    y, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    seeds = dict.fromkeys(INSULTS | CONTEMPT | EXPLICIT, 2.0)
-    split = [[s for s in (m.group() for m in SENTENCE.finditer(t)) if s.strip()] for t in texts]
-    clean = [[restore(s, seeds)[0] for s in own] for own in split]
+    rated = np.array([r[1] is not None for r in rows])
+    y, weight = np.array([r[1] or 0.0 for r in rows]), np.array([r[2] for r in rows])
+    lessons = Lessons(texts)
     rng = np.random.default_rng(seed)
-    fold, held = rng.random(len(texts)) < 0.5, rng.random(len(texts)) < 0.3
-    words, pairs = Names(), Names()
-
-    def lesson_row(sentences: list[list[str]], label: float) -> tuple[np.ndarray, np.ndarray, float]:
-        return words.of(w for s in sentences for w in s), pairs.of(p for s in sentences for p in pairs_of(s)), label
-
-    lesson = [[lesson_row(own, v)] for own, v in zip(clean, y)]  # rows for the lexicon, by document
-
-    def crossed() -> tuple[np.ndarray, np.ndarray, list[str]]:
-        owner, x, sentences = [], [], []
-        for side in (False, True):
-            lexicon = Lexicon(words, pairs, [r for k, own in enumerate(lesson) if fold[k] != side for r in own])
-            for k in np.flatnonzero(fold == side):
-                for s in lexicon.candidates(texts[k]):
-                    owner.append(k)
-                    x.append(lexicon.features(s))
-                    sentences.append(s)
-        return np.array(owner, int), np.array(x, float).reshape(len(owner), FEATURES), sentences
-
-    def worst_of(owner: np.ndarray, score: np.ndarray) -> np.ndarray:
-        order = np.lexsort((-score, owner))
-        return order[np.diff(owner[order], prepend=-1) > 0]
-
-    for last in (False, True):
-        owner, x, sentences = crossed()
-        score = x[:, 4] + x[:, 5] + x[:, 0] if not last else scores_of(sentences, owner, previous, x)
-        for _ in range(2):
+    fold, third = rng.random(len(texts)) < 0.5, rng.integers(0, 3, len(texts))
+    mine, others = np.flatnonzero(rated), np.flatnonzero(~rated)
+    for k in mine:
+        lessons.learn(k, y[k])
+    halves, loose = [lessons.batches(mine[fold[mine] == side]) for side in (False, True)], lessons.batches(others)
+
+    def crossed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        both = [lessons.features(lessons.lexicon(np.concatenate([mine[fold[mine] != side], others])), halves[side]) for side in (False, True)]
+        return tuple(np.concatenate(x) for x in zip(*both))
+
+    known: dict[int, float] = {}
+    for turn in range(ROUNDS):
+        owner, number, x = crossed()
+        score = x[:, 4] + x[:, 5] + x[:, 0] if not known else np.array([known[k] for k in number.tolist()])
+        loud = (x[:, 0] > HOT) | (x[:, 4] > HOT) | (x[:, 13] > 0) | (x[:, 16] > 0) | (x[:, 17] > 0)
+        lot = rng.random(len(x)) < 1 / QUIET
+        parts: list[Ensemble] = []
+        for again in (True, False):
             top = worst_of(owner, score)
-            # every candidate of an unmarked document is a negative, only the worst of a marked one a positive
-            use = np.concatenate([top[y[owner[top]] > 0], np.flatnonzero(y[owner] == 0)])
-            use = use[~held[owner[use]]]
-            marked = (y[owner[use]] > 0).astype(float)
-            trees = Ensemble(least=int(min(12, max(3, marked.sum() // 8))), rounds=50, prior=prior).fit(x[use], marked)
-            score = trees.score(x)
-        previous = {(k, s): v for k, s, v in zip(owner, sentences, score)}
-        if not last:
-            for k in np.flatnonzero(y > 0):
-                lesson[k] = []  # marked, but maybe nothing in it tells why
-            for i in worst_of(owner, score):
-                k = owner[i]
-                if y[k] > 0 and score[i] > -1:
-                    worst = restore(sentences[i], seeds)[0]
-                    lesson[k] = [lesson_row([worst], 1.0), lesson_row([s for s in clean[k] if s != worst], 0.0)]
+            # sentences of unmarked documents are negatives, of a marked one the worst is a positive and the others tell nothing
+            use = np.concatenate([top[y[owner[top]] > 0], np.flatnonzero((y[owner] == 0) & (loud | lot))])
+            if again:
+                part = use[third[owner[use]] != 0]
+                score = _fit(x[part], y[owner[part]] > 0, loud[part], 1).score(x)
+                continue
+            for k in range(3):
+                part, rest = use[third[owner[use]] != k], third[owner] == k
+                parts.append(_fit(x[part], y[owner[part]] > 0, loud[part], 3 if turn == ROUNDS - 1 else 1))
+                score[rest] = parts[-1].score(x[rest])
+        trees = Ensemble.of(parts)
+        if turn == ROUNDS - 1:
+            break
+        for k in mine[y[mine] > 0]:
+            lessons.rows[k] = []  # marked, but maybe nothing in it tells why
+        fitted = trees.score(x)  # what was learned by heart may teach; it never calibrates
+        known = dict(zip(number.tolist(), fitted.tolist()))
+        for i in worst_of(owner, fitted):
+            if y[owner[i]] > 0 and fitted[i] > LIKELY:
+                lessons.learn(owner[i], 1.0, number[i])
+        if len(others):
+            doc, which, z = lessons.features(lessons.lexicon(np.concatenate([mine, others])), loose)
+            sure = trees.score(z)
+            for i in worst_of(doc, sure):
+                lessons.rows[doc[i]] = []
+                if sure[i] > SURE or sure[i] < 0:
+                    lessons.learn(doc[i], float(sure[i] > SURE), which[i])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, score)
-    some, none = held & np.isfinite(best), ~np.isfinite(best)
-    if y[some].sum() < 30:  # too few held-out documents; those learned from calibrate too
-        some = np.isfinite(best)
+    some, none = rated & np.isfinite(best), rated & ~np.isfinite(best)
     floor = float(((y * weight)[none].sum() + 0.05) / (weight[none].sum() + 1))
-    return AbuseModel(Lexicon(words, pairs, [r for own in lesson for r in own]), trees, Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic, floor)
+    calibration = Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic
+    return AbuseModel(lessons.lexicon(np.arange(len(texts))), trees, calibration, floor)
 
 
-def logistic(score: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-score))
+def _fit(x: np.ndarray, marked: np.ndarray, loud: np.ndarray, members: int) -> Ensemble:
+    return Ensemble(members, least=int(np.clip(marked.sum() // 8, 3, 12)), rounds=50, prior=prior).fit(x, marked.astype(float), np.where(loud | marked, 1.0, QUIET))
 
 
-def scores_of(sentences: list[str], owner: np.ndarray, known: dict[tuple[int, str], float], x: np.ndarray) -> np.ndarray:
-    """Scores of the round before, and the lexicon's own for sentences that are new."""
-    return np.array([known.get((k, s), x[i, 4] + x[i, 5] - 8) for i, (k, s) in enumerate(zip(owner, sentences))])
+def logistic(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-score))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", sample: int = SAMPLE) -> AbuseModel:
-    """Fit on at most about ``sample`` rated documents, picked by a hash of their id.
+    """Fit on at most about ``sample`` documents, picked by a hash of their id: rated ones, and if those are fewer, others too.
 
     Raters are averaged, and a tie counts as marked. Up to a third of the sample are marked documents, which are rarer; the
     calibration weighs each row by the documents that it stands for.
@@ -340,18 +530,25 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     n = {x.y: x["count"] for x in rated.groupBy("y").count().collect()}
     bad = min(n.get(1.0, 0), sample // 3)
     share = {1.0: bad / max(1, n.get(1.0, 0)), 0.0: min(1.0, (sample - bad) / max(1, n.get(0.0, 0)))}
-    rate = F.when(F.col("y") > 0, share[1.0]).otherwise(share[0.0])
-    picked = rated.where(F.pmod(F.xxhash64("rec_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    texts = docs.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS))
-    # the picked labels are about ``sample`` rows, so their broadcast is bounded
-    rows = texts.join(F.broadcast(picked.limit(2 * sample)), "rec_id").select("text", "y").limit(2 * sample).collect()
-    return train([(x.text, x.y, 1 / max(share[x.y], 1e-9)) for x in rows])
+    lot = F.pmod(F.xxhash64("rec_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    picked = rated.where(lot < F.when(F.col("y") > 0, share[1.0]).otherwise(share[0.0]))
+    # the picked labels are about ``sample`` rows; should they be far more, the least hashes stay, so a run can be repeated
+    picked = picked.orderBy(F.xxhash64("rec_id"), "rec_id").limit(2 * sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS))
+    known = texts.join(F.broadcast(picked), "rec_id")
+    room = sample - sum(int(n.get(k, 0) * v) for k, v in share.items())
+    if room > 0:
+        more = texts.where(lot < min(1.0, room / max(1, docs.count()))).join(F.broadcast(picked.select("rec_id")), "rec_id", "left_anti")
+        known = known.unionByName(more.withColumn("y", F.lit(None).cast("double")))
+    # a repeated id counts once, so the sample is as bounded as said
+    rows = known.groupBy("rec_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("rec_id").limit(3 * sample).select("text", "y").collect()
+    return train([(x.text, x.y, 1.0 if x.y is None else 1 / max(share[x.y], 1e-9)) for x in rows])
 
 
 def score_documents(docs: DataFrame, id_col: str, text_col: str, model: AbuseModel, keep: list[str] | None = None) -> DataFrame:
     """``<id_col>, <keep>, score, worst``: calibrated score of every document and its worst sentence.
 
-    Null, empty and blank texts have score 0 and no sentence. Repeated rows are scored again; other columns aren't read.
+    Null, empty and blank texts have score 0 and no sentence, texts without words the rate of such documents and no sentence. Repeated rows are scored again; other columns aren't read.
     """
     keep = keep or []
     state = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample it was fitted on

@@ -9,77 +9,82 @@ import numpy as np
 BINS = 32
 
 
+def cuts_of(x: np.ndarray) -> list[np.ndarray]:
+    """Bounds between the bins of each feature, by quantiles."""
+    return [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for c in x.T]
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers, a row a feature."""
+    out = np.zeros((x.shape[1], len(x)), np.uint8)
+    for k, c in enumerate(cuts):
+        if len(c):
+            out[k] = np.searchsorted(c, x[:, k], "right")
+    return out
+
+
 class Booster:
     """Histogram trees of fixed depth on the logistic loss, with Newton leaves.
 
+    All nodes of a level share one test, so a tree is a table that a few comparisons look up, which makes scoring cheap.
     ``prior`` gives log-odds to start from, which the trees correct as far as the data carry; without it they start from
-    the rate of the labels.
+    the rate of the labels. Rows may count several times.
     """
 
     def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: int = 12, ridge: float = 2.0, prior: Callable[[np.ndarray], np.ndarray] | None = None):
         self.rounds, self.depth, self.rate, self.least, self.ridge, self.prior = rounds, depth, rate, least, ridge, prior
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Booster":
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for c in x.T]
-        bins = self._bin(x)
-        p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    def fit(self, x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, cuts: list[np.ndarray] | None = None) -> "Booster":
+        self.cuts = cuts_of(x) if cuts is None else cuts
+        bins = binned(x, self.cuts)
+        counts = np.ones(len(y)) if counts is None else counts
+        p = np.clip(np.average(y, weights=counts) if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(p / (1 - p))), []
-        score = self._start(x)
+        score = self.start(x)
         for _ in range(self.rounds if len(y) else 0):
             prob = 1 / (1 + np.exp(-score))
-            tree = self._grow(bins, y - prob, prob * (1 - prob))
+            tree = self._grow(bins, counts * (y - prob), counts * prob * (1 - prob))
             self.trees.append(tree)
-            score += self._apply(tree, bins)
+            score += looked_up(tree, bins)
         return self
 
-    def _start(self, x: np.ndarray) -> np.ndarray:
+    def start(self, x: np.ndarray) -> np.ndarray:
         return self.prior(x) if self.prior else np.full(len(x), self.base)
 
-    def _bin(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, v, "right") for c, v in zip(self.cuts, x.T)], 1).astype(np.int64)
-
-    def _grow(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features and cuts of the inner nodes in heap order (feature -1: all go left), and the leaf values."""
-        inner = (1 << self.depth) - 1
-        feature, cut = np.full(inner, -1), np.zeros(inner, int)
-        node, first, width = np.zeros(len(g), int), 0, bins.shape[1]
+    def _grow(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The tests (feature, greatest bin that fails) of the levels, and the values of the leaves by the bits of their outcomes."""
+        node, tests, width = np.zeros(bins.shape[1], np.int64), [], len(bins)
         for level in range(self.depth):
             n = 1 << level
-            local = node - first
-            key = (local[:, None] * width + np.arange(width)) * BINS + bins
-            shape = (n, width, BINS)
-            size = n * width * BINS
-            cg = np.bincount(key.ravel(), np.repeat(g, width), size).reshape(shape).cumsum(2)
-            ch = np.bincount(key.ravel(), np.repeat(h, width), size).reshape(shape).cumsum(2)
-            cn = np.bincount(key.ravel(), minlength=size).reshape(shape).cumsum(2)
-            tg, th, tn = cg[:, :, -1:], ch[:, :, -1:], cn[:, :, -1:]
-            gain = cg**2 / (ch + self.ridge) + (tg - cg) ** 2 / (th - ch + self.ridge) - tg**2 / (th + self.ridge)
-            gain[(cn < self.least) | (tn - cn < self.least)] = -1
-            best = gain.reshape(n, -1).argmax(1)
-            for k in range(n):
-                if gain[k].ravel()[best[k]] > 1e-6:
-                    feature[first + k], cut[first + k] = divmod(int(best[k]), BINS)
-            f = feature[node]
-            right = (f >= 0) & (bins[np.arange(len(g)), np.maximum(f, 0)] > cut[node])
-            node = 2 * node + 1 + right
-            first += n
-        leaf = node - inner
-        n = 1 << self.depth
-        value = np.bincount(leaf, g, n) / (np.bincount(leaf, h, n) + self.ridge) * self.rate
-        return feature, cut, value
-
-    def _apply(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray], bins: np.ndarray) -> np.ndarray:
-        feature, cut, value = tree
-        node, rows = np.zeros(len(bins), int), np.arange(len(bins))
-        for _ in range(self.depth):
-            f = feature[node]
-            node = 2 * node + 1 + ((f >= 0) & (bins[rows, np.maximum(f, 0)] > cut[node]))
-        return value[node - len(feature)]
+            best, test = 1e-6, None
+            for f in range(width):
+                key = node * BINS + bins[f]
+                cg, ch, cn = (np.bincount(key, v, n * BINS).reshape(n, BINS).cumsum(1) for v in (g, h, None))
+                tg, th, tn = cg[:, -1:], ch[:, -1:], cn[:, -1:]
+                gain = cg**2 / (ch + self.ridge) + (tg - cg) ** 2 / (th - ch + self.ridge) - tg**2 / (th + self.ridge)
+                total = np.where(np.minimum(cn, tn - cn) < self.least, 0, gain).sum(0)
+                if total.max() > best:
+                    best, test = total.max(), (f, int(total.argmax()))
+            if test is None:
+                break
+            tests.append(test)
+            node = 2 * node + (bins[test[0]] > test[1])
+        n = 1 << len(tests)
+        return tests, np.bincount(node, g, n) / (np.bincount(node, h, n) + self.ridge) * self.rate
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of the positive label."""
-        bins = self._bin(x)
-        return self._start(x) + sum((self._apply(t, bins) for t in self.trees), np.zeros(len(x)))
+        bins = binned(x, self.cuts)
+        return self.start(x) + sum((looked_up(t, bins) for t in self.trees), np.zeros(len(x)))
+
+
+def looked_up(tree: tuple[list[tuple[int, int]], np.ndarray], bins: np.ndarray) -> np.ndarray:
+    tests, values = tree
+    leaf = np.zeros(bins.shape[1], np.uint8)
+    for f, cut in tests:
+        leaf <<= 1
+        leaf |= bins[f] > cut
+    return values[leaf]
 
 
 class Ensemble:
@@ -87,15 +92,32 @@ class Ensemble:
 
     def __init__(self, n: int = 5, part: float = 0.7, seed: int = 1, **how):
         self.n, self.part, self.seed, self.how = n, part, seed, how
+        self.parts: list[Ensemble] = []
+
+    @classmethod
+    def of(cls, parts: list["Ensemble"]) -> "Ensemble":
+        """The mean of ensembles, each with bins of its own."""
+        out = cls(len(parts))
+        out.parts = parts
+        return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Ensemble":
+    def fit(self, x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> "Ensemble":
         rng = np.random.default_rng(self.seed)
+        counts = np.ones(len(y)) if counts is None else counts
         takes = [rng.random(len(y)) < self.part for _ in range(self.n)]
-        self.members = [Booster(**self.how).fit(x[t], y[t]) for t in takes]
+        self.cuts = cuts_of(x)
+        self.members = [Booster(**self.how).fit(x[t], y[t], counts[t], self.cuts) for t in takes]
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([m.score(x) for m in self.members], axis=0)
+        if self.parts:
+            return sum(p.score(x) for p in self.parts) / len(self.parts)
+        bins = binned(x, self.cuts)
+        total = sum(m.start(x) for m in self.members)
+        for m in self.members:
+            for tree in m.trees:
+                total += looked_up(tree, bins)
+        return total / self.n
 
 
 class Isotonic:
