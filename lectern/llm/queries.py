@@ -82,6 +82,10 @@ def p4_cover(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_cover(table(spark, sf, "documents")).withColumn("spans", F.to_json("spans"))
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_classes(table(spark, sf, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf, "documents"))
 
@@ -113,7 +117,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
+    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p4_classes, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
 }
 
 _TERMS = r"""

@@ -72,3 +72,74 @@ def test_empty(spark):
     assert spans.shared_pairs(rows).count() == 0 and spans.shared_cover(rows).count() == 0
     with pytest.raises(ValueError):
         spans.shared_pairs(rows, length=50)
+
+
+def test_classes_and_large_groups(spark, monkeypatch):
+    """Groups beyond ``GROUP`` are paired in blocks; the short form counts classes, not copies."""
+    monkeypatch.setattr(spans, "GROUP", 4)
+    r = random.Random(5)
+    body = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    span, other = body(220), body(400)
+    values = [body(30) + span + body(40) for _ in range(13)] + [other] * 11 + [other + "tail"] + [body(300), "", None, "short"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(values)], "doc_id long, text string").repartition(4)
+    want, _ = brute(values, 200)
+    assert {tuple(x) for x in spans.shared_pairs(rows).collect()} == want
+    got = {x.doc_id: (x.class_id, x.copies, x.links) for x in spans.shared_classes(rows).collect()}
+    assert [got[k] for k in range(13)] == [(k, 1, 12) for k in range(13)]
+    assert [got[k] for k in range(13, 24)] == [(13, 11, 1)] * 11 and got[24] == (24, 1, 1)
+    assert [got[k] for k in range(25, 29)] == [(k, 1, 0) for k in range(25, 29)]
+
+
+def test_equal_hashes_of_different_texts_make_no_pair(spark, monkeypatch):
+    """Characters decide: windows are made to have equal hashes, which only nominates."""
+    r = random.Random(9)
+    body = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    a, b = body(260), body(260)
+    anchor = body(150)
+    rows = spark.createDataFrame([(1, a[:60] + anchor + a[60:]), (2, b[:60] + anchor + b[60:]), (3, a)], "doc_id long, text string")
+
+    class Blunt(spans.Hasher):
+        def windows(self, sums, at, width):
+            h = super().windows(sums, at, width)
+            import numpy as np
+
+            return np.full(len(h), 77, np.uint64) if width == 200 else h
+
+    monkeypatch.setattr(spans, "Hasher", Blunt)
+    assert spans.shared_pairs(rows).count() == 0
+
+
+def test_memory_of_a_bucket_is_flat(monkeypatch):
+    """However many hashes a bucket has, one blob and one turn are unpacked at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    once = 1 << 16
+
+    def blobs(n):
+        return [spans.pack(r.integers(0, 1 << 63, once // 8, np.uint64), np.sort(r.integers(0, 1 << 40, once // 8)), np.zeros(once // 8, np.int64), 8) for _ in range(n)]
+
+    def peak(n):
+        data = blobs(n)
+        tracemalloc.start()
+        for _ in spans.shared_groups(data, once):
+            pass
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    assert peak(128) < 1.3 * peak(16)
+
+
+def test_a_hot_anchor_sends_one_entry_a_turn(spark, monkeypatch):
+    r = random.Random(11)
+    text = "".join(r.choices("abcdefgh ", k=2000))
+    rows = spark.createDataFrame([(k, text) for k in range(400)], "rec_id long, text string").coalesce(1)
+    sent = spans.anchors(rows, 200, 8)
+    import struct
+
+    n = sum(struct.unpack_from("<I", x.blob)[0] for x in sent.where("blob is not null").collect())
+    assert n <= 4 * 210  # the anchors of one text for each of the four tasks
+    assert sent.where("places is not null").select("rec_id").distinct().count() == 400
