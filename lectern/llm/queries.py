@@ -35,14 +35,14 @@ def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
 def p1_bibles(spark: SparkSession, sf: str) -> DataFrame:
     model, tables = _language_model(spark, sf)
     found = language.detect_groups(table(spark, sf, "verses"), "module", "text", model)
-    return tables["bibles"].join(found, F.col("module") == F.col("grp")).select(F.col("rec_id").alias("id"), "module", "code", "lang", "confidence")
+    return tables["bibles"].join(found, F.col("module") == F.col("grp"), "left").select(F.col("rec_id").alias("id"), "module", "code", "lang", "confidence")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     model, tables = _language_model(spark, sf)
     docs = language.detect(tables["documents"], "rec_id", "text", model, keep=["code"])
     found = language.detect_groups(table(spark, sf, "verses"), "module", "text", model)
-    editions = tables["bibles"].join(found, F.col("module") == F.col("grp")).withColumn("seg_no", F.lit(0))
+    editions = tables["bibles"].join(found, F.col("module") == F.col("grp"), "left").withColumn("seg_no", F.lit(0))
     columns = ["tbl", F.col("rec_id").cast("long").alias("rec_id"), "seg_no", "lang"]
     both = docs.withColumn("tbl", F.lit("documents")).select(*columns, "code").unionByName(editions.withColumn("tbl", F.lit("bibles")).select(*columns, "code"))
     # without a valid label, with a wrong one, or mixed
