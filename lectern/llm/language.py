@@ -45,7 +45,8 @@ SHARED = 0.1  # weight left to a feature that two languages have equally
 RARE = 30  # a label this much rarer than the most frequent one doesn't decide which features are shared, and is learned from less
 CHANGE = 5.0  # price of a change of language between sentences, in units of a usual word's evidence
 INNER_CHANGE = 6.0  # price of a change within a sentence
-INNER_WORDS = 4  # words that a stretch within a sentence has at least
+INNER_WORDS = 5  # words that a stretch within a sentence has at least
+WORD_EVIDENCE = 2.0  # most that one word can speak for or against a change within a sentence, as a foreign name may stand there
 LENGTHS = (3, 6, 12, 25, 50, 100, 200)  # words of the texts that the bounds of rejection are found by
 DRAWS = 100  # such texts of each language and length
 FAR = 0.01  # part of them that may lie beyond the bound
@@ -471,7 +472,7 @@ def _inner(own: Model, ids: np.ndarray, starts: np.ndarray, nearest: np.ndarray)
         row = np.repeat(np.arange(len(part)), n)
         place = np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
         gain = means[ids[place]]
-        gain = gain - gain[np.arange(len(gain)), nearest[part][row]][:, None]
+        gain = np.clip(gain - gain[np.arange(len(gain)), nearest[part][row]][:, None], -WORD_EVIDENCE, WORD_EVIDENCE)
         # the greatest sum of a run, by sums from the start less the least of those before; a fall between sentences parts them
         total = np.cumsum(gain, 0, np.float64) - 1e4 * row[:, None]
         least = np.minimum.accumulate(np.concatenate([np.zeros((1, total.shape[1])), total[:-1] - 1e4 * (np.diff(row) > 0)[:, None]]) if len(total) else total, 0)
@@ -488,7 +489,7 @@ def _cuts(own: Model, ids: np.ndarray, starts: np.ndarray, dots: np.ndarray, inn
     for k in np.flatnonzero(inner[a:b]):
         s, e = starts[a + k], starts[a + k + 1] if a + k + 1 < len(starts) else len(ids)
         words = own.rows[ids[s : min(e, hi)]].reshape(-1, len(own.languages), CENTROIDS).mean(2) / own.unit
-        inside = own.stretches(words - words.mean(1, keepdims=True), INNER_CHANGE)
+        inside = own.stretches(np.clip(words - words[:, path[k]][:, None], -WORD_EVIDENCE, WORD_EVIDENCE), INNER_CHANGE)
         turns = np.flatnonzero(np.diff(inside, prepend=-1))
         if len(turns) > 1 and np.diff(np.append(turns, len(inside))).min() >= INNER_WORDS:
             found = [x for x in found if x[0] != s] + [(int(s + t), int(inside[t])) for t in turns]

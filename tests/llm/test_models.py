@@ -74,7 +74,7 @@ def test_abuse_on_held_out_documents(spark):
     scored = abuse.score_documents(tables("documents"), "doc_id", "text", model, keep=["source"])
     rows = scored.join(held.where("lo = hi"), "doc_id").collect()
     flagged = [r for r in rows if r.score >= abuse.THRESHOLD]
-    assert len(flagged) > 15 and np.mean([r.hi for r in flagged]) > 0.6
+    assert len(flagged) > 15 and np.mean([r.hi for r in flagged]) > 0.8
     assert np.mean([r.score >= abuse.THRESHOLD for r in rows if r.hi == 1]) > 0.3  # about half of the marks of single raters are wrong
     assert np.mean([r.score >= abuse.THRESHOLD for r in rows if r.hi == 0]) < 0.05
     rates = abuse.source_rates(scored).collect()
@@ -127,3 +127,108 @@ def test_sentence_bounds_reach_training(tables, monkeypatch):
     assert seen == {"most": language.SENTENCES, "rare": language.RARE_SENTENCES}
     language.train_on(docs, "doc_id", "text", language.label_code(F.col("lang"), tables("languages")), most=7, rare=3)
     assert seen == {"most": 7, "rare": 3}
+
+
+#: One sentence each of languages that no label names, and of those that are known; none of it is from the tables.
+UNSEEN = {
+    "fi": "Hän meni eilen kauppaan ja osti leipää, maitoa ja juustoa perheelleen, koska kaikki olivat nälkäisiä.",
+    "pl": "Wczoraj poszedł do sklepu i kupił chleb, mleko oraz ser dla swojej rodziny, ponieważ wszyscy byli głodni.",
+    "ja": "昨日 彼は 店に 行って 家族の ために パンと 牛乳と チーズを 買いました",
+    "hu": "Tegnap elment a boltba, és kenyeret, tejet meg sajtot vett a családjának, mert mindenki éhes volt.",
+    "cs": "Včera šel do obchodu a koupil chléb, mléko a sýr pro svou rodinu, protože všichni měli hlad.",
+    "ar": "ذهب أمس إلى المتجر واشترى الخبز والحليب والجبن لعائلته لأن الجميع كانوا جائعين",
+}
+KNOWN = {
+    "en": "Yesterday he went to the store and bought bread, milk and cheese for his family because everyone was hungry.",
+    "de": "Gestern ging der alte Mann in den Laden und kaufte Brot und Milch für seine Familie.",
+    "sv": "Han gick igår till affären och köpte bröd och mjölk till sin familj för att alla var hungriga.",
+    "nl": "Gisteren ging hij naar de winkel en kocht brood, melk en kaas voor zijn gezin.",
+    "ru": "Вчера он пошёл в магазин и купил хлеб, молоко и сыр для своей семьи.",
+    "el": "Χθες πήγε στο μαγαζί και αγόρασε ψωμί, γάλα και τυρί για την οικογένειά του.",
+}
+
+
+def test_unseen_languages_are_rejected(spark, tongues):
+    rows = spark.createDataFrame([*UNSEEN.items(), *KNOWN.items()], "name string, text string").withColumn("id", F.monotonically_increasing_id())
+    got = {r.name: r.lang for r in language.detect(rows, "id", "text", tongues, keep=["name"]).collect()}
+    assert {k: got[k] for k in UNSEEN} == dict.fromkeys(UNSEEN)
+    assert {k: got[k] for k in KNOWN} == {k: k for k in KNOWN}
+
+
+def test_changes_within_a_sentence_and_offsets(spark, tongues):
+    a, b = "The king went down to the river with all his people and ", "dann gingen sie alle zusammen in das große Haus der alten Stadt."
+    disguised = a.replace("people", "peo​p‍le­") + b
+    rows = [(1, a + b), (2, disguised), (3, a[:-5] + ". " + b), (4, a + "Недара said so.")]
+    got = {}
+    for r in language.detect(spark.createDataFrame(rows, "id long, text string"), "id", "text", tongues).orderBy("id", "seg_no").collect():
+        got.setdefault(r.id, []).append((r.seg_no, r.lang, r.start, r.end))
+    for k, text in rows[:3]:
+        cut = text.index("dann")
+        (_, first, begin, end), (_, second, start, last) = got[k]
+        assert (first, second, begin, end, last) == ("en", "de", 0, start, len(text)), k
+        assert abs(start - cut) <= 14 and text[start - 1] == " " and text[start].isalpha()
+    assert got[4] == [(0, "en", 0, len(rows[3][1]))]
+
+
+def test_vector_lengths_are_exact(tongues):
+    words = ["king", "river", "king", "the", "law"]
+    ids, sentence, _ = tongues.words([" ".join(words)])
+    counts = np.zeros(language.FEATURES)
+    for w in words:
+        np.add.at(counts, language.ngram_features([w])[0], 1)
+    assert tongues.lengths(ids, np.array([0]))[0] == pytest.approx(np.linalg.norm(counts * tongues.idf), rel=1e-5)
+
+
+def test_editions_without_words_get_a_row(spark, tables, tmp_path, monkeypatch):
+    from lectern.llm import queries
+
+    made = {"verses": spark.createDataFrame([("a", "12:3"), ("b", None)], "module string, text string"), "bibles": spark.createDataFrame([(1, "a", "en"), (2, "b", None), (3, "c", "de")], "id int, module string, lang_short string")}
+    for name in ("documents", "languages"):
+        made[name] = tables(name)
+    monkeypatch.setattr(queries, "table", lambda spark, sf, name: made[name])
+    assert sorted((r.id, r.lang) for r in queries.p1_bibles(spark, "").collect()) == [(1, None), (2, None), (3, None)]
+    assert queries.p1_found(spark, "").where("tbl = 'bibles'").count() == 0
+
+
+def test_planted_words_outside_any_list_are_learned():
+    """Insults of invented words: the lexicon learns them from ratings, some of which are wrong, and finds them in other sentences."""
+    import random
+
+    dice = random.Random(4)
+    plain = ["river", "stone", "king", "letter", "bread", "lamp", "garden", "song", "gate", "cup"]
+    bad = ["zorfel", "grunkit", "vlabbo", "pestrok"]
+    assert not set(bad) & (abuse.INSULTS | abuse.CONTEMPT | abuse.EXPLICIT)
+
+    def text(mean):
+        parts = [" ".join(dice.choices(plain, k=8)) + "." for _ in range(5)]
+        if mean:
+            parts[dice.randrange(5)] = f"You are a {dice.choice(bad)} and a {dice.choice(bad)}, {dice.choice(plain)}!"
+        return " ".join(parts)
+
+    rows = [(text(k % 12 == 0), float((k % 12 == 0) != (dice.random() < 0.03)), 1.0) for k in range(1800)]
+    model = abuse.train(rows)
+    truth = [k % 7 == 0 for k in range(700)]
+    raw, worst = model.worst([text(t) for t in truth])
+    found = model.rate(raw) >= abuse.THRESHOLD
+    assert np.mean(found[np.array(truth)]) >= 0.9 and np.mean(found[~np.array(truth)]) < 0.02
+    assert all("You are a" in w for w, t in zip(worst, truth) if t)
+    raw, _ = model.worst(["You z0rf3l", "", "12 34", "You gr*nkit!"])
+    assert np.isfinite(raw[0]) and not np.isfinite(raw[1]) and not np.isfinite(raw[2]) and np.isfinite(raw[3])
+
+
+def test_every_sentence_is_scored():
+    rows = [(f"The king of valley {k} gave bread. " + ("You filthy idiot!" if k % 5 == 0 else "He went home."), float(k % 5 == 0), 1.0) for k in range(200)]
+    model = abuse.train(rows)
+    found, own, x = (lambda b: (b.found, *model.lexicon.features(b)))(abuse.Batch(["A calm one. Another, quite calm! 12. Last"]))
+    assert len(own) == 3 and x.shape == (3, abuse.FEATURES) and len(found) == 4
+
+
+def test_features_of_a_batch_are_those_of_its_sentences():
+    rows = [(f"The king {k}. " + ("You idiot, be quiet!" if k % 4 == 0 else "He went home with the 1d10t."), float(k % 4 == 0), 1.0) for k in range(160)]
+    lexicon = abuse.train(rows).lexicon
+    texts = ["You i.d.i.o.t went. Fine words\nARE here!?", "", "x", "Ещё раз сторож. İstanbul ǅ word", "áb 3.5 c.d e"]
+    together = abuse.Batch(texts)
+    own, x = lexicon.features(together)
+    for k, row in zip(own, x):
+        alone = abuse.Batch([together.found.string(texts, k)])
+        assert lexicon.features(alone)[1][0] == pytest.approx(row)
