@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_arrow, spread
-from .unify import FOREIGN, LATIN, UNSTABLE, surveys, unifier
+from .unify import FOREIGN, LATIN, RARE, UNSTABLE, surveys, unifier
 
 SAMPLE = 250  # labelled documents a language that the classifier is trained on
 SENTENCES = 350  # of those documents, that the model of a language is fitted on
@@ -55,7 +55,7 @@ CLEAR = 0.8  # confidence from which a text beyond the bound still is its langua
 MOST_LANGUAGES = 20_000  # rows of the table of languages
 CACHE = 300_000  # words remembered by a worker
 TOKEN = regex.compile(r"[\p{L}\p{M}]+|[.!?\n]")
-MIXED_SCRIPT = re.compile("[A-Za-zÀ-ɏ][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-zÀ-ɏ]")
+MIXED_SCRIPT = re.compile(f"[A-Za-zÀ-ɏ][Ͱ-ԯ{RARE}]|[Ͱ-ԯ{RARE}][A-Za-zÀ-ɏ]")
 
 
 def readable(text: str) -> str:

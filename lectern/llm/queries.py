@@ -58,12 +58,20 @@ def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(table(spark, sf, "verses"))
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return unify.same_looking({
+def _compared(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {
         "verses.text": (table(spark, sf, "verses"), "row_id", "text"),
         "documents.text": (table(spark, sf, "documents"), "doc_id", "text"),
         "bibles.name": (table(spark, sf, "bibles"), "id", "name"),
-    })
+    }
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return unify.same_looking(_compared(spark, sf))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return unify.looking_alike(_compared(spark, sf))
 
 
 def p3_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +125,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_names, p3_documents, p4_found, p4_cover, p4_classes, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
+    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_classes, p3_names, p3_documents, p4_found, p4_cover, p4_classes, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
 }
 
 _TERMS = r"""

@@ -28,15 +28,23 @@ from pyspark.sql import functions as F
 
 from .arrow import durable, keyed_text, map_arrow, spread
 
-# Letters that are drawn like a Latin one.
-CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅҮ", "aeopcyxijsdhqwABEKMHOPCTXIJSY"))
-GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovcjABEZHIKMNOPTYX"))
+# Letters that are drawn like a Latin one of their case, from the confusable characters of Unicode (UTS #39,
+# confusables.txt; the tests ask ICU's spoof checker). Letters that are only similar there (α, ρ, г, ҽ, զ) are left out.
+CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝѵАВЕКМНОРСТХІЈЅҮѴԜԌ", "aeopcyxijsdhqwvABEKMHOPCTXIJSYVWG"))
+GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹϺϜ", "ovcjABEZHIKMNOPTYXJCMF"))
+ARMENIAN = dict(zip("հոսօՍՏՕ", "hnuoUSO"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏃᏙᏚᏞᏟᏢᏦᏳᏴ", "DRTAJEWMHZVSLCPKGB"))
+COPTIC = dict(zip("ⲟⲣⲥⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "opcHIKMNOPCTYX"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+PHONETIC = dict(zip("ɡᴄᴏᴠᴡᴢ", "gcovwz"))
+RARE = "".join([*ARMENIAN, *CHEROKEE, *COPTIC, *LISU, *PHONETIC])
+ALIKE = {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "COPTIC": COPTIC, "LISU": LISU}
 # Code points that print nothing, and blanks of other width than U+0020.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080)]
 BLANKS = [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 # What compatibility mapping may replace without a visible change (ligatures, digraphs, numerals, widths).
 SAME_GLYPH = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFF01, 0xFFEE)]
-OTHER = {0x2010: "-", 0x2011: "-", 0x2BC: "’"}
+OTHER = {0x2010: "-", 0x2011: "-", 0x2BC: "’", 0xB5: "μ"}
 JOINED = re.compile("[؀-෿ក-᢯☀-➿️\U0001f000-\U0001faff]")
 
 
@@ -74,14 +82,15 @@ class Unifier:
         either = _char_class(unstable)
         self.unstable = re.compile(f"[{either}]")
         self.segment = re.compile(f"[^{either}]?[{either}]+", re.DOTALL)
-        self.foreign = re.compile("[Ͱ-ԯἀ-῿]")
-        letters = {ord(a): b for m in (CYRILLIC, GREEK) for a, b in m.items()}
+        self.foreign = re.compile(f"[Ͱ-ԯἀ-῿{RARE}]")
+        self.other = re.compile("[Ͱ-֏Ꭰ-ᏽἀ-῿Ⲁ-⳿ꓐ-꓿]")
+        letters = {ord(a): b for m in (*ALIKE.values(), PHONETIC) for a, b in m.items()}
         self.table = np.arange(0x110000, dtype=np.uint32)
-        for c in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        for c in [*range(0x370, 0x530), *range(0x1F00, 0x2000), *letters]:
             to = unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(c)).translate(letters))
             if len(to) == 1:
                 self.table[c] = ord(to)
-        self.back = {script: {ord(b): a for a, b in m.items()} for script, m in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK))}
+        self.back = {script: {ord(b): a for a, b in reversed(m.items())} for script, m in ALIKE.items()}
 
     def _invisible(self, text: str, at: int, lo: int, hi: int) -> bool:
         """A joiner or selector shapes the glyph if it stands between (or after) characters that join."""
@@ -130,7 +139,7 @@ class Unifier:
     def form(self, text: str) -> str:
         """The form for output: the skeleton, each word in the script of its unmistakable letters."""
         bones = self.skeleton(text)
-        if bones.isascii() or not self.foreign.search(bones):
+        if bones.isascii() or not self.other.search(bones):
             return bones
         last = "LATIN"
 
@@ -139,7 +148,11 @@ class Unifier:
             own = m.group()
             scripts = {s for s in map(script, own) if s}
             if scripts:
-                last = "LATIN" if "LATIN" in scripts or len(scripts) > 1 else scripts.pop()
+                others = scripts - {"LATIN"}
+                one = others.pop() if len(others) == 1 else "LATIN"
+                # Latin letters that the other script draws alike are no sign of Latin
+                plain = one in self.back and all(ord(c) in self.back[one] for c in unicodedata.normalize("NFD", own) if script(c) == "LATIN")
+                last = one if plain or "LATIN" not in scripts else "LATIN"
             if last not in self.back:
                 return own
             return unicodedata.normalize("NFC", unicodedata.normalize("NFD", own).translate(self.back[last]))
@@ -161,6 +174,7 @@ def kinds() -> np.ndarray:
         elif x.isdigit():
             out[c] |= DIGIT
     out[0x370:0x530] |= FOREIGN
+    out[[ord(c) for c in RARE]] |= FOREIGN
     out[[ord(c) for c in "*@$!"]] |= SIGN
     out[[ord(c) for c in "-. "]] |= GAP
     own = unifier()
@@ -203,8 +217,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def comparison_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rec_id, raw, look, check``: hashes of each non-blank value as stored and of its skeleton.
+def comparison_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``rec_id, raw, look, check``: hashes of each non-blank value as stored and of its skeleton; of ASCII values, and of the others.
 
     ASCII values are their own skeleton, so the JVM hashes them; only the others visit Python.
     """
@@ -229,7 +243,24 @@ def comparison_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 check.append(zlib.crc32(data))
             yield {"rec_id": pc.take(batch.column(0), pa.array(keep, pa.int32())), "raw": raw, "look": look, "check": check}
 
-    return ascii_rows.unionByName(map_arrow(spread(rows.where(~plain)), run, "rec_id long, raw long, look long, check long"))
+    return ascii_rows, map_arrow(spread(rows.where(~plain)), run, "rec_id long, raw long, look long, check long")
+
+
+PARTS = 64  # a spelling's records are joined in so many parts
+
+
+def _spelled(fields: dict[str, tuple[DataFrame, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Keys of all values (``field, rec_id, raw, look, check``), and the looks that are spelled in several ways.
+
+    Only the keys that come from Python are kept; those of ASCII values cost the JVM little and are worked out again.
+    """
+    keys = None
+    for name, (df, id_col, text_col) in fields.items():
+        plain, others = comparison_keys(df, id_col, text_col)
+        part = plain.unionByName(durable(others)).select(F.lit(name).alias("field"), "*")
+        keys = part if keys is None else keys.unionByName(part)
+    looks = keys.groupBy("field", "look", "check").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most")
+    return keys, looks.select("field", "look", "check")
 
 
 def same_looking(fields: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -238,18 +269,27 @@ def same_looking(fields: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     ``fields`` maps a name to (table, id column, text column). Null, empty and blank values are in no pair; equal
     strings are no pair; repeated ids give a pair once. Skeletons with a single spelling are dropped by a two-value
     aggregate before anything is joined; spellings are then paired first and rows joined to spelling pairs, so rows of
-    one spelling, however many, never meet one another.
+    one spelling, however many, never meet one another. A spelling's rows are joined in ``PARTS`` parts by a hash of their
+    ids, so a popular value is spread over tasks. ``looking_alike`` gives the short form.
     """
-    keys = None
-    for name, (df, id_col, text_col) in fields.items():
-        part = comparison_keys(df, id_col, text_col).select(F.lit(name).alias("field"), "*")
-        keys = part if keys is None else keys.unionByName(part)
-    keys = durable(keys)
+    keys, mixed = _spelled(fields)
+    on = ["field", "look", "check"]
+    rows = durable(keys.join(mixed, on, "left_semi").distinct()).withColumn("part", F.pmod(F.xxhash64("rec_id"), F.lit(PARTS)).cast("int"))
+    spellings = rows.select(*on, "raw", "part").distinct()
+    pairs = spellings.join(spellings.withColumnRenamed("raw", "other").withColumnRenamed("part", "other_part"), on).where("raw <> other")
+    left = pairs.join(rows.withColumnRenamed("rec_id", "id_a"), [*on, "raw", "part"])
+    right = rows.select(*on, F.col("raw").alias("other"), F.col("part").alias("other_part"), F.col("rec_id").alias("id_b"))
+    return left.join(right, [*on, "other", "other_part"]).where("id_a < id_b").select("field", "id_a", "id_b").distinct()
+
+
+def looking_alike(fields: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """The short form of ``same_looking``: ``field, rec_id, class_id, spellings, records``, a row a record of a class with several spellings.
+
+    ``class_id`` is the least id of the class; ``spellings`` and ``records`` count the class's different strings and its records.
+    """
+    keys, mixed = _spelled(fields)
     on = ["field", "look", "check"]
-    mixed = keys.groupBy(on).agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select(on)
     rows = durable(keys.join(mixed, on, "left_semi").distinct())
-    spellings = rows.select(*on, "raw").distinct()
-    pairs = spellings.join(spellings.withColumnRenamed("raw", "other"), on).where("raw <> other")
-    left = pairs.join(rows.withColumnRenamed("rec_id", "id_a"), [*on, "raw"])
-    right = rows.select(*on, F.col("raw").alias("other"), F.col("rec_id").alias("id_b"))
-    return left.join(right, [*on, "other"]).where("id_a < id_b").select("field", "id_a", "id_b").distinct()
+    # spellings are counted from their own rows, so no task gathers a class's records
+    size = rows.groupBy(*on, "raw").agg(F.min("rec_id").alias("least"), F.count("*").alias("n")).groupBy(*on).agg(F.min("least").alias("class_id"), F.count("*").alias("spellings"), F.sum("n").alias("records"))
+    return rows.join(size, on).select("field", "rec_id", "class_id", "spellings", "records")
