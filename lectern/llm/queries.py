@@ -106,6 +106,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).shares()
 
 
+def p7_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the largest mixture that meets every weight."""
+    return mixing.Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), exact=True).shares()
+
+
 def _abuse_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = abuse.train_on(docs, table(spark, sf, "labels"), "doc_id", "text")
@@ -125,7 +130,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_classes, p3_names, p3_documents, p4_found, p4_cover, p4_classes, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_sources)
+    f.__name__: f for f in (p1_found, p1_documents, p1_bibles, p2_found, p2_terms, p3_found, p3_classes, p3_names, p3_documents, p4_found, p4_cover, p4_classes, p6_ids, p7_mix, p7_shares, p7_exact, p8_found, p8_scores, p8_sources)
 }
 
 _TERMS = r"""
