@@ -164,31 +164,6 @@ def restore(sentence: str, known: dict[str, float]) -> tuple[list[str], int, int
     return words, undone, hot
 
 
-class Names(dict):
-    """Numbers for strings, given out as they are asked for."""
-
-    def __missing__(self, name: str) -> int:
-        self[name] = n = len(self)
-        return n
-
-    def of(self, names: Iterable[str]) -> np.ndarray:
-        own = set(map(self.__getitem__, names))
-        return np.fromiter(own, np.int32, len(own))
-
-
-def weights(names: Names, rows: list[tuple[np.ndarray, float]]) -> dict[str, float]:
-    """Smoothed log-odds of the label for every word (or pair) of enough documents; rows are distinct numbers and the label."""
-    count = lambda parts: np.bincount(np.concatenate([np.zeros(0, np.int32), *parts]), minlength=len(names))
-    n, bad = count([x for x, _ in rows]), count([x for x, y in rows if y])
-    rate = min(max(sum(y for _, y in rows) / max(1, len(rows)), 1e-3), 1 - 1e-3)
-    odds = np.log((bad + PRIOR * rate) / (n - bad + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))
-    return {w: float(odds[i]) for w, i in names.items() if n[i] >= SUPPORT}
-
-
-def pairs_of(words: list[str]) -> list[str]:
-    return [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"])]
-
-
 def prior(x: np.ndarray) -> np.ndarray:
     """Log-odds by the fixed lists alone, where the trees begin: insults to the reader, contempt, explicit words."""
     insult, coarse, you, restored = x[:, 16] > 0, x[:, 17] > 0, x[:, 9] > 0, x[:, 14] > 0
@@ -262,7 +237,7 @@ class Batch:
             parts = [PLAIN.findall(found.string(texts, k).lower()) for k in range(len(found))]
             words, self.owner = list(chain.from_iterable(parts)), np.repeat(np.arange(len(found)), [len(p) for p in parts])
         numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        self.words, self.at = list(numbers), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        self.words, self.at = list(numbers), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         maybe = np.array([bool(m) and SUSPECT.search(t) is not None for m, t in zip(may_be_obfuscated(texts), texts)], bool)
         self.suspects = {}  # sentences with signs of obfuscation
         for k in np.flatnonzero(maybe[found.text]).tolist() if len(found) else ():
@@ -271,14 +246,13 @@ class Batch:
 
 
 class Lexicon:
-    """Weights of words and of pairs of neighbours, learned from (words, pairs, label) rows."""
+    """Weights of words and of pairs of neighbours (``a b``, with ``^`` and ``$`` for the ends of a sentence)."""
 
-    def __init__(self, words: Names, pairs: Names, rows: list[tuple[np.ndarray, np.ndarray, float]]):
-        known = weights(words, [(w, y) for w, _, y in rows])
+    def __init__(self, words: dict[str, float], pairs: dict[str, float]):
         # a listed word too rare for a weight of its own is a strong sign; one with a weight goes by that
-        listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in known}
-        self.words = {w: v for w, v in known.items() if abs(v) > 0.2} | listed
-        self.pairs = {w: v for w, v in weights(pairs, [(p, y) for _, p, y in rows]).items() if abs(v) > 0.2}
+        listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in words}
+        self.words = {w: v for w, v in words.items() if abs(v) > 0.2} | listed
+        self.pairs = {w: v for w, v in pairs.items() if abs(v) > 0.2}
         self.reset()
 
     def __getstate__(self):
@@ -393,47 +367,94 @@ class AbuseModel:
         return np.where(np.isfinite(raw), self.calibration(np.where(np.isfinite(raw), raw, 0)), self.floor)
 
 
+class Terms:
+    """Which term each place of the sample holds, by document and sentence, and the terms of each document once."""
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, sentence: np.ndarray, n: int):
+        order = np.argsort(doc, kind="stable")
+        self.term, self.sentence, self.n = term[order], sentence[order], n
+        self.at = np.searchsorted(doc[order], np.arange(doc.max(initial=-1) + 2))
+        once = np.unique(doc.astype(np.int64) * n + term)
+        self.once_doc, self.once = once // n, (once % n).astype(np.int32)
+
+    def odds(self, label: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Smoothed log-odds of the label for every term that enough documents have, else 0.
+
+        ``label`` is -1 for documents that don't count. A marked document with a worst sentence counts as two: that sentence,
+        marked, and the others, unmarked.
+        """
+        count = lambda which: np.bincount(self.once[which[self.once_doc]], minlength=self.n)
+        whole = (label == 1) & (worst < 0)
+        bad = count(whole)
+        n = bad + count(label == 0)
+        split = np.flatnonzero((label == 1) & (worst >= 0))
+        for k in split:
+            own = slice(self.at[k], self.at[k + 1])
+            mine = self.sentence[own] == worst[k]
+            for part, marked in ((self.term[own][mine], 1), (self.term[own][~mine], 0)):
+                part = np.unique(part)
+                n[part] += 1
+                bad[part] += marked
+        total, marks = (label >= 0).sum() + len(split), (label == 1).sum()
+        rate = min(max(marks / max(1, total), 1e-3), 1 - 1e-3)
+        odds = np.log((bad + PRIOR * rate) / (n - bad + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))
+        return np.where(n >= SUPPORT, odds, 0.0)
+
+
 class Lessons:
-    """What the lexicon is learned from: by document, rows of words and pairs with a label."""
+    """The sample as the lexicon is learned from it: words and pairs by document, and what each document is taken for.
 
-    def __init__(self, texts: list[str]):
-        self.texts, self.cut = texts, Sentences(texts)
-        self.base = np.searchsorted(self.cut.text, np.arange(len(texts)))
+    ``groups`` are documents whose features are asked for together. ``label`` is -1 for documents that teach nothing,
+    ``worst`` the sentence of a marked document that is marked alone, or -1.
+    """
+
+    def __init__(self, texts: list[str], groups: list[np.ndarray]):
+        self.batches = [[(g[lo : lo + len(part)], Batch(part)) for lo, part in parts_of([texts[k] for k in g])] for g in groups]
+        self.label, self.worst = np.full(len(texts), -1), np.full(len(texts), -1)
+        numbers: dict[str, int] = {"^": 0, "$": 1}
+        number = lambda words: np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
         seeds = dict.fromkeys(INSULTS | CONTEMPT | EXPLICIT, 2.0)
-        self.words, self.pairs, self.clean = Names(), Names(), [[] for _ in texts]
-        for k, doc in enumerate(self.cut.text.tolist()):
-            own = restore(self.cut.string(texts, k), seeds)[0]
-            self.clean[doc].append((k, self.words.of(own), self.pairs.of(pairs_of(own))))
-        self.rows: list[list[tuple[np.ndarray, np.ndarray, float]]] = [[] for _ in texts]
-
-    def whole(self, doc: int, label: float, without: int = -1) -> tuple[np.ndarray, np.ndarray, float]:
-        own = [(w, p) for k, w, p in self.clean[doc] if k != without]
-        return (*(np.unique(np.concatenate([np.zeros(0, np.int32), *x])) for x in (zip(*own) if own else ([], []))), label)
-
-    def learn(self, doc: int, label: float, worst: int = -1) -> None:
-        """A document as it is marked; of a marked one with a known worst sentence, that alone is marked."""
-        if label and worst >= 0:
-            _, words, pairs = self.clean[doc][worst - self.base[doc]]
-            self.rows[doc] = [(words, pairs, 1.0), self.whole(doc, 0.0, worst)]
-        else:
-            self.rows[doc] = [self.whole(doc, label)]
+        word, doc, sentence = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for docs, batch in chain.from_iterable(self.batches):
+            restored = {k: restore(s, seeds)[0] for k, s in batch.suspects.items()}
+            keep = ~np.isin(batch.owner, list(restored))
+            ids = np.concatenate([number(batch.words)[batch.at][keep], number(chain.from_iterable(restored.values()))])
+            owner = np.concatenate([batch.owner[keep], np.repeat(list(restored), [len(v) for v in restored.values()])]).astype(int)
+            order = np.argsort(owner, kind="stable")
+            ids, owner, text = ids[order], owner[order], batch.found.text
+            word.append(ids)
+            doc.append(docs[text[owner]].astype(np.int32))
+            sentence.append((owner - np.searchsorted(text, text[owner])).astype(np.int32))
+        ids, doc, sentence = np.concatenate(word), np.concatenate(doc), np.concatenate(sentence)
+        self.names = list(numbers)
+        self.words = Terms(ids, doc, sentence, len(numbers))
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])])[: len(ids)]
+        last = np.append(new[1:], True)[: len(ids)]
+        left = np.where(new, 0, np.concatenate([[0], ids[:-1]])[: len(ids)])
+        codes = np.concatenate([left.astype(np.int64) << 32 | ids, ids[last].astype(np.int64) << 32 | 1])
+        self.pair_codes, pair = np.unique(codes, return_inverse=True)
+        self.pairs = Terms(pair.astype(np.int32), np.concatenate([doc, doc[last]]), np.concatenate([sentence, sentence[last]]), max(1, len(self.pair_codes)))
 
     def lexicon(self, docs: np.ndarray) -> Lexicon:
-        return Lexicon(self.words, self.pairs, [r for k in docs.tolist() for r in self.rows[k]])
-
-    def batches(self, docs: np.ndarray) -> list[tuple[np.ndarray, Batch]]:
-        return [(docs[lo : lo + len(part)], Batch(part)) for lo, part in parts_of([self.texts[k] for k in docs])]
-
-    def features(self, lexicon: Lexicon, batches: list[tuple[np.ndarray, Batch]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, number (of all sentences) and features of each sentence with words."""
-        owner, number, x = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, FEATURES))]
-        for docs, batch in batches:
+        """What the documents (flags) teach."""
+        label = np.where(docs, self.label, -1)
+        w, p = self.words.odds(label, self.worst), self.pairs.odds(label, self.worst)
+        names, codes = self.names, self.pair_codes
+        return Lexicon(
+            {names[k]: float(w[k]) for k in np.flatnonzero(w).tolist()},
+            {f"{names[codes[k] >> 32]} {names[codes[k] & 0xFFFFFFFF]}": float(p[k]) for k in np.flatnonzero(p[: len(codes)]).tolist()},
+        )
+
+    def features(self, lexicon: Lexicon, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, sentence and features of each sentence with words of a group."""
+        doc, sentence, x = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, FEATURES))]
+        for docs, batch in self.batches[group]:
             own, features = lexicon.features(batch)
             text = batch.found.text
-            owner.append(docs[text[own]])
-            number.append(own - np.searchsorted(text, text[own]) + self.base[docs[text[own]]])
+            doc.append(docs[text[own]])
+            sentence.append(own - np.searchsorted(text, text[own]))
             x.append(features)
-        return np.concatenate(owner), np.concatenate(number), np.concatenate(x)
+        return np.concatenate(doc), np.concatenate(sentence), np.concatenate(x)
 
 
 def worst_of(owner: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -456,22 +477,21 @@ def train(rows: list[tuple[str, float | None, float]], seed: int = 3) -> AbuseMo
     texts = readable_all([r[0] for r in rows])
     rated = np.array([r[1] is not None for r in rows])
     y, weight = np.array([r[1] or 0.0 for r in rows]), np.array([r[2] for r in rows])
-    lessons = Lessons(texts)
     rng = np.random.default_rng(seed)
     fold, third = rng.random(len(texts)) < 0.5, rng.integers(0, 3, len(texts))
-    mine, others = np.flatnonzero(rated), np.flatnonzero(~rated)
-    for k in mine:
-        lessons.learn(k, y[k])
-    halves, loose = [lessons.batches(mine[fold[mine] == side]) for side in (False, True)], lessons.batches(others)
+    lessons = Lessons(texts, [np.flatnonzero(rated & ~fold), np.flatnonzero(rated & fold), np.flatnonzero(~rated)])
+    lessons.label[rated] = y[rated]
+    del texts
 
     def crossed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        both = [lessons.features(lessons.lexicon(np.concatenate([mine[fold[mine] != side], others])), halves[side]) for side in (False, True)]
+        both = [lessons.features(lessons.lexicon((fold != side) | ~rated), int(side)) for side in (False, True)]
         return tuple(np.concatenate(x) for x in zip(*both))
 
-    known: dict[int, float] = {}
+    known: dict[tuple[int, int], float] = {}
     for turn in range(ROUNDS):
         owner, number, x = crossed()
-        score = x[:, 4] + x[:, 5] + x[:, 0] if not known else np.array([known[k] for k in number.tolist()])
+        places = list(zip(owner.tolist(), number.tolist()))
+        score = x[:, 4] + x[:, 5] + x[:, 0] if not known else np.array([known[k] for k in places])
         loud = (x[:, 0] > HOT) | (x[:, 4] > HOT) | (x[:, 13] > 0) | (x[:, 16] > 0) | (x[:, 17] > 0)
         lot = rng.random(len(x)) < 1 / QUIET
         parts: list[Ensemble] = []
@@ -490,26 +510,25 @@ def train(rows: list[tuple[str, float | None, float]], seed: int = 3) -> AbuseMo
         trees = Ensemble.of(parts)
         if turn == ROUNDS - 1:
             break
-        for k in mine[y[mine] > 0]:
-            lessons.rows[k] = []  # marked, but maybe nothing in it tells why
         fitted = trees.score(x)  # what was learned by heart may teach; it never calibrates
-        known = dict(zip(number.tolist(), fitted.tolist()))
+        known = dict(zip(places, fitted.tolist()))
+        lessons.label[rated & (y > 0)] = -1  # marked, but maybe nothing in it tells why
         for i in worst_of(owner, fitted):
             if y[owner[i]] > 0 and fitted[i] > LIKELY:
-                lessons.learn(owner[i], 1.0, number[i])
-        if len(others):
-            doc, which, z = lessons.features(lessons.lexicon(np.concatenate([mine, others])), loose)
+                lessons.label[owner[i]], lessons.worst[owner[i]] = 1, number[i]
+        if not rated.all():
+            doc, which, z = lessons.features(lessons.lexicon(np.ones(len(rated), bool)), 2)
             sure = trees.score(z)
+            lessons.label[~rated] = -1
             for i in worst_of(doc, sure):
-                lessons.rows[doc[i]] = []
                 if sure[i] > SURE or sure[i] < 0:
-                    lessons.learn(doc[i], float(sure[i] > SURE), which[i])
-    best = np.full(len(texts), -np.inf)
+                    lessons.label[doc[i]], lessons.worst[doc[i]] = int(sure[i] > SURE), which[i]
+    best = np.full(len(rated), -np.inf)
     np.maximum.at(best, owner, score)
     some, none = rated & np.isfinite(best), rated & ~np.isfinite(best)
     floor = float(((y * weight)[none].sum() + 0.05) / (weight[none].sum() + 1))
     calibration = Isotonic().fit(best[some], y[some], weight[some]) if y[some].sum() >= 5 else logistic
-    return AbuseModel(lessons.lexicon(np.arange(len(texts))), trees, calibration, floor)
+    return AbuseModel(lessons.lexicon(np.ones(len(rated), bool)), trees, calibration, floor)
 
 
 def _fit(x: np.ndarray, marked: np.ndarray, loud: np.ndarray, members: int) -> Ensemble:
