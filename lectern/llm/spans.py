@@ -345,7 +345,8 @@ class Shared:
         bitmap = places.select(spot.alias("_spot")).groupBy((F.col("_spot") / 64).cast("long").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
         # at most BITMAP rows, however many records there are; a full bitmap lets all texts pass to the join
         maybe = rows.withColumn("_spot", spot).join(F.broadcast(bitmap), (F.col("_spot") / 64).cast("long") == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0)
-        found = maybe.select("rec_id", "text").join(places, "rec_id").withColumn("cls", F.xxhash64(F.md5("text")))
+        # kept, as classes, windows and the final comparison all start from these few texts
+        found = durable(maybe.select("rec_id", "text").join(places, "rec_id").withColumn("cls", F.xxhash64(F.md5("text"))))
         self.members = found.select("cls", "rec_id").distinct()
         self.sizes = self.members.groupBy("cls").agg(F.min("rec_id").alias("rep"), F.count("*").alias("n"))
         self.texts = found.join(self.sizes.select("cls", F.col("rep").alias("rec_id")), ["cls", "rec_id"], "left_semi").dropDuplicates(["cls", "rec_id"])
