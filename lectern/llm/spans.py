@@ -349,7 +349,8 @@ class Shared:
         found = durable(maybe.select("rec_id", "text").join(places, "rec_id").withColumn("cls", F.xxhash64(F.md5("text"))))
         self.members = found.select("cls", "rec_id").distinct()
         self.sizes = self.members.groupBy("cls").agg(F.min("rec_id").alias("rep"), F.count("*").alias("n"))
-        self.texts = found.join(self.sizes.select("cls", F.col("rep").alias("rec_id")), ["cls", "rec_id"], "left_semi").dropDuplicates(["cls", "rec_id"])
+        # a repeated row of a repeated id may stand here twice, which changes nothing
+        self.texts = found.join(self.sizes.select("cls", "rep"), "cls").where("rec_id = rep").drop("rep")
         self.windows = full_windows(self.texts.select(F.col("cls").alias("rec_id"), "text", "places"), length, self.buckets)
 
     def linked(self) -> DataFrame:
@@ -411,7 +412,7 @@ class Shared:
         # the characters of one window of each side
         asked = pairs.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("cls"), F.col("at.at_a").alias("at")), F.struct(F.col("b").alias("cls"), F.col("at.at_b").alias("at")))))
         cut = asked.join(self.texts.select("cls", "text"), "cls").select("a", "b", F.substring(F.col("text"), (F.col("at") + 1).cast("int"), F.lit(self.length)).alias("cut"))
-        return cut.groupBy("a", "b").agg(F.min("cut").alias("lo"), F.max("cut").alias("hi"), F.count("*").alias("n")).where("n = 2 and lo = hi").select("a", "b")
+        return cut.groupBy("a", "b").agg(F.min("cut").alias("lo"), F.max("cut").alias("hi"), F.count("*").alias("n")).where("n >= 2 and lo = hi").select("a", "b")
 
     def copies(self) -> DataFrame:
         """``doc_a, doc_b``: pairs of records of equal texts. Members are cut into blocks by their class's size, so no task pairs more than blocks."""
