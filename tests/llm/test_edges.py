@@ -17,6 +17,9 @@ def test_nothing_crashes(spark, odd):
     assert {r.term: (r.occurrences, r.records) for r in terms.term_counts(odd).collect()} == {"text": (120, 2)}
     assert unify.unify(odd, "doc_id", "text").count() == 6
     assert unify.same_looking({"f": (odd, "doc_id", "text")}).count() == 0
+    assert unify.looking_alike({"f": (odd, "doc_id", "text"), "g": (odd.limit(0), "doc_id", "text")}).count() == 0
+    assert sorted(tuple(r) for r in spans.shared_classes(odd).collect()) == [(k, k, 1, 0) for k in (1, 2, 3, 4)]
+    assert spans.shared_classes(odd.limit(0)).count() == 0
     assert spans.shared_pairs(odd).count() == 0  # the other copy has no id
     assert {r.doc_id: r.n_chars for r in spans.shared_cover(odd).collect()} == {1: 300, 2: 0, 3: 0, 4: 3}
     assert tokens.encode_texts(odd).count() == 6
@@ -36,6 +39,6 @@ def test_models_on_odd_rows(spark, odd, sf):
     assert scored.count() == 6 and abuse.source_rates(scored).count() == 2
 
 
-@pytest.mark.parametrize("name", ["p1_documents", "p1_bibles", "p3_names", "p4_cover", "p7_shares", "p8_sources"])
+@pytest.mark.parametrize("name", ["p1_documents", "p1_bibles", "p3_names", "p3_classes", "p4_cover", "p4_classes", "p7_shares", "p7_exact", "p8_sources"])
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf if name[:2] != "p1" and name[:2] != "p8" else "/root/testdata/sf0.01").count() > 0
