@@ -38,6 +38,7 @@ PRIOR = 4  # documents' worth of the base rate that smooths a weight
 HOT = 1.2  # weight from which a word is a strong sign
 QUIET = 8  # one in so many sentences without a strong sign is learned from, and counts for all of them
 ROUNDS = 3  # of learning
+UNRATED = 2  # unrated documents of the sample for each rated one, at most
 LIKELY = -1.0  # log-odds from which the worst sentence of a marked document is taken for the reason
 SURE = 2.0  # log-odds from which an unlabelled document teaches as a marked one
 CACHE = 300_000  # words remembered by a worker
@@ -555,7 +556,8 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     picked = picked.orderBy(F.xxhash64("rec_id"), "rec_id").limit(2 * sample)
     texts = docs.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS))
     known = texts.join(F.broadcast(picked), "rec_id")
-    room = sample - sum(int(n.get(k, 0) * v) for k, v in share.items())
+    taken = sum(int(n.get(k, 0) * v) for k, v in share.items())
+    room = min(sample - taken, UNRATED * taken)
     if room > 0:
         more = texts.where(lot < min(1.0, room / max(1, docs.count()))).join(F.broadcast(picked.select("rec_id")), "rec_id", "left_anti")
         known = known.unionByName(more.withColumn("y", F.lit(None).cast("double")))
