@@ -4,6 +4,9 @@
     python -m lectern ROOT query MODULE[,MODULE] --search TEXT [--type boolean] [--reference REF] [--page N]
     python -m lectern ROOT statistics MODULE[,MODULE] REFERENCE
     python -m lectern ROOT compare MODULE MODULE
+    python -m lectern ROOT compare-all MODULE
+    python -m lectern ROOT enable|disable|install|uninstall MODULE[,MODULE] OUT
+    python -m lectern ROOT refresh ARTIFACTS VERSION
     python -m lectern ROOT import KIND FILE MODULE OUT
     python -m lectern ROOT export KIND MODULE[,MODULE] LANG OUT
 """
@@ -18,10 +21,14 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .engine import Engine, Request
-from .operators.stats import missing_addresses
+from .operators import catalog
+from .operators.stats import missing_addresses, missing_from_default
 from .sources import exports, importers
 
 
+FLAGS = {"enable": {"enabled": 1}, "disable": {"enabled": 0}, "install": {"installed": 1}, "uninstall": {"installed": 0, "enabled": 0}}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lectern", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     top.add_argument("root")
@@ -40,6 +47,14 @@ def parser() -> argparse.ArgumentParser:
     compare = sub.add_parser("compare")
     compare.add_argument("left")
     compare.add_argument("right")
+    sub.add_parser("compare-all").add_argument("default")
+    for name in FLAGS:
+        change = sub.add_parser(name)
+        change.add_argument("modules")
+        change.add_argument("out")
+    refresh = sub.add_parser("refresh")
+    refresh.add_argument("artifacts")
+    refresh.add_argument("version")
     load = sub.add_parser("import")
     for name in ("kind", "file", "module", "out"):
         load.add_argument(name)
@@ -72,6 +87,14 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> None:
         left, right = (corpus.units(spark, a.root, text=False, modules=[m]) for m in (a.left, a.right))
         for sign, x, y in (("-", left, right), ("+", right, left)):
             show(missing_addresses(x, y).select(F.lit(sign).alias("side"), "book", "chapter", "verse").orderBy("book", "chapter", "verse"))
+    elif a.command == "compare-all":
+        show(missing_from_default(engine.table("verses"), a.default).orderBy("module", "book", "chapter", "verse"))
+    elif a.command in FLAGS:
+        # the new catalog stands beside the old one, which is read while it is written
+        catalog.flagged(engine.table("bibles"), a.modules.split(","), **FLAGS[a.command]).write.mode("overwrite").parquet(a.out)
+    elif a.command == "refresh":
+        editions = engine.table("bibles").withColumn("meta_hash", catalog.metadata_hash(["name", "year"]))
+        show(catalog.stale(editions, spark.read.parquet(a.artifacts), a.version).select("module", "reason").orderBy("module"))
     elif a.command == "import":
         importers.import_edition(spark, a.kind, a.file, a.module).write.mode("append").partitionBy("module").parquet(a.out)
     elif a.command == "export":

@@ -111,6 +111,12 @@ def stale(editions_: DataFrame, artifacts: DataFrame, version: str) -> DataFrame
     return rows.withColumn("reason", why).where("reason is not null").drop("_version", "_hash")
 
 
+def flagged(bibles: DataFrame, modules: list[str], **flags: int) -> DataFrame:
+    """The catalog with flags (``enabled``, ``installed``) set for some editions; others stay as they are."""
+    mine = F.col("module").isin(*modules)
+    return bibles.withColumns({k: F.when(mine, F.lit(v).cast(bibles.schema[k].dataType)).otherwise(F.col(k)) for k, v in flags.items()})
+
+
 def unknown_only(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't known yet, once each (insert-or-ignore)."""
     return found.dropDuplicates([key]).join(known.select(key), key, "left_anti")

@@ -665,6 +665,12 @@ def grid_filter_and(spark: SparkSession, sf: str) -> DataFrame:
     return grid.grid(table(spark, sf, "bibles"), rules, "AND", {"title": "name"}, sort="id").select("id", "module")
 
 
+@query("select id, case when module in (select min(module) from bibles union select max(module) from bibles) then 0 else enabled end as enabled, installed from bibles")
+def edition_flags(spark: SparkSession, sf: str) -> DataFrame:
+    bibles = table(spark, sf, "bibles")
+    return catalog.flagged(bibles, list(bibles.agg(F.min("module"), F.max("module")).first()), enabled=0).select("id", "enabled", "installed")
+
+
 @query("select id, module from bibles where (coalesce(lang_short = 'de', false) or coalesce(module like '%1', false)) and enabled = 1 order by name desc nulls last, id limit 30")
 def grid_filter_or(spark: SparkSession, sf: str) -> DataFrame:
     rules = [{"field": "lang_short", "op": "eq", "data": "de"}, {"field": "module", "op": "ew", "data": "1"}]

@@ -15,6 +15,7 @@ import sqlite3
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -418,7 +419,17 @@ def next_paragraph(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(carry & ~bare.startswith("¶"), F.concat(F.lit("¶ "), bare)).otherwise(bare))
 
 
-def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args, raw: bool = False, parentheses: str = "retain") -> DataFrame:
+@dataclass
+class Hooks:
+    """What a caller adds to imports: functions called before one with (kind, path, module), on its rows as a plan that is
+    returned changed, and after it with (module, rows)."""
+
+    before: list[Callable[[str, str, str], None]] = field(default_factory=list)
+    on_rows: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    after: list[Callable[[str, DataFrame], None]] = field(default_factory=list)
+
+
+def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args, raw: bool = False, parentheses: str = "retain", hooks: Hooks | None = None) -> DataFrame:
     """Read a file of a registered kind into the corpus layout under a module name.
 
     Texts are brought into the corpus's markup unless ``raw``; ``parentheses`` as in ``import_text``. Bytes that aren't UTF-8 go.
@@ -430,13 +441,21 @@ def import_edition(spark: SparkSession, kind: str, path: str, module: str, *args
     read, endings = IMPORTERS[kind]
     if not path.lower().endswith(endings):
         raise ValueError(f"{kind} reads files ending in {', '.join(endings)}")
+    hooks = hooks or Hooks()
+    for call in hooks.before:
+        call(kind, path, module)
     rows = read(spark, path, *args)
     rows = rows[1] if isinstance(rows, tuple) else rows
     rows = rows.withColumn("text", valid_utf8(F.col("text")))
     if not raw and kind != "module":
         rows = rows.withColumn("text", import_text(F.col("text"), parentheses=parentheses, **MARKUP.get(kind, {})))
         rows = next_paragraph(rows) if kind in ENDING else rows
-    return numbered(rows.drop("id", "row_no")).select(F.lit(module).alias("module"), "id", "book", "chapter", "verse", "chapter_verse", "text")
+    for change in hooks.on_rows:
+        rows = change(rows)
+    out = numbered(rows.drop("id", "row_no")).select(F.lit(module).alias("module"), "id", "book", "chapter", "verse", "chapter_verse", "text")
+    for call in hooks.after:
+        call(module, out)
+    return out
 
 
 def rows_of(cells: Iterable[Iterable[str]], spark: SparkSession) -> DataFrame:

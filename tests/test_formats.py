@@ -149,3 +149,19 @@ def test_dates_and_inputs(spark):
     assert [v(T.year_of(F.lit(x))) for x in ("c. 1611", "2019-04-01", "about 90", None, "1 May 1899", "16111")] == [1611, 2019, None, None, 1899, None]
     assert [v(T.positive_int(F.lit(x), 30)) for x in ("7", " 8 ", "0", "-3", "x", None)] == [7, 8, 30, 30, 30, 30]
     assert v(T.one_line(F.lit("a\r\nb\nc"))) == "a b c"
+
+
+def test_import_hooks(spark, units, tmp_path):
+    path, seen = str(tmp_path / "m.zip"), []
+    exports.write_module(units.where("module = 'm'"), {"name": "M"}, path)
+    hooks = importers.Hooks([lambda *x: seen.append(x)], [lambda rows: rows.withColumn("text", F.upper("text"))], [lambda m, rows: seen.append((m, rows.count()))])
+    rows = importers.import_edition(spark, "module", path, "mine", hooks=hooks)
+    assert content(rows) == [(1, 1, 1, "A 'B'"), (1, 1, 2, "C")] and seen == [("module", path, "mine"), ("mine", 2)]
+
+
+def test_section_list_bootstrap(spark):
+    found = spark.createDataFrame([(k, f"b{k}") for k in range(66)], "id int, name string")
+    known = spark.createDataFrame([("en",)], "lang string")
+    assert catalog.section_list_usable(found, known, "de") and not catalog.section_list_usable(found, known, "en")
+    assert not catalog.section_list_usable(found.limit(65), known, "de")
+    assert not catalog.section_list_usable(found.withColumn("name", F.when(F.col("id") > 0, F.col("name"))), known, "de")
