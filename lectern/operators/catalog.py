@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..corpus import small
+from .packed import packed_values
 
 
 def rows_of_dimension(rows: DataFrame, most: int, what: str) -> list:
@@ -209,9 +210,13 @@ def shortcut_aliases(shortcuts: DataFrame, lang: str) -> DataFrame:
 
 
 def shortcut_map(shortcuts: DataFrame, lang: str) -> dict[str, str]:
-    """Aliases to references of one language, the first shortcut that has an alias; more than ``MOST_SHORTCUTS`` are refused."""
+    """Aliases to references of one language, the first shortcut that has an alias; more than ``MOST_SHORTCUTS`` are refused.
+
+    A shortcut packs its passages with whatever separators; here they are separated by semicolons, as the parser wants them.
+    """
     out: dict[str, str] = {}
-    for r in rows_of_dimension(shortcut_aliases(shortcuts, lang).orderBy("id", "place"), 4 * MOST_SHORTCUTS, "aliases of shortcuts"):
+    rows = shortcut_aliases(shortcuts, lang).orderBy("id", "place").select("alias", F.array_join(packed_values(F.col("reference")), "; ").alias("reference"))
+    for r in rows_of_dimension(rows, 4 * MOST_SHORTCUTS, "aliases of shortcuts"):
         out.setdefault(r.alias, r.reference)
     return out
 

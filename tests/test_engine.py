@@ -136,3 +136,14 @@ def test_storage_asks_for_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session())
+
+
+def test_shortcuts_with_any_separator(spark):
+    from lectern.operators import catalog
+    from lectern.plans import refs
+
+    rows = spark.createDataFrame([(1, "en", "The Cup", "cup", None, "", "1B 2:3 | 2B 1-3 and '3B 4:1,5'"), (2, "en", "Other", "cup", None, None, "9B 1")], "id int, lang string, name string, short1 string, short2 string, short3 string, reference string")
+    known = catalog.shortcut_map(rows, "en")
+    assert set(known) == {"the cup", "cup", "other"}
+    found = refs.parse_references("Cup", lambda b: int(b[:-1]) if b.endswith("B") else None, known)
+    assert [(p.book, p.items[0].c0) for p in found] == [(1, 2), (2, 1), (3, 4)]
