@@ -19,10 +19,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_arrow, spread
+from .arrow import durable, map_arrow, spread
 
 BURST = 512  # terms of a container before it bursts
 FLUSH = 400_000  # distinct terms that one task holds before it hands its trie on
+ROWS = "\0"  # stands for the rows themselves; no term holds it
 TERM = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -109,6 +110,7 @@ def _count(batches: Iterable) -> Iterator[dict[str, list]]:
         occurrences: Counter[str] = Counter()
         records: Counter[str] = Counter()
         texts = batch.column(0).to_pylist()
+        trie.add(ROWS, len(texts), len(texts))
         for k in range(0, len(texts), 2000):
             found = [TERM.findall(fold(t)) for t in texts[k : k + 2000]]
             occurrences.update(chain.from_iterable(found))
@@ -139,6 +141,14 @@ def _merge(batches: Iterable) -> Iterator[dict[str, list]]:
     yield from drain(trie)
 
 
+def _all_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """``term_counts`` with a row ``ROWS`` that counts the rows with a text."""
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    subtrees = map_arrow(spread(texts), _count, "prefix string, blob binary").repartition("prefix")
+    partial = map_arrow(subtrees, _merge, "term string, occurrences long, records long")
+    return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
 def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Occurrences and records of every distinct term of ``text_col``.
 
@@ -147,10 +157,7 @@ def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Returns ``term, occurrences, records``.
     """
-    texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    subtrees = map_arrow(spread(texts), _count, "prefix string, blob binary").repartition("prefix")
-    partial = map_arrow(subtrees, _merge, "term string, occurrences long, records long")
-    return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return _all_counts(df, text_col).where(F.col("term") != ROWS)
 
 
 def frequency_mark(records: Column, total: int, rare: int = 1, common_share: float = 0.05) -> Column:
@@ -162,6 +169,11 @@ def frequency_mark(records: Column, total: int, rare: int = 1, common_share: flo
 
 
 def term_frequencies(df: DataFrame, text_col: str = "text", rare: int = 1, common_share: float = 0.05) -> DataFrame:
-    """``term_counts`` with the ``mark`` of each term; the share refers to the rows with non-null text."""
-    total = df.agg(F.count(F.col(text_col))).first()[0]
-    return term_counts(df, text_col).withColumn("mark", frequency_mark(F.col("records"), total, rare, common_share))
+    """``term_counts`` with the ``mark`` of each term; the share refers to the rows with non-null text.
+
+    The texts are read once: the tries count the rows too, and the counts, a row a term, are kept.
+    """
+    counts = durable(_all_counts(df, text_col))
+    rows = counts.where(F.col("term") == ROWS).first()
+    total = rows.records if rows else 0
+    return counts.where(F.col("term") != ROWS).withColumn("mark", frequency_mark(F.col("records"), total, rare, common_share))

@@ -232,3 +232,17 @@ def test_features_of_a_batch_are_those_of_its_sentences():
     for k, row in zip(own, x):
         alone = abuse.Batch([together.found.string(texts, k)])
         assert lexicon.features(alone)[1][0] == pytest.approx(row)
+
+
+def test_models_are_artifacts(spark, tables, tongues, tmp_path):
+    from lectern.llm.models import load_model, save_model
+
+    save_model(spark, tongues, str(tmp_path / "m"))
+    again = load_model(spark, str(tmp_path / "m"))
+    rows = tables("documents").limit(200)
+    found = [sorted(map(tuple, language.detect(rows, "doc_id", "text", m).collect())) for m in (tongues, again)]
+    assert found[0] == found[1] and again.bounds.tolist() == tongues.bounds.tolist()
+    model = abuse.train([(f"The king {k}. " + ("You idiot!" if k % 4 == 0 else "He went."), float(k % 4 == 0), 1.0) for k in range(160)])
+    save_model(spark, model, str(tmp_path / "a"))
+    texts = ["You idiot!", "He went.", ""]
+    assert load_model(spark, str(tmp_path / "a")).worst(texts)[0].tolist() == model.worst(texts)[0].tolist()
