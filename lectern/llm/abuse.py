@@ -145,7 +145,7 @@ def restore(sentence: str, known: dict[str, float]) -> tuple[list[str], int, int
             own = w.rstrip("!")
             undone += 1
             form = re.compile(re.escape(own).replace(r"\*", r"\w"))
-            best = max((k for k in known if len(k) == len(own) and known[k] > HOT and form.fullmatch(k)), key=lambda k: known[k], default=None)
+            best = max((k for k in known if len(k) == len(own) and known[k] > HOT and form.fullmatch(k)), key=lambda k: (known[k], k), default=None)
             hot += best is not None
             words.append(best or "*")
             continue
@@ -251,7 +251,7 @@ class Lexicon:
 
     def __init__(self, words: dict[str, float], pairs: dict[str, float]):
         # a listed word too rare for a weight of its own is a strong sign; one with a weight goes by that
-        listed = {w: HOT + 0.3 for w in INSULTS | CONTEMPT | EXPLICIT if w not in words}
+        listed = {w: HOT + 0.3 for w in sorted(INSULTS | CONTEMPT | EXPLICIT) if w not in words}
         self.words = {w: v for w, v in words.items() if abs(v) > 0.2} | listed
         self.pairs = {w: v for w, v in pairs.items() if abs(v) > 0.2}
         self.reset()
@@ -414,7 +414,7 @@ class Lessons:
         self.label, self.worst = np.full(len(texts), -1), np.full(len(texts), -1)
         numbers: dict[str, int] = {"^": 0, "$": 1}
         number = lambda words: np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
-        seeds = dict.fromkeys(INSULTS | CONTEMPT | EXPLICIT, 2.0)
+        seeds = dict.fromkeys(sorted(INSULTS | CONTEMPT | EXPLICIT), 2.0)
         word, doc, sentence = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for docs, batch in chain.from_iterable(self.batches):
             restored = {k: restore(s, seeds)[0] for k, s in batch.suspects.items()}
