@@ -973,7 +973,7 @@ def trim_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select id, round(id * 123457 / 1048576, 1) as mb from bibles")
 def megabyte_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "bibles").select("id", T.megabytes(F.col("id") * 123457).alias("mb"))
+    return table(spark, sf, "bibles").select("id", T.megabytes(F.col("id").cast("long") * 123457).alias("mb"))
 
 
 @query("select row_id, module from verses where module not in (select min(module) from verses union select max(module) from verses)")

@@ -61,3 +61,18 @@ def test_requested_books_takes_all_passages(spark, sf):
 
 def test_book_resolver_all_tiers_has_loose_tiers(spark, sf):
     assert {r.tier for r in queries.QUERIES["book_resolver_all_tiers"](spark, sf).select("tier").distinct().collect()} >= {1, 2, 3, 4}
+
+
+def test_megabyte_sizes_of_large_ids(spark, tmp_path):
+    """Sizes beyond 32 bits, from the first such id (17,395). The SQL runs over 64-bit ids, since it multiplies in the type of the id."""
+    import duckdb
+
+    ids = [None, 0, 1, 17394, 17395, 90000, 262144, 786432, 2147483647]
+    spark.createDataFrame([(i,) for i in ids], "id int").write.parquet(f"{tmp_path}/bibles.parquet")
+    got = queries.QUERIES["megabyte_sizes"](spark, str(tmp_path))
+    assert got.dtypes == [("id", "int"), ("mb", "double")]
+    rows = {r.id: r.mb for r in got.collect()}
+    assert rows[17394] == 2047.9 and rows[17395] == 2048.0 and rows[262144] == 30864.3 and rows[2147483647] == 252839935.9
+    con = duckdb.connect()
+    con.execute(f"create view bibles as select id::bigint as id from '{tmp_path}/bibles.parquet/*.parquet'")
+    assert rows == dict(con.execute(queries.SQL["megabyte_sizes"]).fetchall()) and set(rows) == set(ids)
